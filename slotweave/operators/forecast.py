@@ -2,22 +2,23 @@
 
 The model follows the published additive form of Taylor and Letham, "Forecasting at
 Scale" (2017), with a constant trend: a level, daily and weekly Fourier terms and extra
-regressors, all with normal priors. Level, coefficients and noise are set to their
-maximum a posteriori values, which for this form is ridge regression with a penalty tied
-to the noise.
+regressors, all with normal priors, set to their maximum a posteriori values. For this
+form that is a ridge regression with a penalty tied to the noise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from slotweave.functions import clock
+from slotweave.functions import additive
 from slotweave.functions.scalars import clip_below, to_label
 
+# Executors get the fitting functions with the task and need no copy of the package.
+cloudpickle.register_pickle_by_value(additive)
+
 REGRESSORS = [
     "hour_of_day",
     "hour_of_week",
@@ -31,76 +32,6 @@ REGRESSORS = [
 
 LABEL_CUT = 0.4
 
-# The published defaults of the additive model.
-DAILY_ORDER = 4
-WEEKLY_ORDER = 3
-LEVEL_SCALE = 5.0
-COEFFICIENT_SCALE = 10.0
-NOISE_SCALE = 0.5
-
-NOISE_ROUNDS = 20
-
-
-def seasonal_terms(slots: np.ndarray, period_hours: int, order: int) -> np.ndarray:
-    """Sine and cosine columns of the first ``order`` harmonics of the period."""
-    angle = 2.0 * np.pi * np.outer(slots / period_hours, np.arange(1, order + 1))
-    return np.hstack([np.sin(angle), np.cos(angle)])
-
-
-def centre_and_scale(train: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Standardise columns by the training rows; 0/1 and constant columns stay as they are."""
-    plain = np.all((train == 0.0) | (train == 1.0), axis=0) | (np.ptp(train, axis=0) == 0.0)
-    shift = np.where(plain, 0.0, train.mean(axis=0))
-    spread = np.where(plain, 1.0, train.std(axis=0, ddof=1) if len(train) > 1 else 1.0)
-    return (rows - shift) / spread
-
-
-def fit_additive(design: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Coefficients (first column is the level) at the posterior mode.
-
-    For a fixed noise the mode is a ridge solution, for fixed coefficients the noise has a
-    closed form; a few rounds of both settle.
-    """
-    prior = np.full(design.shape[1], COEFFICIENT_SCALE**-2)
-    prior[0] = LEVEL_SCALE**-2
-    gram, moment = design.T @ design, design.T @ target
-    count, variance = len(target), max(float(target.var()), 1e-9)
-    for _ in range(NOISE_ROUNDS):
-        weights = np.linalg.solve(gram + np.diag(variance * prior), moment)
-        squares = float(np.sum((target - design @ weights) ** 2))
-        # Root of the noise equation: variance^2 / scale^2 + count * variance = squares.
-        tight = NOISE_SCALE**-2
-        settled = (np.sqrt(count**2 + 4.0 * tight * squares) - count) / (2.0 * tight)
-        settled = max(settled, 1e-9)
-        if abs(settled - variance) <= 1e-10 * variance:
-            break
-        variance = settled
-    return weights
-
-
-def _forecast_device(rows: pd.DataFrame, regressors: Sequence[str]) -> pd.DataFrame:
-    """Fit one device's history and forecast its rows to predict."""
-    is_train = (rows["type"] == "train").to_numpy() & rows["is_active"].notna().to_numpy()
-    is_future = (rows["type"] == "predict").to_numpy()
-    out = rows.loc[is_future, ["device", "hour_slot"]].copy()
-    target = rows.loc[is_train, "is_active"].to_numpy(dtype=float)
-    if len(target) < 2 or np.ptp(target) == 0.0:
-        # Nothing to fit: the forecast is the level itself.
-        out["yhat"] = target.mean() if len(target) else np.nan
-        return out
-    values = rows[list(regressors)].to_numpy(dtype=float)
-    slots = rows["hour_slot"].to_numpy(dtype=float)
-    design = np.hstack(
-        [
-            np.ones((len(rows), 1)),
-            seasonal_terms(slots, clock.HOURS_PER_DAY, DAILY_ORDER),
-            seasonal_terms(slots, clock.HOURS_PER_WEEK, WEEKLY_ORDER),
-            centre_and_scale(values[is_train], values),
-        ]
-    )
-    out["yhat"] = design[is_future] @ fit_additive(design[is_train], target)
-    return out
-
 
 def forecast(features: DataFrame, regressors: Sequence[str] = REGRESSORS) -> DataFrame:
     """``device, hour_slot, yhat`` for the rows to predict; ``yhat`` is clipped at 0.
@@ -108,13 +39,13 @@ def forecast(features: DataFrame, regressors: Sequence[str] = REGRESSORS) -> Dat
     A group is one device: one row per hour of its history, so its size is set by the
     calendar. On a table partitioned by device the grouping adds no shuffle.
     """
-    names = list(regressors)
+    fit, names = additive.forecast_device, list(regressors)
 
-    def fit_predict(rows: pd.DataFrame) -> pd.DataFrame:
-        return _forecast_device(rows, names)
+    def fit_predict(rows):
+        return fit(rows, names)
 
     needed = features.select("device", "hour_slot", "type", "is_active", *names)
-    raw = needed.groupBy("device").applyInPandas(fit_predict, "device string, hour_slot int, yhat double")
+    raw = needed.groupBy("device").applyInArrow(fit_predict, "device string, hour_slot int, yhat double")
     return raw.withColumn("yhat", clip_below(F.col("yhat"), 0.0))
 
 

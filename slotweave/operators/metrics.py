@@ -112,7 +112,9 @@ def auc_pooled(scored: DataFrame, score: str = "score", label: str = "label", sl
         Window.partitionBy("slice").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     )
     above = F.col("positives_before") + F.coalesce(F.sum("positives").over(in_slice), F.lit(0))
-    ordered = sliced.join(F.broadcast(offsets), "slice").withColumn("positives_above", above)
+    # Every slice has an offset. As an inner join Catalyst would test the slice for null on
+    # the rows below the aggregation, and so cut the slices once per row.
+    ordered = sliced.join(F.broadcast(offsets), "slice", "left").withColumn("positives_above", above)
     area = F.sum(F.col("negatives") * (F.col("positives_above") + F.col("positives") / 2))
     pairs = F.sum("positives").cast("double") * F.sum("negatives").cast("double")
     return ordered.agg((area / F.nullif(pairs, F.lit(0.0))).alias("auc"))
