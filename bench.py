@@ -29,6 +29,7 @@ HEADLINE = [
     "rolling7_fleet",
     "previous_day_rates",
     "model_features",
+    "model_features_windows",
     "model_features_compat",
     "split_rows",
     "holdout_rows",

@@ -4,8 +4,8 @@
     forecast TIME LOG OUT                                     one additive forecast per device
     score    REQUEST LOG MODEL OUT                            predict with a stored forest
 
-The raw log is read once: its hourly rollup is written to the shared folder, and span,
-anchor, panel and features come from that table.
+The raw log is read once: its rollup is written to the shared folder, and span, anchor and
+features come from that table.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slotweave.functions import clock
 from slotweave.operators import forecast as additive, forest, metrics, splits
+from slotweave.operators.day_features import day_rollup, device_days, features_from_days
 from slotweave.operators.panel import history_before, hourly_rollup, panel_from_rollup, rollup_extent
 from slotweave.operators.rates import model_features
 from slotweave.session import write_stage
@@ -45,6 +46,18 @@ class Prepared:
 def prepare(log: DataFrame, start: str, options: Options = Options(), device_rate: bool = True) -> Prepared:
     """Features of history and future rows, lazily, over a rollup written once."""
     history = history_before(log, start) if options.cut_history else log
+    if options == Options():
+        rollup = write_stage(day_rollup(history), "rollup")
+        extent = rollup_extent(rollup)
+        features = features_from_days(
+            device_days(rollup, extent, start),
+            device_day_rates=False,
+            fleet_day_rates=False,
+            device_rate=device_rate,
+        )
+        return Prepared(features, F.to_date(extent.getField("first")))
+    # The other forms need the cells themselves: they let history and future overlap, or
+    # treat the latest cell apart.
     rollup = write_stage(hourly_rollup(history), "rollup")
     extent = rollup_extent(rollup)
     panel = panel_from_rollup(
@@ -57,8 +70,8 @@ def prepare(log: DataFrame, start: str, options: Options = Options(), device_rat
         fleet_day_rates=False,
         device_rate=device_rate,
     )
-    kept = [name for name in features.columns if name not in ("earliest_activation", "latest_activation", "total_activations")]
-    return Prepared(features.select(*kept), F.to_date(extent.getField("first")))
+    features = features.drop("earliest_activation", "latest_activation", "total_activations")
+    return Prepared(features, F.to_date(extent.getField("first")))
 
 
 @dataclass(frozen=True)

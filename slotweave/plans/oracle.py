@@ -293,6 +293,8 @@ GROUP BY a.device, a.day_num, a.activation_rate""",
     "previous_day_rates": _with(*END_CTES, DAY_CTES)
     + f"SELECT p.device, p.hour_slot, {DAY_RATE_COLUMNS.format('', '')} FROM panel p {DAY_JOINS}",
     "model_features": _with(*END_CTES, DAY_CTES, BEFORE_NOW) + FEATURES,
+    "model_features_inside": _with(*INSIDE_CTES, DAY_CTES, BEFORE_NOW) + FEATURES,
+    "model_features_windows": _with(*END_CTES, DAY_CTES, BEFORE_NOW) + FEATURES,
     "model_features_compat": _with(*COMPAT_CTES, DAY_CTES, LATEST_ONLY) + FEATURES,
     "split_rows": _with(*END_CTES, MODEL_TABLE)
     + f"""SELECT {MODEL_COLUMNS}, type AS split, 'all' AS fold FROM model

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slotweave.functions import clock, scalars
-from slotweave.operators import forecast as additive, forest, metrics, panel as panels, rates, splits
+from slotweave.operators import day_features, forecast as additive, forest, metrics, panel as panels, rates, splits
 from slotweave.plans import jobs
 from slotweave.session import scratch_path
 from slotweave.sources import activations, sinks
@@ -213,6 +213,16 @@ _FEATURE_OUTPUT = ["device", "hour_slot", "hour_of_day", "hour_of_week", "day_of
 
 
 def model_features(spark: SparkSession, folder: str) -> DataFrame:
+    table = day_features.next_day_features(_log(spark, folder), AT_END)
+    return _rounded(table, *rates.FEATURES).select(*_FEATURE_OUTPUT, *rates.FEATURES)
+
+
+def model_features_inside(spark: SparkSession, folder: str) -> DataFrame:
+    table = day_features.next_day_features(_log(spark, folder), INSIDE)
+    return _rounded(table, *rates.FEATURES).select(*_FEATURE_OUTPUT, *rates.FEATURES)
+
+
+def model_features_windows(spark: SparkSession, folder: str) -> DataFrame:
     table = rates.model_features(modelling_panel(spark, folder))
     return _rounded(table, *rates.FEATURES).select(*_FEATURE_OUTPUT, *rates.FEATURES)
 
@@ -226,7 +236,9 @@ def model_features_compat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _model_table(spark: SparkSession, folder: str) -> DataFrame:
-    return rates.model_features(modelling_panel(spark, folder), device_day_rates=False, fleet_day_rates=False)
+    return day_features.next_day_features(
+        _log(spark, folder), AT_END, device_day_rates=False, fleet_day_rates=False
+    )
 
 
 def _rounded_split(rows: DataFrame) -> DataFrame:
@@ -404,6 +416,8 @@ QUERIES: dict[str, Query] = {
         rolling7_device_calendar,
         previous_day_rates,
         model_features,
+        model_features_inside,
+        model_features_windows,
         model_features_compat,
         split_rows,
         split_busy_devices,
