@@ -39,8 +39,7 @@ def day_rollup(log: DataFrame) -> DataFrame:
     )
 
 
-def _bit(mask: str, hour: Column | int) -> Column:
-    hour = F.lit(hour) if isinstance(hour, int) else hour
+def _bit(mask: str, hour: Column) -> Column:
     return F.call_function("shiftright", F.col(mask), hour).bitwiseAND(F.lit(1))
 
 
@@ -113,11 +112,12 @@ def features_from_days(
     in_order = Window.partitionBy("device").orderBy("day_num")
     yesterday = in_order.rangeBetween(-1, -1)
     earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    of_weekday = Window.partitionBy("device", "day_of_week").orderBy("day_num")
-    earlier_weekdays = of_weekday.rowsBetween(Window.unboundedPreceding, -1)
 
-    def hourly_counts(frame_before) -> Column:
-        return F.array(*[F.sum(_bit("mask", hour)).over(frame_before) for hour in HOURS])
+    def hourly_counts(keys: str) -> Column:
+        """For each hour of the day, the earlier days of the group on which it was active."""
+        before = f"(PARTITION BY {keys} ORDER BY day_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        counts = [f"sum(shiftright(mask, {hour}) & 1) OVER {before}" for hour in HOURS]
+        return F.expr(f"array({', '.join(counts)})")
 
     rated = days.withColumns(
         {
@@ -128,7 +128,7 @@ def features_from_days(
     added = {
         "mask_yesterday": F.coalesce(F.max("mask").over(yesterday), F.lit(0)),
         "mask_last_week": F.coalesce(F.max("mask").over(in_order.rangeBetween(-7, -7)), F.lit(0)),
-        "counts_daily": hourly_counts(earlier),
+        "counts_daily": hourly_counts("device"),
     }
     if device_rate:
         added["active_before"] = F.coalesce(F.sum(F.bit_count("mask")).over(earlier), F.lit(0))
@@ -143,7 +143,7 @@ def features_from_days(
         added["yesterdays_device_activation_rate"] = F.coalesce(F.max("day_rate").over(yesterday), F.lit(0.0))
         rolling = F.when(full, F.avg("day_rate").over(week))
         added["last_weeks_device_activation_rate"] = F.coalesce(rolling, F.lit(0.0))
-    wide = rated.withColumns(added).withColumn("counts_weekly", hourly_counts(earlier_weekdays))
+    wide = rated.withColumns(added).withColumn("counts_weekly", hourly_counts("device, day_of_week"))
     if fleet_day_rates:
         wide = wide.join(F.broadcast(_fleet_rates(days, frame)), "day_num", "left").na.fill(0.0, FEATURES[6:])
 
