@@ -154,8 +154,7 @@ def device_report(
     scored: DataFrame, score: str = "score", predicted: str = "predicted", label: str = "label"
 ) -> DataFrame:
     """AUC, accuracy and confusion counts side by side, one row per device."""
-    return (
-        confusion_by_device(scored, predicted, label)
-        .join(auc_by_device(scored, score, label), "device", "left")
-        .join(accuracy(scored, ["device"], predicted, label), "device", "left")
-    )
+    counts = confusion_by_device(scored, predicted, label)
+    rows = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    right = (F.col("tn") + F.col("tp")) / F.nullif(rows, F.lit(0))
+    return counts.withColumn("accuracy", right).join(auc_by_device(scored, score, label), "device", "left")

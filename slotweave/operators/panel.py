@@ -140,17 +140,18 @@ def panel_from_rollup(
     """
     if future_flag not in ("null", "active"):
         raise ValueError(f"unknown future_flag {future_flag!r}: use 'null' or 'active'")
-    first_hour = clock.hour_index(extent.getField("first"))
-    last_hour = _last_hour(extent, first_hour, grid)
-    anchor = F.to_date(extent.getField("first")) if anchor is None else clock.as_day(anchor)
-
     in_order = Window.partitionBy("device").orderBy("hour_index")
-    spans = by_device(rollup, partitions).select(
+    # One reference to the subquery; everything below reads this column.
+    placed = by_device(rollup, partitions).withColumn("extent", extent)
+    first = F.col("extent.first")
+    anchor = F.to_date(first) if anchor is None else clock.as_day(anchor)
+    spans = placed.select(
         "*",
         F.lag("hour_index").over(in_order).isNull().alias("is_first"),
         F.lead("hour_index").over(in_order).alias("next_hour"),
-        first_hour.alias("first_hour"),
-        last_hour.alias("last_hour"),
+        clock.hour_index(first).alias("first_hour"),
+        _last_hour(F.col("extent"), clock.hour_index(first), grid).alias("last_hour"),
+        clock.anchor_hour(anchor).alias("anchor_hour"),
     )
     # Each rollup row covers itself and the gap after it; the first also covers the gap
     # before it. The bounds are clamped to the grid, and an empty span yields no row.
@@ -168,7 +169,8 @@ def panel_from_rollup(
         pieces = F.when(F.col("is_first"), F.array(history, future)).otherwise(pieces)
     kept = ["device", "hour_index", "earliest_activation", "latest_activation", "total_activations"]
     hours = F.when(F.col("lower") <= F.col("upper"), F.sequence("lower", "upper"))
-    cells = spans.select(*kept, F.inline(pieces)).select(*kept, "type", F.explode(hours).alias("cell_hour"))
+    carried = [*kept, "anchor_hour"]
+    cells = spans.select(*carried, F.inline(pieces)).select(*carried, "type", F.explode(hours).alias("cell_hour"))
 
     is_history = F.col("type") == "train"
     observed = is_history & (F.col("cell_hour") == F.col("hour_index"))
@@ -182,7 +184,7 @@ def panel_from_rollup(
         is_active = F.coalesce(is_active, F.lit(1))
     slotted = cells.select(
         "device",
-        (F.col("cell_hour") - clock.anchor_hour(anchor)).cast("int").alias("hour_slot"),
+        (F.col("cell_hour") - F.col("anchor_hour")).cast("int").alias("hour_slot"),
         earliest.alias("earliest_activation"),
         latest.alias("latest_activation"),
         total.alias("total_activations"),

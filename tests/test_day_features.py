@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,21 @@ def test_optional_features_can_be_left_out(log):
 
 
 def test_plan_shuffles_the_rollup_only(log):
-    table = day_features.next_day_features(log, "2024-01-24 06:00:00", fleet_day_rates=False)
+    # A literal span keeps the subquery for it out of the printed plan.
+    first, last = (F.lit(text).cast("timestamp_ntz") for text in ("2024-01-03 05:20:00", "2024-01-24 05:19:00"))
+    extent = F.struct(first.alias("first"), last.alias("last"))
+    days = day_features.device_days(day_features.day_rollup(log), extent, "2024-01-24 06:00:00")
+    table = day_features.features_from_days(days, fleet_day_rates=False)
     text = table._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 2 and "Join" not in text
+
+
+def test_log_is_scanned_once(spark, log, tmp_path):
+    """The span and the fleet rates read the exchanges of the days."""
+    path = str(tmp_path / "log.parquet")
+    log.write.parquet(path)
+    table = day_features.next_day_features(spark.read.parquet(path), "2024-01-24 06:00:00")
+    table.collect()
+    text = table._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ReusedExchange \[device#\d+, \S+, bit_or", text)
+    assert re.search(r"ReusedExchange \[device#\d+, day_index#\d+, active_hours#\d+\]", text)
