@@ -17,8 +17,11 @@ LOG_SCHEMA = T.StructType(
 
 
 def parse_time(raw: DataFrame) -> DataFrame:
-    """Cast the ``time`` text; the job fails on the first bad value."""
-    return raw.withColumn("time", as_time(F.col("time")))
+    """Cast the ``time`` text; the job fails on a bad value, with ANSI mode on or off."""
+    text = F.col("time")
+    parsed = text.try_cast("timestamp_ntz")
+    refused = F.raise_error(F.concat(F.lit("not a time: "), text)).cast("timestamp_ntz")
+    return raw.withColumn("time", F.when(text.isNotNull() & parsed.isNull(), refused).otherwise(parsed))
 
 
 def parse_time_lenient(raw: DataFrame) -> DataFrame:
