@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -68,19 +69,25 @@ def default_splits(holdout_share: float = 0.2, holdout_rows: int = 0) -> dict[st
     }
 
 
-def select_rows(table: DataFrame, split: Split) -> DataFrame:
-    """Slot range (both ends included), devices and row type of a split."""
-    rows = table
+def _condition(split: Split) -> Column:
+    """Slot range (both ends included), listed devices and row type."""
+    tests = [F.lit(True)]
     if split.start_hour is not None:
-        rows = rows.where(F.col("hour_slot") >= split.start_hour)
+        tests.append(F.col("hour_slot") >= split.start_hour)
     if split.end_hour is not None:
-        rows = rows.where(F.col("hour_slot") <= split.end_hour)
+        tests.append(F.col("hour_slot") <= split.end_hour)
+    if not isinstance(split.devices, DataFrame) and split.devices != "all":
+        tests.append(F.col("device").isin(list(split.devices)))
+    if split.row_type is not None:
+        tests.append(F.col("type") == split.row_type)
+    return functools.reduce(Column.__and__, tests)
+
+
+def select_rows(table: DataFrame, split: Split) -> DataFrame:
+    """The rows of a split."""
+    rows = table.where(_condition(split))
     if isinstance(split.devices, DataFrame):
         rows = rows.join(split.devices.select("device"), "device", "left_semi")
-    elif split.devices != "all":
-        rows = rows.where(F.col("device").isin(list(split.devices)))
-    if split.row_type is not None:
-        rows = rows.where(F.col("type") == split.row_type)
     return rows
 
 
@@ -97,14 +104,18 @@ def draw(seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col("device"), F.col("hour_slot").cast("string"), F.lit(str(seed))))
 
 
+def _fold_by_key(split: Split) -> Column:
+    """The fold of a split that holds out a share or nothing."""
+    if not split.holdout_share:
+        return F.lit("all")
+    if split.holdout_share == 1.0:
+        return F.lit("test")
+    cut = format(int(split.holdout_share * 16**8), "08x")
+    return F.when(F.substring(draw(split.seed), 1, 8) < cut, "test").otherwise("train")
+
+
 def with_fold(rows: DataFrame, split: Split) -> DataFrame:
     """Adds ``fold``: ``train`` or ``test``, or ``all`` where the split holds nothing out."""
-    if split.holdout_share:
-        cut = format(min(int(split.holdout_share * 16**8), 16**8 - 1), "08x")
-        held = F.substring(draw(split.seed), 1, 8) < cut
-        if split.holdout_share == 1.0:
-            held = F.lit(True)
-        return rows.withColumn("fold", F.when(held, "test").otherwise("train"))
     if split.holdout_rows:
         keys = ["device", "hour_slot"]
         test = rows.select(*keys).orderBy(draw(split.seed), *keys).limit(split.holdout_rows)
@@ -113,7 +124,11 @@ def with_fold(rows: DataFrame, split: Split) -> DataFrame:
             test = F.broadcast(test)
         marked = rows.join(test, keys, "left")
         return marked.withColumn("fold", F.when(F.col("_held"), "test").otherwise("train")).drop("_held")
-    return rows.withColumn("fold", F.lit("all"))
+    return rows.withColumn("fold", _fold_by_key(split))
+
+
+def _wanted(x_columns: Sequence[str], y_column: str) -> list[str]:
+    return list(dict.fromkeys(["device", "hour_slot", *x_columns, y_column]))
 
 
 def split_rows(
@@ -123,15 +138,28 @@ def split_rows(
     y_column: str = LABEL,
 ) -> DataFrame:
     """Key, features, label, ``split`` and ``fold`` of the rows of one split."""
-    wanted = list(dict.fromkeys(["device", "hour_slot", *x_columns, y_column]))
     rows = with_fold(select_rows(table, split), split)
-    return rows.select(*wanted, F.lit(split.name).alias("split"), "fold")
+    return rows.select(*_wanted(x_columns, y_column), F.lit(split.name).alias("split"), "fold")
 
 
-def split_table(table: DataFrame, splits: dict[str, Split]) -> DataFrame:
-    """All splits in one table, told apart by ``split``."""
-    parts = [split_rows(table, split) for split in splits.values()]
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.unionByName(part)
-    return joined
+def split_table(
+    table: DataFrame,
+    splits: dict[str, Split],
+    x_columns: Sequence[str] = MODEL_FEATURES,
+    y_column: str = LABEL,
+) -> DataFrame:
+    """All splits in one table, told apart by ``split``; a row can be in several.
+
+    Splits that a row's own columns decide are found in one pass over the table. A table
+    of devices or a hold-out by rows needs a pass for each split.
+    """
+    plans = list(splits.values())
+    if any(plan.holdout_rows or isinstance(plan.devices, DataFrame) for plan in plans):
+        return functools.reduce(DataFrame.unionByName, [split_rows(table, plan, x_columns, y_column) for plan in plans])
+    members = [
+        F.when(_condition(plan), F.struct(F.lit(plan.name).alias("split"), _fold_by_key(plan).alias("fold")))
+        for plan in plans
+    ]
+    found = F.explode(F.array_compact(F.array(*members)))
+    wanted = _wanted(x_columns, y_column)
+    return table.select(*wanted, found.alias("member")).select(*wanted, "member.split", "member.fold")

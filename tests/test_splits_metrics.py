@@ -48,6 +48,23 @@ def test_share_bounds(table):
         splits.Split("x", holdout_share=0.2, holdout_rows=20)
 
 
+def test_split_table_in_one_pass_equals_the_union(table):
+    plan = {
+        "late": splits.Split("late", start_hour=100, row_type="train", holdout_share=0.25),
+        "some": splits.Split("some", end_hour=150, devices=["device_0", "device_2"]),
+        "predict": splits.Split("predict", row_type="predict"),
+    }
+    columns = ["hour_slot"]
+    one_pass = splits.split_table(table, plan, columns)
+    union = [splits.split_rows(table, split, columns) for split in plan.values()]
+    expected = sorted(tuple(row) for part in union for row in part.collect())
+    assert sorted(tuple(row) for row in one_pass.collect()) == expected
+    assert {row[-1] for row in expected} == {"train", "test", "all"}
+    assert "Union" not in one_pass._jdf.queryExecution().executedPlan().toString()
+    by_rows = splits.split_table(table, {**plan, "few": splits.Split("few", holdout_rows=5)}, columns)
+    assert by_rows.where("split = 'few' and fold = 'test'").count() == 5
+
+
 def test_complete_rows(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, None)], "a int, b double")
     assert splits.complete_rows(rows, ["b"]).count() == 1
