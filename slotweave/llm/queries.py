@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import licenses
+from slotweave.llm import licenses, sharding, topk, warc
 from slotweave.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,22 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op3_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    archive = warc.write_archive(read_table(spark, folder, "pages"))
+    return warc.page_digests(warc.read_archive(spark, archive))
+
+
+@_query
+def op5_hash_ring(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_rows(read_table(spark, folder, "documents"), shards=8)
+
+
+@_query
+def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(read_table(spark, folder, "embeddings"), k=10, every=100, scale=1024)
+
+
 @_query
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(read_table(spark, folder, "documents"))
