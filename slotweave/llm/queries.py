@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import licenses, sharding, topk, warc
+from slotweave.llm import bpe, licenses, sharding, topk, warc
 from slotweave.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +18,12 @@ def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return f
 
 
+@_query
+def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.round_trip(rows, public_tokenizers.path("word_bpe_49k.json")))
+
+
 @_query
 def op3_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     archive = warc.write_archive(read_table(spark, folder, "pages"))
