@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import bpe, licenses, sharding, topk, warc
+from slotweave.llm import bpe, licenses, sharding, substring, topk, warc
 from slotweave.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(rows, public_tokenizers.path("word_bpe_49k.json")))
 
 
+@_query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.repeated_words(read_table(spark, folder, "documents"))
+
+
 @_query
 def op3_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     archive = warc.write_archive(read_table(spark, folder, "pages"))
