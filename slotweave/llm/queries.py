@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import bpe, licenses, sharding, substring, topk, warc
+from slotweave.llm import bpe, jaccard, licenses, sharding, substring, topk, warc
 from slotweave.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op3_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_digests(warc.read_archive(spark, archive))
 
 
+@_query
+def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, folder, "documents"))
+
+
 @_query
 def op5_hash_ring(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, folder, "documents"), shards=8)
