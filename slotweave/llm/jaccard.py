@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotweave.llm.common import no_null_text, text_key, write_stage
-from slotweave.llm.text_arrays import SPACED, hashed_words, mix, sequence_hashes, text_pieces
+from slotweave.llm.text_arrays import SPACED, hashed_words, mix, sequence_hashes, text_pieces, whole_groups
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -117,37 +117,6 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of sorted rows, with the starts of the groups and the end."""
-    held: list[pa.RecordBatch] = []
-
-    def cut(table: pa.Table) -> np.ndarray:
-        begins = np.ones(table.num_rows, dtype=bool)
-        begins[1:] = False
-        for key in keys:
-            column = table[key].to_numpy()
-            begins[1:] |= column[1:] != column[:-1]
-        return np.append(np.flatnonzero(begins), table.num_rows)
-
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.nbytes
-        if size < 8 << 20:
-            continue
-        table = pa.Table.from_batches(held, schema=batch.schema)
-        edges = cut(table)
-        if len(edges) > 2:
-            yield table.slice(0, edges[-2]), edges[:-1]
-            held = table.slice(edges[-2]).combine_chunks().to_batches()
-        size = 0
-    if held:
-        table = pa.Table.from_batches(held)
-        yield table, cut(table)
-
-
 def _pairs(edges: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(group, i, j) of the pairs of every tile: all pairs of a single block, else those across its two blocks."""
     sizes = np.diff(edges)
@@ -194,7 +163,7 @@ def _active(limits) -> Callable:
     """Members with a pair left, per tile."""
 
     def run(batches):
-        for table, edges in _groups(batches, _TILE):
+        for table, edges in whole_groups(batches, _TILE):
             used = np.zeros(table.num_rows, dtype=bool)
             for i, j in _tile_pairs(table, edges, limits):
                 used[i] = used[j] = True
@@ -207,7 +176,7 @@ def _verified(limits, threshold: float) -> Callable:
     """Per member of a tile: copies of the texts it is linked to, and a member it is connected to."""
 
     def run(batches):
-        for table, edges in _groups(batches, _TILE):
+        for table, edges in whole_groups(batches, _TILE):
             n = table.num_rows
             links = np.zeros(n, dtype=np.int64)
             root = np.arange(n)

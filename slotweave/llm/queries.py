@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import bpe, jaccard, licenses, sharding, substring, topk, warc
+from slotweave.llm import bpe, jaccard, licenses, pitman_yor, sharding, substring, topk, warc
 from slotweave.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op5_hash_ring(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, folder, "documents"), shards=8)
 
 
+@_query
+def op6_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.score(read_table(spark, folder, "documents"))
+
+
 @_query
 def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(read_table(spark, folder, "embeddings"), k=10, every=100, scale=1024)

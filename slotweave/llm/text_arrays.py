@@ -121,3 +121,34 @@ def hashed_words(
 def rows_of(first: np.ndarray) -> np.ndarray:
     """The row of each word, from the numbers of words before the rows."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows that come sorted by the keys, with the starts of the groups and the end."""
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> np.ndarray:
+        begins = np.ones(table.num_rows, dtype=bool)
+        begins[1:] = False
+        for key in keys:
+            column = table[key].to_numpy()
+            begins[1:] |= column[1:] != column[:-1]
+        return np.append(np.flatnonzero(begins), table.num_rows)
+
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < 8 << 20:
+            continue
+        table = pa.Table.from_batches(held, schema=batch.schema)
+        edges = cut(table)
+        if len(edges) > 2:
+            yield table.slice(0, edges[-2]), edges[:-1]
+            held = table.slice(edges[-2]).combine_chunks().to_batches()
+        size = 0
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, cut(table)
