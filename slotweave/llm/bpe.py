@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotweave.session import scratch_path
+from slotweave.session import scratch_path, write_stage
 
 SHARE = 4e-6
 MEMO_WORDS = 300_000
@@ -327,7 +327,7 @@ def frequent_words(documents: DataFrame, tokenizer: str, share: float = SHARE) -
 
     rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long, total long")
     # Every report has one row without word that carries its number of words.
-    summed = rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    summed = write_stage(rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "frequent_words")
     total = summed.where("word is null").select("total").first()
     least = share * (total[0] if total and total[0] else 0)
     return [r[0] for r in summed.where((F.col("n") >= least) & F.col("word").isNotNull()).select("word").toLocalIterator()]
