@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import bpe, jaccard, licenses, pitman_yor, quality, sharding, substring, topk, warc
+from slotweave.llm import bpe, decontaminate, jaccard, licenses, pitman_yor, quality, sharding, substring, topk, warc
 from slotweave.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op7_quality_network(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
 
 
+@_query
+def op8_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "lcs", "answer", "first_word")
+
+
 @_query
 def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(read_table(spark, folder, "embeddings"), k=10, every=100, scale=1024)
