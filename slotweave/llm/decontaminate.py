@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotweave.llm.common import no_null_text, text_key, write_stage
+from slotweave.llm.common import keyed, no_null_text, text_key, write_stage
 from slotweave.llm.text_arrays import ALPHANUMERIC, hashed_words, text_pieces
 
 PASSAGE, STEP = 64, 32
@@ -348,6 +348,7 @@ def _check(item: np.ndarray, words: np.ndarray, places: np.ndarray, start: int)
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` whose text holds no leak."""
-    found = write_stage(leaks(documents, benchmark).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "leaks")
-    k1, k2 = text_key(no_null_text("text"))
-    return documents.withColumn("_k1", k1).withColumn("_k2", k2).join(found, ["_k1", "_k2"], "left_anti").drop("_k1", "_k2")
+    rows, k1, k2 = keyed(documents)
+    found = write_stage(leaks(documents, benchmark).select("k1", "k2").distinct(), "leaks")
+    found = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    return rows.join(found, [k1, k2], "left_anti").select(*[f"`{c}`" for c in documents.columns])

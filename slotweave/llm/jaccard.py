@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.common import no_null_text, text_key, write_stage
+from slotweave.llm.common import keyed, no_null_text, text_key, unused, write_stage
 from slotweave.llm.text_arrays import SPACED, hashed_words, mix, sequence_hashes, text_pieces, whole_groups
 
 SHINGLE = 5
@@ -329,11 +329,11 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``documents`` with one row left of each group: that of the smallest doc_id."""
-    text = no_null_text("text")
     found = group_heads(classes(documents, threshold)).where(F.col("first_id").eqNullSafe(F.col("class_id")))
     # One text per group (two texts may share a doc_id), then one of its rows.
     chosen = found.groupBy("g1", "g2").agg(F.min(F.struct("k1", "k2")).alias("one"), F.min("class_id").alias("head_id"))
-    chosen = chosen.select(F.col("one.k1").alias("_k1"), F.col("one.k2").alias("_k2"), F.col("head_id").alias("_head"))
-    k1, k2 = text_key(text)
-    rows = documents.withColumn("_k1", k1).withColumn("_k2", k2).join(chosen, ["_k1", "_k2"])
-    return rows.where(F.col("doc_id").eqNullSafe(F.col("_head"))).dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2", "_head")
+    rows, k1, k2 = keyed(documents)
+    head = unused(rows, "_head")
+    chosen = chosen.select(F.col("one.k1").alias(k1), F.col("one.k2").alias(k2), F.col("head_id").alias(head))
+    rows = rows.join(chosen, [k1, k2]).where(F.col("doc_id").eqNullSafe(F.col(head)))
+    return rows.dropDuplicates([k1, k2]).select(*[f"`{c}`" for c in documents.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slotweave.llm.common import write_stage
+from slotweave.llm.common import unused, write_stage
 from slotweave.llm.text_arrays import LOWER, mix, text_pieces, word_hashes
 
 SHARE = 3e-4
@@ -291,3 +291,10 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted per row."""
     found = scored(documents.select("doc_id", F.col("text").cast("string").alias("text")), train(documents, labels))
     return found.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` that the classifier, fitted on them, does not reject."""
+    score = unused(documents, "_score")
+    found = scored(documents, train(documents, labels), score)
+    return found.where(F.col(score) >= threshold).select(*[f"`{c}`" for c in documents.columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotweave.llm.common import no_null_text, text_key, write_stage
+from slotweave.llm.common import keyed, no_null_text, text_key, unused, write_stage
 from slotweave.llm.text_arrays import SPACED, hashed_words, mix, rows_of, sequence_hashes, text_pieces, word_spans
 
 WINDOW = 35
@@ -274,3 +274,22 @@ def repeated_words(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     results = deduplicate(documents, window).withColumn("kept_sha256", F.sha2(F.encode("kept", "UTF-8"), 256)).drop("kept")
     keys = documents.select("doc_id", *text_key(no_null_text("text")))
     return keys.join(results, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``documents`` without the repeated words: changed texts are their kept words joined by spaces.
+
+    Texts that lose nothing stay as they are; rows of which no word is left go. ``n_chars``, if
+    there, is the length of the new text.
+    """
+    rows, k1, k2 = keyed(documents)
+    removed, kept = unused(rows, "_removed"), unused(rows, "_kept")
+    found = deduplicate(documents, window).where("n_removed > 0")
+    found = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("n_removed").alias(removed), F.col("kept").alias(kept))
+    changed = F.col(removed).isNotNull()
+    rows = rows.join(found, [k1, k2], "left").where(~changed | (F.col(kept) != ""))
+    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text").cast("string"))}
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        new["n_chars"] = F.when(changed, F.char_length(kept).cast(kind)).otherwise(F.col("n_chars"))
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns])
