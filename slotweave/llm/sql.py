@@ -1,3 +1,70 @@
 """DuckDB statements for the queries of this folder that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body,
+         [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+  FROM documents
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": f"""
+WITH {_WORDS},
+win AS (
+  SELECT r, p, array_to_string(list_slice(w, p, p + 34), ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM d WHERE len(w) >= 35)
+),
+again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 35)) AS q FROM win JOIN again USING (s)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+kept AS (
+  SELECT words.r, count(*) AS n, string_agg(word, ' ' ORDER BY words.q) AS k
+  FROM words LEFT JOIN gone ON words.r = gone.r AND words.q = gone.q
+  WHERE gone.r IS NULL GROUP BY words.r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
+""",
+    "op3_warc_archive": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT body, max(page_id) AS kept FROM p WHERE strlen(body) >= 1000 GROUP BY body)
+SELECT p.page_id, CAST(strlen(p.body) AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+       CASE WHEN kept IS NOT NULL AND p.page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept IS NOT NULL AND p.page_id <> kept THEN kept END AS refers_to
+FROM p LEFT JOIN g ON p.body = g.body
+""",
+    "op4_jaccard_join": f"""
+WITH RECURSIVE {_WORDS},
+s AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, p, p + 4), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+pair AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g WHERE a.r <> b.r GROUP BY a.r, b.r),
+link AS (
+  SELECT x, y FROM pair JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 10 * c >= 8 * (nx.n + ny.n - c)
+  UNION SELECT a.r AS x, b.r AS y FROM d a JOIN d b ON a.body = b.body WHERE a.r <> b.r
+),
+near AS (SELECT r AS a, r AS b FROM d UNION SELECT near.a, link.y AS b FROM near JOIN link ON near.b = link.x),
+head AS (SELECT a AS r, min(doc_id) AS class_id FROM near JOIN d ON d.r = near.b GROUP BY a),
+degree AS (SELECT x AS r, count(*) AS n_links FROM link GROUP BY x)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM d JOIN head ON head.r = d.r LEFT JOIN degree ON degree.r = d.r
+""",
+    "op9_top_k": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+  SELECT q.r AS query_row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 100 = 0
+),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM k WHERE place <= 10
+""",
+}
