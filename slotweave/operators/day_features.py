@@ -14,33 +14,41 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slotweave.functions import clock
-from slotweave.operators.panel import HORIZON_HOURS, by_device, history_before, rollup_extent
+from slotweave.operators.panel import HORIZON_HOURS, by_device, first_future_hour, history_before, rollup_extent
 from slotweave.operators.rates import FEATURES, ROLLING_DAYS, rolling_week
 from slotweave.sources.activations import usable
 
 HOURS = range(clock.HOURS_PER_DAY)
 
 
-def day_rollup(log: DataFrame) -> DataFrame:
+def day_rollup(log: DataFrame, start: Column | str | dt.datetime | None = None) -> DataFrame:
     """Per device and day (counted from 1970): the active hours as bits, first and last time.
 
     The mask is built before the shuffle, which then carries at most one row per device,
     day and task. The filter holds for every row. It makes each reader of the rollup ask
     for the same aggregates, so that the span (times) and the days (masks) share one scan
     and one exchange of the log instead of two.
+
+    With ``start``, masks and times are those before the first hour to predict, and later
+    events are put on that hour's day: a row with an empty mask tells that a device exists.
     """
-    hour_bit = F.expr("shiftleft(1, hour(time))")
+    hour_bit, time, day = F.expr("shiftleft(1, hour(time))"), F.col("time"), F.unix_date(F.to_date("time"))
+    if start is not None:
+        first = first_future_hour(start)
+        before = time < first
+        hour_bit, time = F.when(before, hour_bit).otherwise(F.lit(0)), F.when(before, time)
+        day = F.least(day, F.unix_date(F.to_date(first)))
     rollup = (
         usable(log)
-        .groupBy("device", F.unix_date(F.to_date("time")).alias("day_index"))
+        .groupBy("device", day.alias("day_index"))
         .agg(
             F.bit_or(hour_bit).alias("active_hours"),
-            F.min("time").alias("earliest_activation"),
-            F.max("time").alias("latest_activation"),
+            F.min(time).alias("earliest_activation"),
+            F.max(time).alias("latest_activation"),
         )
     )
-    ordered = F.col("earliest_activation") <= F.col("latest_activation")
-    return rollup.where((F.col("active_hours") != 0) & ordered)
+    ordered = F.coalesce(F.col("earliest_activation") <= F.col("latest_activation"), F.lit(True))
+    return rollup.where((F.col("active_hours") >= 0) & ordered)
 
 
 def _bit(mask: str, hour: Column) -> Column:
@@ -68,13 +76,15 @@ def device_days(
     """One row per device and day of the grid, with the day's mask and its history cells.
 
     ``first_slot`` to ``last_slot`` is the history, ``future_slot`` the first slot to
-    predict; the history must end before it.
+    predict; the history must end before it. It is empty for devices that have none.
     """
     in_order = Window.partitionBy("device").orderBy("day_index")
     # One reference to the subquery; everything below reads this column.
     placed = by_device(rollup.select("device", "day_index", "active_hours"), partitions).withColumn("extent", extent)
     first, last = F.col("extent.first"), F.col("extent.last")
     anchor = F.to_date(first) if anchor is None else clock.as_day(anchor)
+    # Without any history the calendar begins on the day to predict.
+    anchor = F.coalesce(anchor, F.to_date(first_future_hour(start)))
     spans = placed.select(
         "device",
         "active_hours",
@@ -85,12 +95,18 @@ def device_days(
         clock.hour_slot(last, anchor).alias("last_slot"),
         (clock.hour_index_ceil(clock.as_time(start)) - clock.anchor_hour(anchor)).cast("int").alias("future_slot"),
     )
+    # An empty mask comes last; where it comes first, the device has no history.
+    bare = F.col("is_first") & (F.col("active_hours") == 0)
+    start_slot = F.coalesce("first_slot", "future_slot")
+    spans = spans.withColumns({"first_slot": start_slot, "last_slot": F.when(bare, start_slot - 1).otherwise(F.col("last_slot"))})
     first_day, last_day = clock.slot_day(F.col("first_slot")), clock.slot_day(F.col("last_slot"))
     lower = F.when(F.col("is_first"), first_day).otherwise(F.col("own_day"))
-    history = F.sequence(lower, F.coalesce(F.col("next_day") - 1, last_day))
+    upper = F.least(F.coalesce(F.col("next_day") - 1, last_day), last_day)
+    history = F.when(~bare & (lower <= upper), F.sequence(lower, upper)).otherwise(F.array().cast("array<int>"))
     # Days that hold hours to predict and no history; the first row of a device adds them.
+    first_later = clock.slot_day(F.col("future_slot"))
     later = F.sequence(
-        F.greatest(last_day + 1, clock.slot_day(F.col("future_slot"))),
+        F.when(bare, first_later).otherwise(F.greatest(last_day + 1, first_later)),
         clock.slot_day(F.col("future_slot") + HORIZON_HOURS - 1),
     )
     days = F.when(F.col("is_first"), F.concat(history, later)).otherwise(history)
@@ -211,9 +227,15 @@ def next_day_features(
     device_rate: bool = False,
     frame: str = "rows",
     partitions: int | None = None,
+    devices: str = "log",
 ) -> DataFrame:
-    """Features of the history before ``start`` and of the 24 hours from it, from the log."""
-    history = history_before(log, start)
-    rollup = day_rollup(history)
+    """Features of the history before ``start`` and of the 24 hours from it, from the log.
+
+    Devices come from the whole log; ``devices='history'`` leaves out those first seen at
+    or after ``start``, and the time then filters the scan.
+    """
+    if devices not in ("log", "history"):
+        raise ValueError(f"unknown devices {devices!r}: use 'log' or 'history'")
+    rollup = day_rollup(history_before(log, start) if devices == "history" else log, start)
     days = device_days(rollup, rollup_extent(rollup), start, partitions=partitions)
     return features_from_days(days, device_day_rates, fleet_day_rates, device_rate, frame)

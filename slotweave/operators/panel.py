@@ -57,9 +57,15 @@ def time_extent(log: DataFrame) -> Column:
     return times.scalar()
 
 
-def rollup_extent(rollup: DataFrame) -> Column:
-    """As ``time_extent``, read from a rollup that has been written to a table."""
-    first, last = F.min("earliest_activation"), F.max("latest_activation")
+def rollup_extent(rollup: DataFrame, start: Column | str | dt.datetime | None = None) -> Column:
+    """As ``time_extent``, read from a rollup; with ``start``, of the hours before it.
+
+    A lazy rollup is computed once: this and its other readers share its exchange.
+    """
+    times = [F.col("earliest_activation"), F.col("latest_activation")]
+    if start is not None:
+        times = [F.when(F.col("hour_index") < clock.hour_index_ceil(clock.as_time(start)), time) for time in times]
+    first, last = F.min(times[0]), F.max(times[1])
     return rollup.agg(F.struct(first.alias("first"), last.alias("last")).alias("extent")).scalar()
 
 
@@ -71,21 +77,30 @@ def devices(log: DataFrame) -> DataFrame:
     return log.select("device").where(F.col("device").isNotNull()).distinct()
 
 
-def hourly_rollup(log: DataFrame) -> DataFrame:
+def hourly_rollup(log: DataFrame, start: Column | str | dt.datetime | None = None) -> DataFrame:
     """First and last time and summed value per device and hour.
 
     The hour counts from 1970, not from an anchor, so rollups of separate loads can be
-    kept in one table.
+    kept in one table. With ``start``, all that a device has at or after the first hour to
+    predict becomes one row at that hour: it only tells that the device exists.
+
+    The filter holds for every row. It makes each reader ask for the same aggregates, so
+    that the readers of a lazy rollup share one scan and one exchange of the log.
     """
-    return (
+    hour = clock.hour_index(F.col("time"))
+    if start is not None:
+        hour = F.least(hour, clock.hour_index_ceil(clock.as_time(start)))
+    rollup = (
         usable(log)
-        .groupBy("device", clock.hour_index(F.col("time")).alias("hour_index"))
+        .groupBy("device", hour.alias("hour_index"))
         .agg(
             F.min("time").alias("earliest_activation"),
             F.max("time").alias("latest_activation"),
             F.coalesce(F.sum("device_activated"), F.lit(0)).cast("bigint").alias("total_activations"),
         )
     )
+    ordered = F.col("earliest_activation") <= F.col("latest_activation")
+    return rollup.where(ordered & F.col("total_activations").isNotNull())
 
 
 def history_before(log: DataFrame, start: Column | str | dt.datetime) -> DataFrame:
@@ -132,10 +147,12 @@ def panel_from_rollup(
     start: Column | str | dt.datetime | None = None,
     future_flag: str = "null",
     partitions: int | None = None,
+    cut_history: bool = False,
 ) -> DataFrame:
     """Gap-free panel of the history and, when ``start`` is given, of the hours to predict.
 
-    ``future_flag='null'`` leaves ``is_active`` unknown on the hours to predict;
+    With ``cut_history``, rows of the rollup at or after ``start`` are no history; their
+    devices get the hours to predict. ``future_flag='null'`` leaves ``is_active`` unknown on the hours to predict;
     ``'active'`` treats each of them as one event with the value -1.
     """
     if future_flag not in ("null", "active"):
@@ -145,10 +162,17 @@ def panel_from_rollup(
     placed = by_device(rollup, partitions).withColumn("extent", extent)
     first = F.col("extent.first")
     anchor = F.to_date(first) if anchor is None else clock.as_day(anchor)
+    is_later, next_hour = F.lit(False), F.lead("hour_index").over(in_order)
+    if cut_history:
+        cut = clock.hour_index_ceil(clock.as_time(start))
+        is_later, next_hour = F.col("hour_index") >= cut, F.when(next_hour < cut, next_hour)
+        # Without any history the calendar begins on the day to predict.
+        anchor = F.coalesce(anchor, F.to_date(first_future_hour(start)))
     spans = placed.select(
         "*",
         F.lag("hour_index").over(in_order).isNull().alias("is_first"),
-        F.lead("hour_index").over(in_order).alias("next_hour"),
+        is_later.alias("is_later"),
+        next_hour.alias("next_hour"),
         clock.hour_index(first).alias("first_hour"),
         _last_hour(F.col("extent"), clock.hour_index(first), grid).alias("last_hour"),
         clock.anchor_hour(anchor).alias("anchor_hour"),
@@ -157,6 +181,7 @@ def panel_from_rollup(
     # before it. The bounds are clamped to the grid, and an empty span yields no row.
     lower = F.when(F.col("is_first"), F.col("first_hour")).otherwise(F.col("hour_index"))
     upper = F.least(F.coalesce(F.col("next_hour") - 1, F.col("last_hour")), F.col("last_hour"))
+    upper = F.when(~F.col("is_later"), upper)
     history = F.struct(F.lit("train").alias("type"), lower.alias("lower"), upper.alias("upper"))
     pieces = F.array(history)
     if start is not None:
@@ -214,7 +239,8 @@ def hourly_panel(
     partitions: int | None = None,
 ) -> DataFrame:
     """The history panel: every device at every hour of the grid."""
-    return panel_from_rollup(hourly_rollup(log), time_extent(log), anchor, grid, partitions=partitions)
+    rollup = hourly_rollup(log)
+    return panel_from_rollup(rollup, rollup_extent(rollup), anchor, grid, partitions=partitions)
 
 
 def modelling_panel(
@@ -224,21 +250,31 @@ def modelling_panel(
     cut_history: bool = True,
     future_flag: str = "null",
     partitions: int | None = None,
+    devices: str = "log",
 ) -> DataFrame:
     """History and the 24 hours from ``start`` for every device, from one pass over the log.
 
     Equal to ``append(hourly_panel(...), future_panel(...))``, without the second scan for
     the devices and with the partitioning by device kept. ``cut_history=False`` keeps
     events at or after ``start``, so that history and future may share slots.
+
+    Devices come from the whole log, so the time is no filter of the scan.
+    ``devices='history'`` leaves out devices first seen at or after ``start``; then it is.
     """
-    history = history_before(log, start) if cut_history else log
+    if devices not in ("log", "history"):
+        raise ValueError(f"unknown devices {devices!r}: use 'log' or 'history'")
+    if cut_history and devices == "history":
+        log = history_before(log, start)
+    cut = start if cut_history else None
+    rollup = hourly_rollup(log, cut)
     return panel_from_rollup(
-        hourly_rollup(history),
-        time_extent(history),
+        rollup,
+        rollup_extent(rollup, cut),
         grid=grid,
         start=start,
         future_flag=future_flag,
         partitions=partitions,
+        cut_history=cut_history,
     )
 
 

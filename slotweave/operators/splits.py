@@ -6,16 +6,14 @@ import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from slotweave.functions.clock import HOURS_PER_WEEK
 
-# A hold-out of up to this many rows is broadcast for the anti join (keys only, a few MB).
-BROADCAST_ROWS = 100_000
-
 # Slots of the first week have no lag of a week.
 FIRST_FULL_SLOT = HOURS_PER_WEEK
 
+# Fixed names: columns of the model's table.
 LABEL = "is_active"
 MODEL_FEATURES = [
     "device",
@@ -95,36 +93,61 @@ def complete_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.na.drop(subset=list(columns))
 
 
-def draw(seed: int) -> Column:
+def draw(seed: int, keys: Sequence[str] = ("device", "hour_slot", "type")) -> Column:
     """A hex text that orders rows at random, fixed by the row's key and the seed alone.
 
     It does not depend on the partitioning, so a repeated or recomputed task draws the
     same rows, and any engine with MD5 can repeat the split.
     """
-    return F.md5(F.concat_ws("|", F.col("device"), F.col("hour_slot").cast("string"), F.lit(str(seed))))
+    return F.md5(F.concat_ws("|", *[F.col(key).cast("string") for key in keys], F.lit(str(seed))))
+
 
+def _nth_draw(rows: DataFrame, drawn: Column, n: Column | int) -> Column:
+    """The ``n``-th smallest draw as a scalar, null if there are fewer rows.
 
-def _fold_by_key(split: Split) -> Column:
+    Draws are counted by their first four letters, then, where the n-th lies, by their
+    first eight; only draws that share eight letters are put in order. No step sees more
+    than 16^4 counts or the 16^8-th part of the rows.
+    """
+    draws = rows.select(drawn.alias("draw"))
+    wanted = F.lit(n).cast("bigint")
+    for letters in (4, 8):
+        by_prefix = Window.orderBy("prefix")
+        counts = draws.groupBy(F.substring("draw", 1, letters).alias("prefix")).count()
+        counts = counts.withColumn("upto", F.sum("count").over(by_prefix))
+        holds = (F.col("upto") >= wanted) & (F.col("upto") - F.col("count") < wanted)
+        place = F.struct("prefix", (F.col("upto") - F.col("count")).alias("before"))
+        found = counts.where(holds).agg(F.min(place).alias("place")).scalar()
+        draws = draws.where(F.substring("draw", 1, letters) == found.getField("prefix"))
+        wanted = wanted - found.getField("before")
+    ranked = draws.withColumn("rank", F.row_number().over(Window.orderBy("draw")))
+    return ranked.where(F.col("rank") == wanted).agg(F.min("draw")).scalar()
+
+
+def _fold_by_key(split: Split, columns: Sequence[str]) -> Column:
     """The fold of a split that holds out a share or nothing."""
     if not split.holdout_share:
         return F.lit("all")
     if split.holdout_share == 1.0:
         return F.lit("test")
     cut = format(int(split.holdout_share * 16**8), "08x")
-    return F.when(F.substring(draw(split.seed), 1, 8) < cut, "test").otherwise("train")
+    keys = [key for key in ("device", "hour_slot", "type") if key in columns]
+    return F.when(F.substring(draw(split.seed, keys), 1, 8) < cut, "test").otherwise("train")
 
 
 def with_fold(rows: DataFrame, split: Split) -> DataFrame:
     """Adds ``fold``: ``train`` or ``test``, or ``all`` where the split holds nothing out."""
     if split.holdout_rows:
-        keys = ["device", "hour_slot"]
-        test = rows.select(*keys).orderBy(draw(split.seed), *keys).limit(split.holdout_rows)
-        test = test.withColumn("_held", F.lit(True))
-        if split.holdout_rows <= BROADCAST_ROWS:
-            test = F.broadcast(test)
-        marked = rows.join(test, keys, "left")
-        return marked.withColumn("fold", F.when(F.col("_held"), "test").otherwise("train")).drop("_held")
-    return rows.withColumn("fold", _fold_by_key(split))
+        keys = [key for key in ("device", "hour_slot", "type") if key in rows.columns]
+        drawn = draw(split.seed, keys)
+        # Repeats of a key draw alike; numbered, they can be told apart at the cut.
+        repeat = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
+        numbered = rows.withColumn("_repeat", repeat)
+        order = F.concat(drawn, F.lpad(F.col("_repeat").cast("string"), 12, "0"))
+        cut = _nth_draw(numbered, order, split.holdout_rows)
+        fold = F.when(F.coalesce(order <= cut, F.lit(True)), "test").otherwise("train")
+        return numbered.withColumn("fold", fold).drop("_repeat")
+    return rows.withColumn("fold", _fold_by_key(split, rows.columns))
 
 
 def _wanted(x_columns: Sequence[str], y_column: str) -> list[str]:
@@ -157,7 +180,7 @@ def split_table(
     if any(plan.holdout_rows or isinstance(plan.devices, DataFrame) for plan in plans):
         return functools.reduce(DataFrame.unionByName, [split_rows(table, plan, x_columns, y_column) for plan in plans])
     members = [
-        F.when(_condition(plan), F.struct(F.lit(plan.name).alias("split"), _fold_by_key(plan).alias("fold")))
+        F.when(_condition(plan), F.struct(F.lit(plan.name).alias("split"), _fold_by_key(plan, table.columns).alias("fold")))
         for plan in plans
     ]
     found = F.explode(F.array_compact(F.array(*members)))

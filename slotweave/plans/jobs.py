@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from slotweave.functions import clock
 from slotweave.operators import forecast as additive, forest, metrics, splits
 from slotweave.operators.day_features import day_rollup, device_days, features_from_days
-from slotweave.operators.panel import history_before, hourly_rollup, panel_from_rollup, rollup_extent
+from slotweave.operators.panel import first_future_hour, hourly_rollup, panel_from_rollup, rollup_extent
 from slotweave.operators.rates import model_features
 from slotweave.session import write_stage
 from slotweave.sources.activations import read_log, request_time
@@ -45,9 +45,8 @@ class Prepared:
 
 def prepare(log: DataFrame, start: str, options: Options = Options(), device_rate: bool = True) -> Prepared:
     """Features of history and future rows, lazily, over a rollup written once."""
-    history = history_before(log, start) if options.cut_history else log
     if options == Options():
-        rollup = write_stage(day_rollup(history), "rollup")
+        rollup = write_stage(day_rollup(log, start), "rollup")
         extent = rollup_extent(rollup)
         features = features_from_days(
             device_days(rollup, extent, start),
@@ -55,13 +54,19 @@ def prepare(log: DataFrame, start: str, options: Options = Options(), device_rat
             fleet_day_rates=False,
             device_rate=device_rate,
         )
-        return Prepared(features, F.to_date(extent.getField("first")))
+        return Prepared(features, _anchor(extent, start))
     # The other forms need the cells themselves: they let history and future overlap, or
     # treat the latest cell apart.
-    rollup = write_stage(hourly_rollup(history), "rollup")
-    extent = rollup_extent(rollup)
+    cut = start if options.cut_history else None
+    rollup = write_stage(hourly_rollup(log, cut), "rollup")
+    extent = rollup_extent(rollup, cut)
     panel = panel_from_rollup(
-        rollup, extent, grid=options.grid, start=start, future_flag=options.future_flag
+        rollup,
+        extent,
+        grid=options.grid,
+        start=start,
+        future_flag=options.future_flag,
+        cut_history=options.cut_history,
     )
     features = model_features(
         panel,
@@ -71,7 +76,12 @@ def prepare(log: DataFrame, start: str, options: Options = Options(), device_rat
         device_rate=device_rate,
     )
     features = features.drop("earliest_activation", "latest_activation", "total_activations")
-    return Prepared(features, F.to_date(extent.getField("first")))
+    return Prepared(features, _anchor(extent, start))
+
+
+def _anchor(extent: Column, start: str) -> Column:
+    """The first day of the history, or the day to predict if there is none."""
+    return F.coalesce(F.to_date(extent.getField("first")), F.to_date(first_future_hour(start)))
 
 
 @dataclass(frozen=True)

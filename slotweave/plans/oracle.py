@@ -6,6 +6,8 @@ The statements are put together from named CTEs. They state the definitions dire
 
 from __future__ import annotations
 
+import re
+
 AT_END = "TIMESTAMP '2024-01-30 23:59:59'"
 INSIDE = "TIMESTAMP '2024-01-15 13:59:59'"
 
@@ -68,14 +70,19 @@ def _future(time: str, active: bool) -> str:
   SELECT device, hour_slot, {CALENDAR}, {stats}, 'predict' AS type
   FROM (SELECT d.device, anchor,
           CAST(date_diff('hour', CAST(anchor AS TIMESTAMP), {_first_future(time)}) + step AS INTEGER) AS hour_slot
-        FROM (SELECT DISTINCT device FROM log) d, span, (SELECT unnest(range(0, 24)) AS step) s) hours)"""
+        FROM (SELECT DISTINCT 'device_' || CAST(user_id AS VARCHAR) AS device FROM events
+              WHERE ts IS NOT NULL AND user_id IS NOT NULL) d, span, (SELECT unnest(range(0, 24)) AS step) s) hours)"""
 
 
 PANEL = "panel AS (SELECT * FROM history UNION ALL SELECT * FROM future)"
 
 
+SHARED = r"\b(log|clock|rollup_rows|history|panel|model) AS \("
+
+
 def _with(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
+    """A WITH clause; what several parts read is computed once."""
+    return "WITH " + re.sub(SHARED, r"\1 AS MATERIALIZED (", ",\n".join(ctes)) + "\n"
 
 
 HISTORY_CTES = (LOG, ROLLUP, BOUNDS_SPAN, HISTORY)
@@ -90,7 +97,8 @@ PANEL_COLUMNS = """device, hour_slot, hour_of_day, hour_of_week, day_num, week_n
 
 def _lag(hours: int, name: str) -> str:
     return f"""SELECT p.device, p.hour_slot, CAST(coalesce(e.is_active, 0) AS DOUBLE) AS {name}
-FROM panel p LEFT JOIN panel e ON e.device = p.device AND e.hour_slot = p.hour_slot - {hours}"""
+FROM panel p LEFT JOIN (SELECT device, hour_slot + {hours} AS later_slot, is_active FROM panel) e
+  ON e.device = p.device AND e.later_slot = p.hour_slot"""
 
 
 def _mean_before(cycle: str) -> str:
@@ -134,8 +142,10 @@ DAY_RATE_COLUMNS = """round({0}d.activation_rate{1}, 9) AS yesterdays_device_act
 DAY_JOINS = """LEFT JOIN device_weeks d ON d.device = p.device AND d.lead_day_num = p.day_num
 LEFT JOIN fleet_weeks f ON f.lead_day_num = p.day_num"""
 
-LAG_JOINS = """LEFT JOIN panel y ON y.device = p.device AND y.day_num = p.day_num - 1 AND y.hour_of_day = p.hour_of_day
-LEFT JOIN panel w ON w.device = p.device AND w.week_num = p.week_num - 1 AND w.hour_of_week = p.hour_of_week"""
+LAG_JOINS = """LEFT JOIN (SELECT device, day_num + 1 AS next_day, hour_of_day, is_active FROM panel) y
+  ON y.device = p.device AND y.next_day = p.day_num AND y.hour_of_day = p.hour_of_day
+LEFT JOIN (SELECT device, week_num + 1 AS next_week, hour_of_week, is_active FROM panel) w
+  ON w.device = p.device AND w.next_week = p.week_num AND w.hour_of_week = p.hour_of_week"""
 
 FEATURES = f"""SELECT DISTINCT p.device, p.hour_slot, p.hour_of_day, p.hour_of_week, p.day_of_week, p.type, p.is_active,
   CAST(coalesce(w.is_active, 0) AS DOUBLE) AS is_active_last_week,
@@ -174,7 +184,7 @@ model AS (
 MODEL_COLUMNS = """device, hour_slot, hour_of_day, hour_of_week, day_of_week, is_active_yesterday,
   is_active_last_week, daily_activation_rate, weekly_activation_rate, is_active"""
 
-DRAW = "md5(device || '|' || CAST(hour_slot AS VARCHAR) || '|7')"
+DRAW = "md5(device || '|' || CAST(hour_slot AS VARCHAR) || '|' || type || '|7')"
 
 SCORED = f"""scored AS (
   SELECT device, is_active AS label, round(rate, 9) AS score, CAST(rate >= 0.1 AS INTEGER) AS predicted

@@ -81,9 +81,12 @@ def hourly_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 def hour_labels(spark: SparkSession, folder: str) -> DataFrame:
     log = _log(spark, folder)
-    anchor = panels.first_day(log)
-    cells = panels.hourly_panel(log).select("hour_slot").distinct()
-    return cells.select("hour_slot", clock.slot_label(F.col("hour_slot"), anchor).alias("time"))
+    extent = panels.time_extent(log)
+    span = spark.range(1).select(extent.alias("extent")).select("extent.first", "extent.last")
+    anchor = F.to_date("first")
+    slots = F.sequence(clock.hour_slot(F.col("first"), anchor), clock.hour_slot(F.col("last"), anchor))
+    cells = span.select(anchor.alias("anchor"), F.explode(slots).alias("hour_slot"))
+    return cells.select("hour_slot", clock.slot_label(F.col("hour_slot"), F.col("anchor")).alias("time"))
 
 
 def hourly_panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,9 +109,10 @@ def future_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def panel_union(spark: SparkSession, folder: str) -> DataFrame:
-    log = panels.history_before(_log(spark, folder), AT_END)
-    future = panels.future_panel(panels.devices(log), AT_END, panels.first_day(log))
-    return panels.append(panels.hourly_panel(log), future)
+    log = _log(spark, folder)
+    history = panels.history_before(log, AT_END)
+    future = panels.future_panel(panels.devices(log), AT_END, panels.first_day(history))
+    return panels.append(panels.hourly_panel(history), future)
 
 
 def modelling_panel(spark: SparkSession, folder: str) -> DataFrame:
