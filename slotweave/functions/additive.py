@@ -16,7 +16,8 @@ LEVEL_SCALE = 5.0
 COEFFICIENT_SCALE = 10.0
 NOISE_SCALE = 0.5
 
-NOISE_ROUNDS = 20
+# Far more than the rounds it takes; running out of them is an error.
+NOISE_ROUNDS = 10_000
 LEAST_VARIANCE = 1e-9
 
 
@@ -38,7 +39,7 @@ def fit_additive(design: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Coefficients (the first column is the level) at the posterior mode.
 
     For a fixed noise the mode is a ridge solution; for fixed coefficients the variance v
-    solves v^2 / NOISE_SCALE^2 + n v = sum of squares. A few rounds of both settle.
+    solves v^2 / NOISE_SCALE^2 + n v = sum of squares. Rounds of both go on until the noise has settled.
     """
     prior = np.full(design.shape[1], COEFFICIENT_SCALE**-2)
     prior[0] = LEVEL_SCALE**-2
@@ -53,13 +54,23 @@ def fit_additive(design: np.ndarray, target: np.ndarray) -> np.ndarray:
         settled = 2.0 * squares / (count + np.sqrt(count**2 + 4.0 * tight * squares))
         settled = max(settled, LEAST_VARIANCE)
         if abs(settled - variance) <= 1e-10 * variance:
-            break
+            return weights
         variance = settled
-    return weights
+    raise ArithmeticError("the noise of the additive model did not settle")
 
 
-def forecast_device(rows: pa.Table, regressors: list[str]) -> pa.Table:
-    """Fit one device's history and forecast its rows to predict."""
+def largest_residual(design: np.ndarray, target: np.ndarray, weights: np.ndarray) -> float:
+    """How far ``weights`` are from solving the ridge equations at the noise they imply, relative to their size."""
+    prior = np.full(design.shape[1], COEFFICIENT_SCALE**-2)
+    prior[0] = LEVEL_SCALE**-2
+    left = target - design @ weights
+    squares, tight = float(left @ left), NOISE_SCALE**-2
+    variance = max(2.0 * squares / (len(target) + np.sqrt(len(target) ** 2 + 4.0 * tight * squares)), LEAST_VARIANCE)
+    return float(np.abs(design.T @ left - variance * prior * weights).max() / max(1.0, float(np.abs(design.T @ target).max())))
+
+
+def forecast_device(rows: pa.Table, regressors: list[str], residuals: bool = False) -> pa.Table:
+    """Fit one device's history and forecast its rows to predict, or tell how exact the fit is."""
 
     def values(name: str) -> np.ndarray:
         return rows.column(name).to_numpy().astype(float)
@@ -72,6 +83,8 @@ def forecast_device(rows: pa.Table, regressors: list[str]) -> pa.Table:
     if len(target) < 2 or np.ptp(target) == 0.0:
         # Nothing to fit: the forecast is the level itself.
         level = float(target.mean()) if len(target) else None
+        if residuals:
+            return pa.table({"device": rows.column("device").slice(0, 1), "residual": [0.0]})
         return future.append_column("yhat", pa.array([level] * future.num_rows, pa.float64()))
     inputs = np.column_stack([values(name) for name in regressors])
     design = np.hstack(
@@ -83,4 +96,7 @@ def forecast_device(rows: pa.Table, regressors: list[str]) -> pa.Table:
         ]
     )
     weights = fit_additive(design[is_train], target)
+    if residuals:
+        rest = largest_residual(design[is_train], target, weights)
+        return pa.table({"device": rows.column("device").slice(0, 1), "residual": [rest]})
     return future.append_column("yhat", pa.array(design[is_future] @ weights))

@@ -49,5 +49,16 @@ def forecast(features: DataFrame, regressors: Sequence[str] = REGRESSORS) -> Dat
     return raw.withColumn("yhat", clip_below(F.col("yhat"), 0.0))
 
 
+def fit_residuals(features: DataFrame, regressors: Sequence[str] = REGRESSORS) -> DataFrame:
+    """``device, residual``: how far each device's coefficients are from their equations."""
+    fit, names = additive.forecast_device, list(regressors)
+
+    def check(rows):
+        return fit(rows, names, True)
+
+    needed = features.select("device", "hour_slot", "type", "is_active", *names)
+    return needed.groupBy("device").applyInArrow(check, "device string, residual double")
+
+
 def forecast_labels(forecasts: DataFrame, cut: float = LABEL_CUT) -> DataFrame:
     return forecasts.withColumn("activation_predicted1", to_label(F.col("yhat"), cut))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -13,9 +14,6 @@ from pyspark.sql import DataFrame, functions as F
 from slotweave.functions.clock import HOURS_PER_WEEK
 from slotweave.operators.splits import LABEL, MODEL_FEATURES, complete_rows
 
-# Above this many devices one column per device costs more memory per row than the row.
-ONE_HOT_LIMIT = 100
-
 DEVICE_RATE = "device_rate_so_far"
 
 
@@ -23,9 +21,8 @@ DEVICE_RATE = "device_rate_so_far"
 class ForestSettings:
     """Size of the forest and how it sees the device.
 
-    ``encoding``: ``onehot`` gives each device a 0/1 column, ``rate`` the device's
-    activation rate so far (fixed width, for any number of devices), ``auto`` takes
-    ``onehot`` up to ``ONE_HOT_LIMIT`` devices.
+    ``encoding``: ``rate`` gives the device's activation rate so far (fixed width, for any
+    number of devices), ``onehot`` a 0/1 column per device (its names go to the driver).
     """
 
     trees: int = 512
@@ -35,40 +32,52 @@ class ForestSettings:
     bins: int = HOURS_PER_WEEK  # every hour of the week can be a threshold
     memory_mb: int = 1024
     seed: int = 42
-    encoding: str = "auto"
-
-
-def resolve_encoding(rows: DataFrame, settings: ForestSettings) -> ForestSettings:
-    """Replace ``auto``; reads at most ``ONE_HOT_LIMIT + 1`` device names."""
-    if settings.encoding != "auto":
-        return settings
-    seen = rows.select("device").distinct().limit(ONE_HOT_LIMIT + 1).count()
-    return replace(settings, encoding="onehot" if seen <= ONE_HOT_LIMIT else "rate")
+    encoding: str = "rate"
 
 
-def model_inputs(encoding: str) -> list[str]:
+def model_inputs(encoding: str, columns: Sequence[str] = MODEL_FEATURES) -> list[str]:
     """The columns a model reads."""
     if encoding == "onehot":
-        return MODEL_FEATURES
+        return list(columns)
     if encoding == "rate":
-        return [DEVICE_RATE if name == "device" else name for name in MODEL_FEATURES]
-    raise ValueError(f"unknown encoding {encoding!r}: use 'onehot', 'rate' or 'auto'")
+        return [DEVICE_RATE if name == "device" else name for name in columns]
+    raise ValueError(f"unknown encoding {encoding!r}: use 'onehot' or 'rate'")
+
+
+def device_flag_stages() -> list:
+    """A 0/1 column per device, in the order of the names."""
+    return [
+        StringIndexer(inputCol="device", outputCol="_device_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCol="_device_index", outputCol="_device_flags", dropLast=False),
+    ]
+
+
+def device_flags(rows: DataFrame) -> DataFrame:
+    """``device``, the place of its column, the number of flags set, and that of all columns.
+
+    The last column is for devices not seen in training.
+    """
+    coded = Pipeline(stages=device_flag_stages()).fit(rows).transform(rows.select("device").distinct())
+    flags = vector_to_array("_device_flags")
+    return coded.select(
+        "device",
+        F.col("_device_index").cast("int").alias("device_index"),
+        F.aggregate(flags, F.lit(0.0), lambda total, x: total + x).cast("int").alias("flags_set"),
+        F.size(flags).alias("width"),
+    )
 
 
-def forest_pipeline(settings: ForestSettings) -> Pipeline:
-    inputs = model_inputs(settings.encoding)
+def forest_pipeline(settings: ForestSettings, columns: Sequence[str] = MODEL_FEATURES, label: str = LABEL) -> Pipeline:
+    inputs = model_inputs(settings.encoding, columns)
     stages: list = []
-    if settings.encoding == "onehot":
-        stages += [
-            StringIndexer(inputCol="device", outputCol="_device_index", handleInvalid="keep"),
-            OneHotEncoder(inputCol="_device_index", outputCol="_device_flags", dropLast=False, handleInvalid="keep"),
-        ]
+    if settings.encoding == "onehot" and "device" in inputs:
+        stages += device_flag_stages()
         inputs = ["_device_flags" if name == "device" else name for name in inputs]
     stages += [
         VectorAssembler(inputCols=inputs, outputCol="_features"),
         RandomForestClassifier(
             featuresCol="_features",
-            labelCol=LABEL,
+            labelCol=label,
             predictionCol="_prediction",
             probabilityCol="_probability",
             rawPredictionCol="_votes",
@@ -84,11 +93,15 @@ def forest_pipeline(settings: ForestSettings) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def train_forest(rows: DataFrame, settings: ForestSettings = ForestSettings()) -> PipelineModel:
+def train_forest(
+    rows: DataFrame,
+    settings: ForestSettings = ForestSettings(),
+    columns: Sequence[str] = MODEL_FEATURES,
+    label: str = LABEL,
+) -> PipelineModel:
     """Fit on labelled rows. Training makes many passes: give it a written table."""
-    settings = resolve_encoding(rows, settings)
-    needed = [*model_inputs(settings.encoding), LABEL]
-    return forest_pipeline(settings).fit(complete_rows(rows.select(*needed), needed))
+    needed = [*model_inputs(settings.encoding, columns), label]
+    return forest_pipeline(settings, columns, label).fit(complete_rows(rows.select(*needed), needed))
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -6,13 +6,12 @@ a null label are not counted.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from slotweave.functions.scalars import device_number, percent_of
 
-# Pooled scores are ordered slice by slice.
-SCORE_SLICES = 256
-
 
 def _counts_by_score(scored: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Positives and negatives per key and distinct score; equal scores become one row."""
@@ -71,26 +70,29 @@ def roc_points(
     )
 
 
-def auc_by_device(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Area under each device's ROC curve; null where the device has one class only."""
-    higher = (
-        Window.partitionBy("device").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
+def auc_by_device(
+    scored: DataFrame, score: str = "score", label: str = "label", keys: Sequence[str] = ("device",)
+) -> DataFrame:
+    """Area under the ROC curve of each device (or ``keys``); null where it has one class only."""
+    keys = list(keys)
+    higher = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
     above = F.coalesce(F.sum("positives").over(higher), F.lit(0))
-    curve = _counts_by_score(scored, ["device"], score, label).withColumn("positives_above", above)
+    curve = _counts_by_score(scored, keys, score, label).withColumn("positives_above", above)
     area = F.sum(F.col("negatives") * (F.col("positives_above") + F.col("positives") / 2))
     pairs = F.sum("positives").cast("double") * F.sum("negatives").cast("double")
-    return curve.groupBy("device").agg((area / F.nullif(pairs, F.lit(0.0))).alias("auc"))
+    return curve.groupBy(*keys).agg((area / F.nullif(pairs, F.lit(0.0))).alias("auc"))
 
 
-def auc_pooled(scored: DataFrame, score: str = "score", label: str = "label", slices: int = SCORE_SLICES) -> DataFrame:
+def auc_pooled(scored: DataFrame, score: str = "score", label: str = "label", slices: int | None = None) -> DataFrame:
     """Exact area under the ROC curve of all rows together.
 
     A single ordered window over all scores would run on one task. The distinct scores
     are cut into slices at approximate quantiles; each slice is ordered on its own and
     starts from the positives of the slices above it. The cuts only balance the work,
-    any cuts give the same area. The slice totals are at most ``slices + 1`` rows.
+    any cuts give the same area. The slice totals are at most ``slices + 1`` rows; without
+    a number there are as many slices as shuffle partitions.
     """
+    slices = slices or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = _counts_by_score(scored, [], score, label)
     steps = [i / slices for i in range(1, slices)]
     cuts = counts.agg(F.percentile_approx("score", steps, 10 * slices).alias("cuts")).scalar()
@@ -126,13 +128,15 @@ def accuracy(scored: DataFrame, keys: list[str], predicted: str = "predicted", l
     return scored.groupBy(*keys).agg(F.avg(hit).alias("accuracy"))
 
 
-def confusion_by_device(scored: DataFrame, predicted: str = "predicted", label: str = "label") -> DataFrame:
-    """Counts of the four outcomes per device, and each as percent of the device's rows."""
+def confusion_by_device(
+    scored: DataFrame, predicted: str = "predicted", label: str = "label", keys: Sequence[str] = ("device",)
+) -> DataFrame:
+    """Counts of the four outcomes per device (and other ``keys``), and each as percent of the rows."""
 
     def outcome(actual: int, forecast: int):
         return F.count_if((F.col(label) == actual) & (F.col(predicted) == forecast))
 
-    counts = scored.groupBy("device").agg(
+    counts = scored.groupBy(*keys).agg(
         outcome(0, 0).alias("tn"),
         outcome(0, 1).alias("fp"),
         outcome(1, 0).alias("fn"),
@@ -140,7 +144,7 @@ def confusion_by_device(scored: DataFrame, predicted: str = "predicted", label:
     )
     total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     return counts.select(
-        "device",
+        *keys,
         device_number(F.col("device")).alias("device_number"),
         "tn",
         "fp",
@@ -151,10 +155,14 @@ def confusion_by_device(scored: DataFrame, predicted: str = "predicted", label:
 
 
 def device_report(
-    scored: DataFrame, score: str = "score", predicted: str = "predicted", label: str = "label"
+    scored: DataFrame,
+    score: str = "score",
+    predicted: str = "predicted",
+    label: str = "label",
+    keys: Sequence[str] = ("device",),
 ) -> DataFrame:
-    """AUC, accuracy and confusion counts side by side, one row per device."""
-    counts = confusion_by_device(scored, predicted, label)
+    """AUC, accuracy and confusion counts side by side, one row per device (and other ``keys``)."""
+    counts = confusion_by_device(scored, predicted, label, keys)
     rows = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     right = (F.col("tn") + F.col("tp")) / F.nullif(rows, F.lit(0))
-    return counts.withColumn("accuracy", right).join(auc_by_device(scored, score, label), "device", "left")
+    return counts.withColumn("accuracy", right).join(auc_by_device(scored, score, label, keys), list(keys), "left")

@@ -167,6 +167,38 @@ def with_fleet_day_rates(rows: DataFrame, panel: DataFrame, frame: str = "rows")
     return rows.join(F.broadcast(fleet), "day_num", "left")
 
 
+def previous_day_rates(panel: DataFrame, frame: str = "rows") -> DataFrame:
+    """``device, hour_slot`` and the four rates of the days before, of device and fleet.
+
+    Same values as ``with_device_day_rates`` and ``with_fleet_day_rates``, computed on one
+    row per device and day; its hours are written out last. The panel's partitioning by
+    device carries the aggregation and the windows, so only the fleet's days are shuffled.
+    """
+    days = panel.groupBy("device", "day_num").agg(
+        F.sum("is_active").alias("active"), F.count("is_active").alias("known"), F.collect_list("hour_slot").alias("slots")
+    )
+    days = days.withColumn("activation_rate", F.col("active") / F.nullif("known", F.lit(0)))
+    in_order = Window.partitionBy("device").orderBy("day_num")
+    yesterday = in_order.rangeBetween(-1, -1)
+    week = in_order.rowsBetween(-ROLLING_DAYS, -1) if frame == "rows" else in_order.rangeBetween(-ROLLING_DAYS, -1)
+    full = (F.count(F.lit(1)).over(yesterday) > 0) & (F.count("activation_rate").over(week) == ROLLING_DAYS)
+    rated = days.select(
+        "device",
+        "day_num",
+        "slots",
+        F.max("activation_rate").over(yesterday).alias("yesterdays_device_activation_rate"),
+        F.when(full, F.avg("activation_rate").over(week)).alias("last_weeks_device_activation_rate"),
+    )
+    daily = days.groupBy("day_num").agg((F.sum("active") / F.nullif(F.sum("known"), F.lit(0))).alias("activation_rate"))
+    fleet = rolling_week(daily, [], frame).select(
+        F.col("lead_day_num").alias("day_num"),
+        F.col("activation_rate").alias("yesterdays_all_device_activation_rate"),
+        F.col("weeks_activation_rate").alias("last_weeks_all_device_activation_rate"),
+    )
+    joined = rated.join(F.broadcast(fleet), "day_num", "left")
+    return joined.select("device", F.explode("slots").alias("hour_slot"), *FEATURES[4:])
+
+
 def model_features(
     panel: DataFrame,
     rates: str = "before_now",

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,7 +22,7 @@ from slotweave.operators import forecast as additive, forest, metrics, splits
 from slotweave.operators.day_features import day_rollup, device_days, features_from_days
 from slotweave.operators.panel import first_future_hour, hourly_rollup, panel_from_rollup, rollup_extent
 from slotweave.operators.rates import model_features
-from slotweave.session import write_stage
+from slotweave.session import drop_stages, write_stage
 from slotweave.sources.activations import read_log, request_time
 from slotweave.sources.sinks import write_csv, write_json
 
@@ -92,9 +92,10 @@ class ForestRun:
     """Labelled training and held-out rows with their predictions, told apart by ``fold``."""
 
 
-def _prediction_table(predicted: DataFrame, anchor: Column) -> DataFrame:
+def _prediction_table(predicted: DataFrame, anchor: Column, probability: bool = False) -> DataFrame:
+    more = ["activation_probability"] if probability else []
     return predicted.select(
-        "activation_predicted", "device", clock.slot_label(F.col("hour_slot"), anchor).alias("time")
+        "activation_predicted", "device", clock.slot_label(F.col("hour_slot"), anchor).alias("time"), *more
     )
 
 
@@ -105,17 +106,25 @@ def run_forest(
     options: Options = Options(),
     holdout_share: float = 0.2,
     holdout_rows: int = 0,
+    plan: dict[str, splits.Split] | None = None,
+    x_columns: Sequence[str] = splits.MODEL_FEATURES,
+    y_column: str = splits.LABEL,
+    probability: bool = False,
 ) -> ForestRun:
-    """Train on the history and predict the 24 hours from ``start`` for every device."""
+    """Train on the history and predict the 24 hours from ``start`` for every device.
+
+    ``plan`` replaces the default splits ``train`` and ``predict``; it may narrow slots,
+    devices and hold-out. ``x_columns`` and ``y_column`` are the model's columns.
+    """
     ready = prepare(log, start, options)
     table = write_stage(ready.features, "features", partition_by="type")
-    plan = splits.default_splits(holdout_share, holdout_rows)
+    plan = splits.default_splits(holdout_share, holdout_rows) | (plan or {})
     labelled = splits.with_fold(splits.select_rows(table, plan["train"]), plan["train"])
     to_predict = splits.select_rows(table, plan["predict"])
-    model = forest.train_forest(labelled.where(F.col("fold") != "test"), settings)
+    model = forest.train_forest(labelled.where(F.col("fold") != "test"), settings, x_columns, y_column)
     return ForestRun(
         model=model,
-        predictions=_prediction_table(forest.predict(model, to_predict), ready.anchor),
+        predictions=_prediction_table(forest.predict(model, to_predict), ready.anchor, probability),
         scored=forest.predict(model, labelled),
     )
 
@@ -127,12 +136,8 @@ def fold_report(run: ForestRun) -> DataFrame:
     """
     needed = ["device", "fold", splits.LABEL, "activation_probability", "activation_predicted"]
     scored = write_stage(run.scored.select(*needed), "scored")
-    parts = []
-    for fold in ("train", "test"):
-        rows = scored.where(F.col("fold") == fold)
-        report = metrics.device_report(rows, "activation_probability", "activation_predicted", splits.LABEL)
-        parts.append(report.withColumn("fold", F.lit(fold)))
-    return parts[0].unionByName(parts[1])
+    names = ("activation_probability", "activation_predicted", splits.LABEL)
+    return metrics.device_report(scored, *names, keys=["device", "fold"])
 
 
 def run_forecast(log: DataFrame, start: str, options: Options = Options()) -> DataFrame:
@@ -163,7 +168,14 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
         job.add_argument("log", help="activation log, CSV or Parquet")
         job.add_argument("out", help="folder for the predictions (CSV)")
     train.add_argument("--trees", type=int, default=forest.ForestSettings.trees)
-    train.add_argument("--encoding", default="auto", choices=["auto", "onehot", "rate"])
+    train.add_argument("--depth", type=int, default=forest.ForestSettings.depth)
+    train.add_argument("--features-per-split", type=int, default=forest.ForestSettings.features_per_split)
+    train.add_argument("--encoding", default=forest.ForestSettings.encoding, choices=["rate", "onehot"])
+    train.add_argument("--columns", nargs="+", default=splits.MODEL_FEATURES, help="columns of the model")
+    train.add_argument("--from-slot", type=int, default=splits.FIRST_FULL_SLOT, help="first hour slot to train on")
+    train.add_argument("--to-slot", type=int, help="last hour slot to train on")
+    train.add_argument("--devices", nargs="+", help="devices to train on (default: all)")
+    train.add_argument("--probability", action="store_true", help="write the probability as well")
     train.add_argument("--holdout-share", type=float, default=0.2)
     train.add_argument("--holdout-rows", type=int, default=0)
     train.add_argument("--save-model", metavar="DIR")
@@ -178,17 +190,35 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
         job.add_argument("--future-flag", default="null", choices=["null", "active"])
         job.add_argument("--rates", default="before_now", choices=["before_now", "latest_only"])
         job.add_argument("--single-file", action="store_true", help="one output file, for small results")
+        job.add_argument("--log-kind", choices=["csv", "parquet"], help="default: by the path's ending")
+        job.add_argument("--source-zone", default="UTC", help="zone of the log's times if they are instants")
+        job.add_argument("--partitions", type=int, help="shuffle partitions; devices times hours of the span / 10 million is a start")
     return parser.parse_args(argv)
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _arguments(argv)
     spark = spark or SparkSession.builder.appName(f"slotweave-{args.job}").getOrCreate()
-    log = read_log(spark, args.log)
+    try:
+        run_command(argv, spark)
+    finally:
+        drop_stages(spark)
+
+
+def run_command(argv: Sequence[str] | None, spark: SparkSession) -> None:
+    """One job; its stages stay in the shared folder."""
+    args = _arguments(argv)
+    if args.partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", args.partitions)
+    log = read_log(spark, args.log, args.log_kind, args.source_zone)
     options = Options(args.grid, not args.keep_later_events, args.future_flag, args.rates)
     if args.job == "forest":
-        settings = forest.ForestSettings(trees=args.trees, encoding=args.encoding)
-        run = run_forest(log, args.time, settings, options, args.holdout_share, args.holdout_rows)
+        settings = forest.ForestSettings(args.trees, args.depth, args.features_per_split, encoding=args.encoding)
+        train = splits.default_splits(args.holdout_share, args.holdout_rows)["train"]
+        train = replace(train, start_hour=args.from_slot, end_hour=args.to_slot, devices=args.devices or "all")
+        run = run_forest(
+            log, args.time, settings, options, plan={"train": train}, x_columns=args.columns, probability=args.probability
+        )
         if args.save_model:
             forest.save_model(run.model, args.save_model)
         write_csv(run.predictions, args.out, args.single_file)
@@ -199,7 +229,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     else:
         model = forest.load_model(args.model)
         scored = run_scoring(log, request_time(spark, args.request), model, options)
-        write_json(scored, args.out, args.single_file)
+        write_json(scored, args.out, args.single_file, ["device", "time"])
 
 
 if __name__ == "__main__":

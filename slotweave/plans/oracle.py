@@ -186,6 +186,14 @@ MODEL_COLUMNS = """device, hour_slot, hour_of_day, hour_of_week, day_of_week, is
 
 DRAW = "md5(device || '|' || CAST(hour_slot AS VARCHAR) || '|' || type || '|7')"
 
+TRAIN_DRAW = DRAW.replace("|7", "|0")
+
+# 24 rows per device of the log, from the first hour at or after the prediction time, labels 0 or 1.
+CONTRACT = _with(LOG) + f"""SELECT device, CAST(24 AS BIGINT) AS rows,
+  strftime({_first_future(AT_END)}, '%Y-%m-%d %H:%M:%S') AS first_time,
+  strftime({_first_future(AT_END)} + INTERVAL 23 HOUR, '%Y-%m-%d %H:%M:%S') AS last_time, CAST(0 AS BIGINT) AS odd_labels
+FROM (SELECT DISTINCT device FROM log) d"""
+
 SCORED = f"""scored AS (
   SELECT device, is_active AS label, round(rate, 9) AS score, CAST(rate >= 0.1 AS INTEGER) AS predicted
   FROM (SELECT device, hour_slot, is_active, {_mean_before("hour_of_week")} AS rate FROM history) rated
@@ -357,4 +365,30 @@ FROM (SELECT device, hour_slot, CASE WHEN raw < 0 THEN 0.0 ELSE raw END AS yhat
 FROM rated, span WHERE type = 'predict'""",
     "request_time": f"""SELECT first_hour + to_hours(CAST(step AS INTEGER)) AS time
 FROM (SELECT {_first_future("max(ts)")} AS first_hour FROM events) last_event, (SELECT unnest(range(0, 24)) AS step) steps""",
+    "csv_any_order": _with(LOG) + "SELECT time, device, device_activated FROM log",
+    "holdout_rows_overlap": _with(*OVERLAP_CTES)
+    + f"""SELECT device, type, fold, count(*) AS rows, CAST(sum(hour_slot) AS BIGINT) AS slots
+FROM (SELECT device, type, hour_slot,
+        CASE WHEN row_number() OVER (ORDER BY {DRAW}) <= 2000 THEN 'test' ELSE 'train' END AS fold
+      FROM panel WHERE hour_slot >= 168) drawn
+GROUP BY device, type, fold""",
+    "device_flags": _with(LOG)
+    + """SELECT device, CAST(row_number() OVER (ORDER BY device) - 1 AS INTEGER) AS device_index,
+  CAST(1 AS INTEGER) AS flags_set, CAST(count(*) OVER () + 1 AS INTEGER) AS width
+FROM (SELECT DISTINCT device FROM log) d""",
+    "forest_report_counts": _with(*END_CTES)
+    + f"""SELECT device, CASE WHEN substr({TRAIN_DRAW}, 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS fold,
+  count(*) AS rows
+FROM panel WHERE type = 'train' AND hour_slot >= 168 GROUP BY ALL""",
+    "forest_contract": CONTRACT,
+    "forecast_contract": CONTRACT,
+    "job_roundtrip": CONTRACT,
+    "score_reload_agreement": _with(LOG)
+    + "SELECT device, CAST(24 AS BIGINT) AS rows, CAST(24 AS BIGINT) AS agreements FROM (SELECT DISTINCT device FROM log) d",
+    "forest_custom_split": _with(*END_CTES)
+    + """SELECT device, 'all' AS fold, count(*) AS rows, min(hour_slot) AS first_slot, max(hour_slot) AS last_slot
+FROM panel WHERE type = 'train' AND hour_slot BETWEEN 200 AND 500 AND device IN ('device_1', 'device_2')
+GROUP BY device""",
+    "forecast_normal_equations": _with(LOG)
+    + "SELECT device, CAST(0 AS DOUBLE) AS residual FROM (SELECT DISTINCT device FROM log) d",
 }

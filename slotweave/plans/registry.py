@@ -6,7 +6,9 @@ are compared with is in ``slotweave.plans.oracle``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,7 +27,7 @@ SCORE_CUT = 0.1
 # Doubles are compared after rounding to this many places.
 DIGITS = 9
 
-FOREST = forest.ForestSettings(trees=64)
+FOREST = forest.ForestSettings()
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -207,10 +209,7 @@ def rolling7_device_calendar(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def previous_day_rates(spark: SparkSession, folder: str) -> DataFrame:
-    panel = modelling_panel(spark, folder)
-    rated = rates.with_fleet_day_rates(rates.with_device_day_rates(panel), panel)
-    names = rates.FEATURES[4:]
-    return _rounded(rated, *names).select("device", "hour_slot", *names)
+    return _rounded(rates.previous_day_rates(modelling_panel(spark, folder)), *rates.FEATURES[4:])
 
 
 _FEATURE_OUTPUT = ["device", "hour_slot", "hour_of_day", "hour_of_week", "day_of_week", "type", "is_active"]
@@ -371,15 +370,97 @@ def forest_predict(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.run_forest(_log(spark, folder), AT_END, FOREST).predictions
 
 
+def forest_predict_onehot(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.run_forest(_log(spark, folder), AT_END, replace(FOREST, encoding="onehot")).predictions
+
+
+def device_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.device_flags(panels.devices(_log(spark, folder)))
+
+
+@functools.lru_cache(maxsize=1)
+def _trained(spark: SparkSession, folder: str) -> jobs.ForestRun:
+    """One training for the queries that look at its results from several sides."""
+    return jobs.run_forest(_log(spark, folder), AT_END, FOREST)
+
+
 def forest_report(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.fold_report(jobs.run_forest(_log(spark, folder), AT_END, FOREST))
+    return jobs.fold_report(_trained(spark, folder))
+
+
+def forest_report_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that the report counts per device and fold."""
+    total = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+    return forest_report(spark, folder).select("device", "fold", total.alias("rows"))
+
+
+def _contract(predictions: DataFrame, label: str) -> DataFrame:
+    """Per device: rows, first and last time, and labels that are neither 0 nor 1."""
+    odd = F.count_if(F.col(label).isNull() | ~F.col(label).isin(0, 1))
+    return predictions.groupBy("device").agg(
+        F.count("*").alias("rows"), F.min("time").alias("first_time"), F.max("time").alias("last_time"), odd.alias("odd_labels")
+    )
+
+
+def forest_contract(spark: SparkSession, folder: str) -> DataFrame:
+    return _contract(_trained(spark, folder).predictions, "activation_predicted")
 
 
 def score_saved_model(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, folder)
     path = scratch_path(spark, "model")
-    forest.save_model(jobs.run_forest(log, AT_END, FOREST).model, path)
-    return jobs.run_scoring(log, AT_END, forest.load_model(path))
+    forest.save_model(_trained(spark, folder).model, path)
+    return jobs.run_scoring(_log(spark, folder), AT_END, forest.load_model(path))
+
+
+def score_reload_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Per device: rows, and rows on which the stored model says what the trained one said."""
+    trained = _trained(spark, folder).predictions.withColumnRenamed("activation_predicted", "trained")
+    both = score_saved_model(spark, folder).join(trained, ["device", "time"], "full")
+    same = F.count_if(F.col("trained") == F.col("activation_predicted"))
+    return both.groupBy("device").agg(F.count("*").alias("rows"), same.alias("agreements"))
+
+
+def forest_custom_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Training rows of a narrower split, counted from the scored rows of a small forest."""
+    plan = {"train": splits.Split("train", start_hour=200, end_hour=500, row_type="train", devices=["device_1", "device_2"])}
+    settings = forest.ForestSettings(trees=8, depth=3)
+    columns = ["hour_of_day", "is_active_yesterday", "daily_activation_rate"]
+    run = jobs.run_forest(_log(spark, folder), AT_END, settings, plan=plan, x_columns=columns)
+    return run.scored.groupBy("device", "fold").agg(F.count("*").alias("rows"), F.min("hour_slot").alias("first_slot"), F.max("hour_slot").alias("last_slot"))
+
+
+def job_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The forecast job from files to files, through its command line."""
+    log, out = scratch_path(spark, "log.csv"), scratch_path(spark, "forecasts")
+    sinks.write_csv(_log(spark, folder), log)
+    jobs.run_command(["forecast", AT_END, log, out], spark)
+    found = spark.read.csv(out, header=True, schema="time string, device string, activation_predicted1 int")
+    return _contract(found, "activation_predicted1")
+
+
+def csv_any_order(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV log with its columns in another order and one more."""
+    path = scratch_path(spark, "other.csv")
+    log = _log(spark, folder).select("device", F.lit("x").alias("note"), F.col("time").cast("string"), "device_activated")
+    log.write.option("header", True).csv(path)
+    return activations.read_log_csv(spark, path)
+
+
+def holdout_rows_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """A hold-out by rows where history and hours to predict share slots."""
+    plan = splits.Split("x", start_hour=splits.FIRST_FULL_SLOT, holdout_rows=2000, seed=7)
+    rows = splits.with_fold(splits.select_rows(modelling_panel_overlap(spark, folder), plan), plan)
+    return rows.groupBy("device", "type", "fold").agg(F.count("*").alias("rows"), F.sum("hour_slot").alias("slots"))
+
+
+def forecast_contract(spark: SparkSession, folder: str) -> DataFrame:
+    return _contract(forecast_predict(spark, folder), "activation_predicted1")
+
+
+def forecast_normal_equations(spark: SparkSession, folder: str) -> DataFrame:
+    """Per device: by how much the fitted coefficients miss their equations, to six places."""
+    ready = jobs.prepare(_log(spark, folder), AT_END, device_rate=False)
+    return additive.fit_residuals(ready.features).select("device", F.round("residual", 6).alias("residual"))
 
 
 def forecast_predict(spark: SparkSession, folder: str) -> DataFrame:
@@ -439,9 +520,20 @@ QUERIES: dict[str, Query] = {
         csv_roundtrip,
         json_roundtrip,
         request_time,
+        csv_any_order,
+        holdout_rows_overlap,
+        device_flags,
         forest_predict,
+        forest_predict_onehot,
         forest_report,
+        forest_report_counts,
+        forest_contract,
         score_saved_model,
+        score_reload_agreement,
+        forest_custom_split,
         forecast_predict,
+        forecast_contract,
+        forecast_normal_equations,
+        job_roundtrip,
     )
 }

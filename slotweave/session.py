@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -33,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_folder()
 
@@ -45,7 +46,21 @@ def _local_folder() -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/slotweave-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_folder(spark)}/slotweave-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+#: Folders of this process in the shared folder.
+_made: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stages this process has written; results that read them must be stored by then."""
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

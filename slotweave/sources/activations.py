@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from slotweave.functions.clock import as_time
 
@@ -30,10 +30,43 @@ def parse_time_lenient(raw: DataFrame) -> DataFrame:
     return raw.withColumn("time_rejected", F.col("time").isNotNull() & parsed.isNull()).withColumn("time", parsed)
 
 
+def _log_columns(raw: DataFrame, path: str) -> DataFrame:
+    """The log's columns by name; others are left out."""
+    missing = [name for name in LOG_SCHEMA.names if name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(raw.columns)}")
+    return raw.select(*LOG_SCHEMA.names)
+
+
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header and the columns ``time, device, device_activated`` in this order."""
-    raw = spark.read.csv(path, header=True, schema=LOG_SCHEMA, enforceSchema=False)
-    return parse_time(raw)
+    """CSV with a header that names ``time, device, device_activated``, in any order, among others."""
+    raw = _log_columns(spark.read.csv(path, header=True), path)
+    return parse_time(raw.withColumn("device_activated", F.col("device_activated").try_cast("int")))
+
+
+def instant_to_time(instant: Column, source_zone: str) -> Column:
+    """The wall clock of ``source_zone`` at an instant, whatever the session's zone."""
+    micros = F.unix_micros(instant)
+    days = F.floor(micros / F.lit(86_400_000_000)).cast("int")
+    seconds = ((micros - days.cast("bigint") * 86_400_000_000).cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)")
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    utc = start + F.make_dt_interval(days, F.lit(0), F.lit(0), seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(source_zone), utc)
+
+
+def read_log_parquet(spark: SparkSession, path: str, source_zone: str = "UTC") -> DataFrame:
+    """Parquet; text times are parsed strictly, instants are read in ``source_zone``."""
+    raw = _log_columns(spark.read.parquet(path), path)
+    kind = raw.schema["time"].dataType
+    if isinstance(kind, T.StringType):
+        raw = parse_time(raw)
+    elif isinstance(kind, T.TimestampType):
+        raw = raw.withColumn("time", instant_to_time(F.col("time"), source_zone))
+    return raw.select(
+        as_time(F.col("time")).alias("time"),
+        F.col("device").cast("string").alias("device"),
+        F.col("device_activated").cast("int").alias("device_activated"),
+    )
 
 
 def log_from_events(events: DataFrame) -> DataFrame:
@@ -45,15 +78,12 @@ def log_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet when the path says so, else CSV."""
-    if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path).select(
-            as_time(F.col("time")).alias("time"),
-            F.col("device").cast("string").alias("device"),
-            F.col("device_activated").cast("int").alias("device_activated"),
-        )
-    return read_log_csv(spark, path)
+def read_log(spark: SparkSession, path: str, kind: str | None = None, source_zone: str = "UTC") -> DataFrame:
+    """``kind`` is ``csv`` or ``parquet``; without it a path that ends in .parquet is Parquet, else CSV."""
+    kind = kind or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    if kind not in ("csv", "parquet"):
+        raise ValueError(f"unknown kind {kind!r}: use 'csv' or 'parquet'")
+    return read_log_parquet(spark, path, source_zone) if kind == "parquet" else read_log_csv(spark, path)
 
 
 def read_request(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Writers of prediction tables.
 
 Output is a folder of part files, written in parallel. ``single_file`` is for results
-that are known to be small, such as one day of a small fleet.
+that are known to be small, such as one day of a small fleet; the work before it stays
+parallel, and an order is kept inside the one file by sorting it again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
@@ -16,12 +19,17 @@ def _times_as_text(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("string") for name in times}) if times else df
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    out = _times_as_text(df.coalesce(1) if single_file else df)
+def _one_file(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    one = df.repartition(1)
+    return one.sortWithinPartitions(*order) if order else one
+
+
+def write_csv(df: DataFrame, path: str, single_file: bool = False, order: Sequence[str] = ()) -> None:
+    out = _times_as_text(_one_file(df, order) if single_file else df)
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str, single_file: bool = False) -> None:
+def write_json(df: DataFrame, path: str, single_file: bool = False, order: Sequence[str] = ()) -> None:
     """One JSON record per line."""
-    out = _times_as_text(df.coalesce(1) if single_file else df)
+    out = _times_as_text(_one_file(df, order) if single_file else df)
     out.write.mode("overwrite").json(path)

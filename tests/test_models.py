@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from slotweave import session
 from slotweave.functions import additive
 from slotweave.operators import forecast, forest, metrics, splits
 from slotweave.plans import jobs
@@ -57,11 +58,36 @@ def test_compat_forms_run_with_an_overlap(planted_log):
 
 
 def test_encodings_agree(planted_log):
-    run = jobs.run_forest(planted_log, START, forest.ForestSettings(trees=20, depth=6, encoding="rate"))
-    assert forest.needs_device_rate(run.model)
+    run = jobs.run_forest(planted_log, START, forest.ForestSettings(trees=20, depth=6, encoding="onehot"))
+    assert not forest.needs_device_rate(run.model)
     assert auc_of(run.scored.where("fold = 'test'")) >= 0.9
 
 
+@pytest.mark.parametrize("fleet", [15, 150, 1500])
+def test_inputs_do_not_depend_on_the_number_of_devices(spark, fleet):
+    rows = spark.range(fleet * 4).select(
+        F.concat(F.lit("d_"), F.col("id") % fleet).alias("device"),
+        (F.col("id") % 2).cast("int").alias(splits.LABEL),
+        *[F.rand(1).alias(name) for name in [*splits.MODEL_FEATURES[1:], forest.DEVICE_RATE]],
+    )
+    model = forest.train_forest(rows, forest.ForestSettings(trees=2, depth=2))
+    assert model.stages[-1].numFeatures == len(splits.MODEL_FEATURES) and forest.needs_device_rate(model)
+
+
+def test_device_flags(spark):
+    rows = forest.device_flags(spark.createDataFrame([("b",), ("a",), ("c",)], "device string")).orderBy("device").collect()
+    assert [tuple(r) for r in rows] == [("a", 0, 1, 4), ("b", 1, 1, 4), ("c", 2, 1, 4)]
+
+
+def test_own_splits_columns_and_probability(planted_log):
+    plan = {"train": splits.Split("train", start_hour=300, end_hour=900, row_type="train", devices=["device_1", "device_3"])}
+    columns = ["hour_of_day", "is_active_yesterday", "daily_activation_rate"]
+    run = jobs.run_forest(planted_log, START, SMALL, plan=plan, x_columns=columns, probability=True)
+    assert run.model.stages[-1].numFeatures == 3
+    assert run.scored.count() == 2 * 601
+    assert run.predictions.count() == 480 and "activation_probability" in run.predictions.columns
+
+
 def test_shuffled_labels_teach_nothing(spark, planted_log):
     table = jobs.prepare(planted_log, START).features.where("type = 'train' and hour_slot >= 168")
     noise = (F.pmod(F.xxhash64("device", "hour_slot", F.lit(1)), F.lit(2)) == 0).cast("int")
@@ -161,7 +187,8 @@ def test_jobs_from_files_to_files(spark, planted_log, tmp_path):
     as_trained = {(r["device"], r["time"]): int(r["activation_predicted"]) for r in trained}
     assert {(r["device"], r["time"]): r["activation_predicted"] for r in records} == as_trained
 
-    jobs.main(["forecast", START, log, out, "--single-file"], spark)
+    jobs.main(["forecast", START, log, out, "--single-file", "--log-kind", "csv"], spark)
+    assert not session._made
     forecasts = read_csv_folder(out)
     assert len(forecasts) == 480 and set(forecasts[0]) == {"time", "device", "activation_predicted1"}
 
@@ -177,11 +204,47 @@ def test_bad_time_stops_the_strict_reader(spark, tmp_path):
     path.write_text("time,device,device_activated\n2022-07-01 04:50:00,A,1\nnot a time,A,1\n")
     with pytest.raises(Exception, match="not a time: not a time"):
         activations.read_log_csv(spark, str(path)).collect()
-    raw = spark.read.csv(str(path), header=True, schema=activations.LOG_SCHEMA)
+    raw = spark.read.csv(str(path), header=True)
     rejected = activations.parse_time_lenient(raw).where("time_rejected")
     assert rejected.count() == 1
 
 
+def test_csv_columns_by_name(spark, tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_text("device,note,time,device_activated\nA,x,2022-07-01 04:50:00,1\nB,y,2022-07-01 05:00:00,\n")
+    assert [tuple(map(str, r)) for r in activations.read_log_csv(spark, str(path)).collect()] == [
+        ("2022-07-01 04:50:00", "A", "1"),
+        ("2022-07-01 05:00:00", "B", "None"),
+    ]
+    path.write_text("device,time\nA,2022-07-01 04:50:00\n")
+    with pytest.raises(ValueError, match="device_activated"):
+        activations.read_log_csv(spark, str(path))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_instants_in_parquet_do_not_depend_on_the_session_zone(spark, tmp_path, zone):
+    path = str(tmp_path / "log")
+    micros = 1656651000123456  # 2022-07-01 04:50:00.123456 UTC
+    log = spark.range(1).select(F.timestamp_micros(F.lit(micros)).alias("time"), F.lit("A").alias("device"), F.lit(1).alias("device_activated"))
+    log.write.parquet(path)
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        found = [str(activations.read_log(spark, path, "parquet", z).first().time) for z in ("UTC", "Europe/Berlin")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found == ["2022-07-01 04:50:00.123456", "2022-07-01 06:50:00.123456"]
+
+
+def test_solver_raises_when_it_does_not_settle(monkeypatch):
+    rng = np.random.default_rng(0)
+    design = np.column_stack([np.ones(50), rng.normal(size=(50, 3))])
+    target = rng.normal(size=50)
+    assert additive.largest_residual(design, target, additive.fit_additive(design, target)) < 1e-8
+    monkeypatch.setattr(additive, "NOISE_ROUNDS", 1)
+    with pytest.raises(ArithmeticError):
+        additive.fit_additive(design, target)
+
+
 def test_csv_keeps_microseconds(spark, make_log, tmp_path):
     log = make_log(("2022-07-01 04:50:00.123456", "A,\"b\"", 1))
     sinks.write_csv(log, str(tmp_path / "log"))

@@ -1,7 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from slotweave.operators import panel as panels
+from slotweave.operators.day_features import next_day_features
+from slotweave.operators.panel import hourly_panel, modelling_panel
+from slotweave.operators.rates import model_features
 from slotweave.sources.activations import unusable_counts
 
 SHORT = (
@@ -84,6 +89,38 @@ def test_history_is_cut_at_the_first_future_hour(make_log):
     assert shape(cut.where("type = 'predict'"))[:3] == (31, 54, 48)
 
 
+@pytest.mark.parametrize("seen", ["2022-01-05 12:00:00", "2022-01-09 04:00:00", "2022-01-05 23:30:00"])
+def test_devices_first_seen_later_get_their_hours(make_log, seen):
+    log = make_log(("2022-01-01 05:00:00", "a", 1), ("2022-01-05 03:00:00", "a", 1), (seen, "b", 1), (seen, "a", 1))
+    start = "2022-01-05 10:30:00"
+    panel = hourly = modelling_panel(log, start)
+    assert {r.device: r["count"] for r in panel.where("type = 'predict'").groupBy("device").count().collect()} == {"a": 24, "b": 24}
+    assert panel.where("type = 'train' and device = 'b'").count() == 0
+    keys = ["device", "hour_slot", "type", "is_active"]
+    wide = model_features(hourly, device_rate=True)
+    names = [*keys, *[c for c in next_day_features(log, start, device_rate=True).columns if c.endswith("rate")]]
+    left = sorted(map(str, wide.select(*names).collect()))
+    assert sorted(map(str, next_day_features(log, start, device_rate=True).select(*names).collect())) == left
+    assert modelling_panel(log, start, devices="history").where("device = 'b'").count() == 0
+    assert next_day_features(log, start, devices="history").where("device = 'b'").count() == 0
+
+
+def test_log_without_history(make_log):
+    log = make_log(("2022-01-09 05:00:00", "a", 1))
+    for rows in (modelling_panel(log, "2022-01-05 10:30:00"), next_day_features(log, "2022-01-05 10:30:00")):
+        found = rows.agg(F.count("*"), F.min("hour_slot"), F.max("hour_slot")).first()
+        assert tuple(found) == (24, 11, 34)
+
+
+def test_log_is_scanned_once(spark, make_log, tmp_path):
+    make_log(("2022-01-01 05:00:00", "a", 1), ("2022-01-05 03:00:00", "b", 1)).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    for panel in (hourly_panel(log), modelling_panel(log, "2022-01-04 00:00:00")):
+        panel.collect()
+        text = panel._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"ReusedExchange \[device#\d+, \S*hour\S*, min", text) or re.search(r"ReusedExchange \[device#\d+, _groupingexpression", text)
+
+
 def test_empty_log_gives_an_empty_panel(make_log):
     log = make_log(("2022-07-01 04:50:00", "A", 1)).where("device = 'none'")
     assert panels.hourly_panel(log).count() == 0
@@ -94,7 +131,8 @@ def test_panel_plan_has_no_join_and_two_wide_exchanges(make_log):
     plan = panels.modelling_panel(log, "2022-07-03 05:30:00").drop("earliest_activation")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and "Cartesian" not in text
-    assert text.count("Exchange hashpartitioning") == 2
+    # The third belongs to the span and is reused when it runs (test_log_is_scanned_once).
+    assert text.count("Exchange hashpartitioning") == 3
 
 
 def test_a_device_with_most_of_the_log(spark, make_log):

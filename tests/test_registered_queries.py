@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as driver
 import oracle_check
+from slotweave.plans import oracle, registry
 
 FOLDER = "/root/testdata/sf0.001"
-TRAINED = ["forest_predict", "forest_report", "score_saved_model"]
+TRAINED = ["forest_predict", "forest_predict_onehot", "forest_report", "score_saved_model"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
 
@@ -18,7 +19,7 @@ def base():
     return oracle_check.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
 def test_same_rows_as_sql(spark, base, name):
     result = driver.queries()[name](spark, FOLDER)
     assert oracle_check.differences(result, base, driver.oracle_sql()[name]) == []
@@ -26,7 +27,8 @@ def test_same_rows_as_sql(spark, base, name):
 
 def test_every_statement_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {*TRAINED, "forecast_predict"}
+    assert set(registry.QUERIES) - set(oracle.ORACLE_SQL) == {*TRAINED, "forecast_predict"}
+    assert set(registry.QUERIES) <= set(driver.queries())
 
 
 def test_forecast_shape(spark):

@@ -29,6 +29,19 @@ def test_holdout_by_rows(table):
     assert folds == {"test": 20, "train": 1180}
 
 
+@pytest.mark.parametrize("n", [1, 20, 999, 2592, 5000])
+def test_holdout_by_rows_on_repeated_keys(table, n):
+    """Shared slots of history and future, and whole rows that repeat: nothing is added or lost."""
+    both = table.unionByName(table.withColumn("type", F.lit("predict")))
+    split = splits.Split("x", holdout_rows=n)
+    marked = splits.with_fold(both.unionByName(both.where("hour_slot < 5")), split)
+    total = 2 * 1296 + 40
+    assert marked.count() == total
+    assert marked.where("fold = 'test'").count() == min(n, total)
+    text = marked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "TakeOrdered" not in text
+
+
 def test_holdout_by_share_does_not_depend_on_partitioning(table):
     split = splits.Split("train", holdout_share=0.2, seed=3)
     held = [
