@@ -100,7 +100,7 @@ def hourly_rollup(log: DataFrame, start: Column | str | dt.datetime | None = Non
         )
     )
     ordered = F.col("earliest_activation") <= F.col("latest_activation")
-    return rollup.where(ordered & F.col("total_activations").isNotNull())
+    return rollup.where(ordered & (F.col("total_activations") >= -(1 << 63)))
 
 
 def history_before(log: DataFrame, start: Column | str | dt.datetime) -> DataFrame:
