@@ -203,9 +203,10 @@ def latent_space(coded: DataFrame, items: Items, seed: int = 3) -> Space:
     start[~use] = 0
     start /= np.maximum(np.linalg.norm(start, axis=0), 1e-9)
     found = _summed(coded, spark, use, idf, start, "terms", size)
-    # Items that no passage resembles keep their own direction.
-    basis, sizes, _ = np.linalg.svd(np.hstack([found / max(1e-9, np.abs(found).max()), start]), full_matrices=False)
-    basis = basis[:, sizes > 1e-6 * sizes[0]].astype(np.float32)
+    # One direction per item and random one; an item that no passage resembles needs none.
+    lengths = np.linalg.norm(found, axis=0)
+    basis, sizes, _ = np.linalg.svd(found[:, lengths > 0] / lengths[lengths > 0], full_matrices=False)
+    basis = basis[:, sizes > 1e-6 * sizes[:1].sum()].astype(np.float32)
     gram = _summed(coded, spark, use, idf, basis, "gram", basis.shape[1])
     values, turn = np.linalg.eigh(gram)
     return Space(use, idf, np.ascontiguousarray(basis @ turn[:, ::-1].astype(np.float32)), np.sqrt(np.maximum(values[::-1], 0)))
