@@ -1,8 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR names the folder of Parquet tables, BENCH_CPUS the local cores. Each query is
-run once into a sink that reads every row, after one small warm-up query. The forest here
-has 64 trees; the job's default is 512.
+run once into a sink that reads every row, after one small warm-up query. The forest has
+the job's 512 trees.
 """
 
 from __future__ import annotations

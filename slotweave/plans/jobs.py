@@ -22,7 +22,7 @@ from slotweave.operators import forecast as additive, forest, metrics, splits
 from slotweave.operators.day_features import day_rollup, device_days, features_from_days
 from slotweave.operators.panel import first_future_hour, hourly_rollup, panel_from_rollup, rollup_extent
 from slotweave.operators.rates import model_features
-from slotweave.session import drop_stages, write_stage
+from slotweave.session import drop_stages, stages_made, write_stage
 from slotweave.sources.activations import read_log, request_time
 from slotweave.sources.sinks import write_csv, write_json
 
@@ -199,10 +199,11 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _arguments(argv)
     spark = spark or SparkSession.builder.appName(f"slotweave-{args.job}").getOrCreate()
+    earlier = stages_made()
     try:
         run_command(argv, spark)
     finally:
-        drop_stages(spark)
+        drop_stages(spark, earlier)
 
 
 def run_command(argv: Sequence[str] | None, spark: SparkSession) -> None:

@@ -55,10 +55,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _made: list[str] = []
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Delete the stages this process has written; results that read them must be stored by then."""
+def stages_made() -> int:
+    """How many stages this process has written and not deleted."""
+    return len(_made)
+
+
+def drop_stages(spark: SparkSession, keep: int = 0) -> None:
+    """Delete all but the first ``keep`` stages of this process; results that read them must be stored by then."""
     jvm = spark.sparkContext._jvm
-    while _made:
+    while len(_made) > keep:
         path = jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -172,6 +172,7 @@ def test_jobs_from_files_to_files(spark, planted_log, tmp_path):
     log, out = str(tmp_path / "log"), str(tmp_path / "out")
     sinks.write_csv(planted_log, log)
     model, report = str(tmp_path / "model"), str(tmp_path / "report")
+    stages = session.stages_made()
     common = ["--trees", "10", "--single-file", "--save-model", model, "--report", report]
     jobs.main(["forest", START, log, out, *common], spark)
     trained = read_csv_folder(out)
@@ -188,7 +189,7 @@ def test_jobs_from_files_to_files(spark, planted_log, tmp_path):
     assert {(r["device"], r["time"]): r["activation_predicted"] for r in records} == as_trained
 
     jobs.main(["forecast", START, log, out, "--single-file", "--log-kind", "csv"], spark)
-    assert not session._made
+    assert session.stages_made() == stages
     forecasts = read_csv_folder(out)
     assert len(forecasts) == 480 and set(forecasts[0]) == {"time", "device", "activation_predicted1"}
 
