@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from slotweave.session import scratch_path, write_stage
 
 SHARE = 4e-6
-MEMO_WORDS = 300_000
-PIECE = 4 << 20
+MEMO_WORDS = 150_000
+PIECE = 2 << 20
 LONG_WORD = 64
 NO_RANK = np.int32(2**31 - 1)
 

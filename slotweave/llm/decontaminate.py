@@ -128,7 +128,7 @@ def _in_passages(word, row, place, length, step: int):
     return key // width, key % width, n, first
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in range(0, batch.num_rows, rows):
             yield batch.slice(s, rows)

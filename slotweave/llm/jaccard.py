@@ -38,7 +38,7 @@ VALUES = BANDS * BAND_ROWS
 STEP = 20
 TOLERANCE = 1e-9
 BLOCK = 512
-PAIRS = 1 << 19
+PAIRS = 1 << 17
 
 
 @cache

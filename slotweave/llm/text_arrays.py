@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -52,6 +52,8 @@ def text_pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[in
         last = min(max(last, first + 1), rows)
         yield first, last, whole[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    # Workers live on between stages and should not hold what this batch needed.
+    pa.default_memory_pool().release_unused()
 
 
 @cache
