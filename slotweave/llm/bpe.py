@@ -330,7 +330,7 @@ def frequent_words(documents: DataFrame, tokenizer: str, share: float = SHARE) -
     summed = write_stage(rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "frequent_words")
     total = summed.where("word is null").select("total").first()
     least = share * (total[0] if total and total[0] else 0)
-    return [r[0] for r in summed.where((F.col("n") >= least) & F.col("word").isNotNull()).select("word").toLocalIterator()]
+    return [r[0] for r in summed.where((F.col("n") >= least) & F.col("word").isNotNull()).select("word").collect()]
 
 
 def _heavy(words: Counter, share: float) -> pa.RecordBatch:

@@ -170,10 +170,18 @@ def _weights(term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return ((1 + np.log(n)) * idf[term]).astype(np.float32)
 
 
-def _project(passage, term, weight, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, its weighted sum of rows of ``space``) for the passages that have terms; sorted input."""
+def _project(passage, term, n, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, its sum of rows of ``weighted``, a space times IDF) for the passages that have terms; sorted input."""
     starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-    return passage[starts], np.add.reduceat(space[term] * weight[:, None], starts, axis=0)
+    out = np.empty((len(starts), weighted.shape[1]), dtype=np.float32)
+    edges = np.append(starts, len(term))
+    for s in range(0, len(starts), 512):
+        e = min(s + 512, len(starts))
+        rows = weighted[term[edges[s] : edges[e]]]
+        more = np.flatnonzero(n[edges[s] : edges[e]] > 1)
+        rows[more] *= (1 + np.log(n[edges[s] : edges[e]][more])).astype(np.float32)[:, None]
+        np.add.reduceat(rows, starts[s:e] - edges[s], axis=0, out=out[s:e])
+    return passage[starts], out
 
 
 class Space(NamedTuple):
@@ -219,6 +227,7 @@ def _summed(coded: DataFrame, spark: SparkSession, use, idf, space: np.ndarray,
 
     def sums(batches):
         use, idf, space = shared.value
+        weighted = space * idf[:, None]
         out = np.zeros((rows, width))
         for batch in _sliced(batches):
             word, row, place, length = _read(batch, use)
@@ -226,7 +235,7 @@ def _summed(coded: DataFrame, spark: SparkSession, use, idf, space: np.ndarray,
                 continue
             passage, term, n, _ = _in_passages(word, row, place, length, PASSAGE)
             weight = _weights(term, n, idf)
-            which, seen = _project(passage, term, weight, space)
+            which, seen = _project(passage, term, n, weighted)
             if kind == "gram":
                 out += seen.T @ seen
                 continue
@@ -246,7 +255,8 @@ def _summed(coded: DataFrame, spark: SparkSession, use, idf, space: np.ndarray,
 
     kinds = "row long, sums binary"
     out = np.zeros((rows, width))
-    for row, values in coded.mapInArrow(sums, kinds).groupBy("row").applyInArrow(merge, kinds).toLocalIterator():
+    # Bounded by the block of items: a row per word of it.
+    for row, values in coded.mapInArrow(sums, kinds).groupBy("row").applyInArrow(merge, kinds).collect():
         out[row] = np.frombuffer(values)
     return out
 
@@ -289,20 +299,22 @@ def _search(coded: DataFrame, items: Items, space: Space, kinds: str) -> DataFra
     place = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
     kept = space.use[word]
     passage, term, n, first = _in_passages(word[kept], row[kept], place[kept], length, STEP)
-    which, queries = _project(passage, term, _weights(term, n, space.idf), space.vectors)
+    which, queries = _project(passage, term, n, space.vectors * space.idf[:, None])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
     owner = np.searchsorted(first, which, side="right") - 1
     shared = coded.sparkSession.sparkContext.broadcast((items, space, queries, owner))
 
     def search(batches):
         items, space, queries, owner = shared.value
+        weighted = space.vectors * space.idf[:, None]
+        present = np.zeros(len(items.names), dtype=bool)
         for batch in _sliced(batches):
             word, row, place, length = _read(batch, space.use)
             if not len(word):
                 continue
             passage, term, n, first = _in_passages(word, row, place, length, STEP)
             # Passages with a single term of weight are compared like all others.
-            which, seen = _project(passage, term, _weights(term, n, space.idf), space.vectors)
+            which, seen = _project(passage, term, n, weighted)
             seen /= np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-9)
             best: dict[tuple[int, int], tuple] = {}
             every, edges = _flat(batch.column("word"))
@@ -312,7 +324,7 @@ def _search(coded: DataFrame, items: Items, space: Space, kinds: str) -> DataFra
                 for p, q in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
                     doc = int(np.searchsorted(first, which[s + p], side="right")) - 1
                     start = (int(which[s + p]) - int(first[doc])) * STEP
-                    hit = _check(items.words[owner[q]], every[edges[doc] : edges[doc + 1]], places[edges[doc] : edges[doc + 1]], start)
+                    hit = _check(items.words[owner[q]], every[edges[doc] : edges[doc + 1]], places[edges[doc] : edges[doc + 1]], start, present)
                     key = (doc, int(owner[q]))
                     if hit and (key not in best or best[key][:2] < (hit[0], float(cosine[p, q]))):
                         best[key] = (hit[0], float(cosine[p, q]), hit[1], start)
@@ -334,10 +346,19 @@ def _search(coded: DataFrame, items: Items, space: Space, kinds: str) -> DataFra
     return coded.mapInArrow(search, kinds)
 
 
-def _check(item: np.ndarray, words: np.ndarray, places: np.ndarray, start: int) -> tuple[float, bool] | None:
-    """(share of the item's words in order, whether its answer is there) if that makes a leak."""
+def _check(item: np.ndarray, words: np.ndarray, places: np.ndarray, start: int, present: np.ndarray) -> tuple[float, bool] | None:
+    """(share of the item's words in order, whether its answer is there) if that makes a leak.
+
+    ``present`` is a flag per word, all unset. No more words can stand in order than are there
+    at all, which settles most candidates.
+    """
     margin = len(item)
     a, b = np.searchsorted(places, [start - margin, start + PASSAGE + margin])
+    present[words[a:b]] = True
+    most = present[item].mean()
+    present[words[a:b]] = False
+    if most < LIKELY:
+        return None
     near = words[a:b].tolist()
     own = item.tolist()
     share = common_subsequence(own, near) / len(own)
