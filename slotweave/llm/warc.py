@@ -5,7 +5,7 @@ payloads. Each task reports, for every piece it meets, where the record would be
 Content-Length, where its successor would. Following these offsets inside a block of the file
 gives every candidate's way out of the block; pointer jumping over the blocks, from the first
 byte of each file, finds where each block is entered. Only records on that chain are kept: a
-magic inside a payload is never the successor of a real record.
+magic inside a payload is never the successor of a real record. Headers may have any length.
 
 A payload that holds the magic comes in several pieces; the pieces of such records are read in a
 second scan and joined, all others are digested where they are read and never leave their task.
@@ -108,7 +108,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int,
 
 def parse_header(piece: bytes) -> tuple[dict[str, str], int] | None:
     """Fields (lower-case names) and length of a record header after the magic; None if it is none."""
-    stop = piece.find(b"\r\n\r\n", 0, 1 << 16)
+    stop = piece.find(b"\r\n\r\n")
     if stop < 0:
         return None
     fields = {}

@@ -50,6 +50,15 @@ def test_archive_round_trip(spark, split):
         assert found[p.page_id] == (len(body), hashlib.sha1(body).hexdigest(), kind, to)
 
 
+def test_archive_with_long_urls(spark):
+    """A header longer than 64 KB is a record as any other, and so is what comes after it."""
+    rows = [(1, "http://a", "one"), (2, "data:," + "u" * 100_000, "two"), (3, "http://c", "three"), (4, "x\r\n\r\n" * 30_000, "four"), (5, "http://e", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    found = warc.page_digests(warc.read_archive(spark, warc.write_archive(pages))).collect()
+    wanted = {i: hashlib.sha1((body or "").encode()).hexdigest() for i, _, body in rows}
+    assert len(found) == 5 and {r.page_id: r.payload_digest for r in found} == wanted
+
+
 def test_empty_archive(spark):
     assert warc.page_digests(warc.read_archive(spark, warc.write_archive(pages_of(spark).limit(0)))).count() == 0
 
