@@ -1,7 +1,9 @@
 """License scan: ordered signature rules behind a keyword prefilter, in DataFrame functions only.
 
-A text that has none of the gate words is left after one pass. In the others every rule whose
-own keyword occurs is matched, and each match is an interval with a priority. A match inside an
+A text that has none of the gate words is left after one pass; the gate is made of what the rules
+themselves need, so it rejects no text that a rule matches. In the others white space counts as one
+blank, however long and also across lines; every rule whose own keyword occurs is matched, and
+each match is an interval with a priority. A match inside an
 interval of higher priority is suppressed; among equal priorities the longer one stays, and of
 equal intervals the rule that comes first. Labels are those of the matches that stay, plus the
 base labels, which are never suppressed.
@@ -88,8 +90,37 @@ FAMILIES = [
 # The phrases that every text is searched for, and their labels.
 BASE_PHRASES = [("mit", ["mit", "license"]), ("apache", ["apache", "license"]), ("gpl", ["general", "public", "license"])]
 
-GATE = r"(?i)licen[sc]|spdx|copyright|public domain"
-_GRANT = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered)(?: only)? under(?: the terms(?: and conditions)? of)? "
+# Label, a phrase of the license's body that a match must hold, the body as a pattern.
+BODIES = [
+    ("mit", "permission is hereby granted, free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.{0,600}?subject to the following conditions"),
+    ("mit-0", "permission is hereby granted, free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files(?:(?!subject to the following conditions).){0,600}?furnished to do so\. the software is provided"),
+    ("ncsa", "to deal with the software without restriction", r"to deal with the software without restriction"),
+    ("bsl-1.0", "permission is hereby granted, free of charge", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ofl-1.1", "permission is hereby granted, free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy of the font software"),
+    ("upl-1.0", "larger works", r"and/or hardware if one is included with the software \(?each a [\"'“]?larger works?"),
+    ("isc", "with or without fee is hereby granted", r"permission to use, copy, modify,? (?:and/or|and) distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    ("0bsd", "with or without fee is hereby granted", r"permission to use, copy, modify,? (?:and/or|and) distribute this software for any purpose with or without fee is hereby granted\."),
+    ("postgresql", "without a written agreement is hereby granted", r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-3-clause", "redistribution and use in source and binary forms", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met(?:(?!redistribution and use in source and binary forms|all advertising materials mentioning).){0,1200}?neither the names? of "),
+    ("bsd-4-clause", "all advertising materials mentioning features", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met(?:(?!redistribution and use in source and binary forms).){0,1200}?all advertising materials mentioning features or use of this software must display(?:(?!redistribution and use in source and binary forms).){0,600}?neither the names? of "),
+    ("zlib", "held liable for any damages arising from the use of this software", r"this software is provided ['\u2018]as-is['\u2019], without any express or implied warranty\. in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("apache-2.0", "terms and conditions for use, reproduction, and distribution", r"terms and conditions for use, reproduction, and distribution 1\. definitions"),
+    ("gpl-2.0", "terms of the gnu general public license as published", r"under the terms of the gnu general public license as published by the free software foundation[;,] (?:either )?version 2\b"),
+    ("gpl-3.0", "terms of the gnu general public license as published", r"under the terms of the gnu general public license as published by the free software foundation[;,] (?:either )?version 3\b"),
+    ("lgpl-2.1", "general public license as published", r"under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation[;,] (?:either )?version 2(?:\.1)?\b"),
+    ("lgpl-3.0", "general public license as published", r"under the terms of the gnu lesser general public license as published by the free software foundation[;,] (?:either )?version 3\b"),
+    ("agpl-3.0", "general public license as published", r"under the terms of the gnu affero general public license as published by the free software foundation[;,] (?:either )?version 3\b"),
+    ("gfdl-1.3", "terms of the gnu free documentation license", r"under the terms of the gnu free documentation license, version 1\.[123]"),
+    ("mpl-2.0", "this source code form is subject to the terms of", r"this source code form is subject to the terms of the mozilla public license, v\. 2\.0"),
+    ("unlicense", "free and unencumbered software", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "changing it is allowed as long as the name is changed", r"copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
+    ("beerware", "you can do whatever you want with this stuff", r"as long as you retain this notice,? you can do whatever you want with this stuff"),
+    ("cc0-1.0", "copyright and related or neighboring rights to", r"to the extent possible under law, .{0,200}?waived all copyright and related or neighboring rights to"),
+]
+
+_VERBS = "licen[sc]ed|released|distributed|available|published|provided|covered"
+_GRANT = rf"(?:{_VERBS})(?: only)? under(?: the terms(?: and conditions)? of)? "
 _SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Confidence of a match by its priority.
@@ -98,9 +129,10 @@ BASE_CONFIDENCE = 0.6
 
 
 def rules() -> list[tuple[int, int, str, str, str]]:
-    """(rule, priority, keyword, pattern, label) of lower-case text, in order: four signatures a family.
+    """(rule, priority, keyword, pattern, label) of lower-case text, in order: four signatures a family, then the bodies.
 
-    4: an SPDX tag; 3: a grant that names the license; 2: the name with the word license beside
+    White space must be single blanks.
+    4: an SPDX tag; 3: a grant that names the license, or a body's own words; 2: the name with the word license beside
     it; 1: the tag's name alone in brackets or quotes.
     """
     found = []
@@ -112,9 +144,18 @@ def rules() -> list[tuple[int, int, str, str, str]]:
             (2, word, rf"(?<!\w){name}(?: licen[sc]e|(?<=licen[sc]e)|(?<=licen[sc]e.{{0,16}}))(?!\w)", label),
             (1, label, rf"""[(\["'`]{tag}[)\]"'`]""", label),
         ]
+    found += [(3, phrase, pattern, label) for label, phrase, pattern in BODIES]
     return [(i, *rule) for i, rule in enumerate(found)]
 
 
+def gate() -> str:
+    """A pattern that occurs in every text that a rule can match: what each signature and body needs."""
+    tags = "|".join(label.replace(".", r"\.") for label, *_ in FAMILIES)
+    bodies = "|".join(sorted({phrase.replace("(", r"\(").replace(" ", r"\s+") for _, phrase, _ in BODIES}))
+    # Signatures 2 and 4, then 3, 1 and the bodies.
+    return rf"""(?i)licen[sc]e|spdx-|(?:{_VERBS})(?:\s+only)?\s+under\s|[(\["'`](?:{tags})[)\]"'`]|{bodies}"""
+
+
 def _phrase(words: list[str]) -> str:
     return rf"(?<!{_WORD}){(_SEPARATOR + '+').join(words)}(?!{_WORD})"
 
@@ -140,7 +181,7 @@ def _detections(text: Column) -> Column:
     return F.filter(F.transform(named, match), lambda hit: F.size(hit["found"]) > 0)
 
 
-def scan(documents: DataFrame) -> DataFrame:
+def scan(documents: DataFrame, gated: bool = True) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_found, n_kept."""
     text = F.col("text")
     any_base = "(?i)(?:" + "|".join(_phrase(words) for _, words in BASE_PHRASES) + ")"
@@ -149,6 +190,8 @@ def scan(documents: DataFrame) -> DataFrame:
     before_first = F.regexp_extract(text, rf"(?s)^(.*?){any_base}", 1)
     before_last = F.regexp_extract(text, rf"(?s)^(.*){any_base}", 1)
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # Only the order of places in a text counts, which this keeps.
+    lower = F.regexp_replace(lower, r"\s+", " ")
     plain = documents.select("doc_id", no_null_text("text").alias("text")).select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
@@ -156,7 +199,7 @@ def scan(documents: DataFrame) -> DataFrame:
         *[n.cast("long").alias(f"n_{label}") for label, n in counts.items()],
         F.when(has_base, _count_words(before_first)).alias("first_word"),
         F.when(has_base, _count_words(before_last)).alias("last_word"),
-        F.when(text.rlike(GATE), _detections(lower)).alias("hits"),
+        F.when(text.rlike(gate()) if gated else F.lit(True), _detections(lower)).alias("hits"),
     )
     known = [c for c in plain.columns if c != "hits"]
     matches = (
