@@ -5,7 +5,10 @@ places of the benchmark's words (nothing else can match), cut into passages of `
 Terms are the benchmark's words outside the most common ones; passages get TF-IDF vectors. A
 randomised SVD, whose start holds the items' own vectors besides random ones, is summed over
 Spark tasks; its right singular vectors are the latent space. Passages whose cosine with a
-passage of an item reaches ``COSINE`` are candidates.
+passage of an item reaches ``COSINE`` are candidates, and so are passages that hold at least half
+of the ``LEAST_TERMS`` rarest terms of a passage of an item, whatever else stands there. A copy
+of up to 64 words lies in two passages together, one of which thus holds half of them: no
+verbatim copy is missed, however common its words are.
 
 A candidate is a leak if the longest common subsequence of item and surroundings has at least
 ``SURE`` of the item's words, or at least ``LIKELY`` of them and the item's answer (its last
@@ -184,6 +187,27 @@ def _project(passage, term, n, weighted: np.ndarray) -> tuple[np.ndarray, np.nda
     return passage[starts], out
 
 
+def _rarest(passage, term, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sought words: queries that seek each of ``size`` words as edges and numbers, and how many words each query needs."""
+    query = np.cumsum(np.append(True, passage[1:] != passage[:-1])) - 1
+    order = np.lexsort((term, -idf[term], query))
+    query, term = query[order], term[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < LEAST_TERMS
+    query, term = query[kept], term[kept]
+    need = (np.bincount(query) + 1) // 2
+    order = np.argsort(term, kind="stable")
+    return np.searchsorted(term[order], np.arange(size + 1)), query[order], need
+
+
+def _covered(number, term, rows: int, sought) -> np.ndarray:
+    """Whether each of ``rows`` passages holds enough of the words each query seeks; a passage has a word once."""
+    edges, query, need = sought
+    times = np.diff(edges)[term]
+    at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(edges[term], times)
+    held = np.bincount(np.repeat(number, times) * len(need) + query[at], minlength=rows * len(need))
+    return held.reshape(rows, len(need)) >= need
+
+
 class Space(NamedTuple):
     use: np.ndarray
     idf: np.ndarray
@@ -302,10 +326,11 @@ def _search(coded: DataFrame, items: Items, space: Space, kinds: str) -> DataFra
     which, queries = _project(passage, term, n, space.vectors * space.idf[:, None])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
     owner = np.searchsorted(first, which, side="right") - 1
-    shared = coded.sparkSession.sparkContext.broadcast((items, space, queries, owner))
+    sought = _rarest(passage, term, space.idf, len(items.names))
+    shared = coded.sparkSession.sparkContext.broadcast((items, space, queries, owner, sought))
 
     def search(batches):
-        items, space, queries, owner = shared.value
+        items, space, queries, owner, sought = shared.value
         weighted = space.vectors * space.idf[:, None]
         present = np.zeros(len(items.names), dtype=bool)
         for batch in _sliced(batches):
@@ -316,12 +341,16 @@ def _search(coded: DataFrame, items: Items, space: Space, kinds: str) -> DataFra
             # Passages with a single term of weight are compared like all others.
             which, seen = _project(passage, term, n, weighted)
             seen /= np.maximum(np.linalg.norm(seen, axis=1, keepdims=True), 1e-9)
+            starts = np.append(np.searchsorted(passage, which), len(passage))
+            number = np.repeat(np.arange(len(which)), np.diff(starts))
             best: dict[tuple[int, int], tuple] = {}
             every, edges = _flat(batch.column("word"))
             places, _ = _flat(batch.column("place"))
             for s in range(0, len(which), 4096):
                 cosine = seen[s : s + 4096] @ queries.T
-                for p, q in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
+                part = slice(starts[s], starts[s + len(cosine)])
+                covered = _covered(number[part] - s, term[part], len(cosine), sought)
+                for p, q in zip(*(x.tolist() for x in np.nonzero((cosine >= COSINE) | covered))):
                     doc = int(np.searchsorted(first, which[s + p], side="right")) - 1
                     start = (int(which[s + p]) - int(first[doc])) * STEP
                     hit = _check(items.words[owner[q]], every[edges[doc] : edges[doc + 1]], places[edges[doc] : edges[doc + 1]], start, present)
