@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slotweave.llm.common import unused, write_stage
-from slotweave.llm.text_arrays import LOWER, mix, text_pieces, word_hashes
+from slotweave.llm.text_arrays import LOWER, mix, text_pieces, word_hashes, word_totals, words_with_share
 
 SHARE = 3e-4
 BUCKETS = 256
@@ -101,24 +101,12 @@ def index_vectors(frequent: np.ndarray) -> np.ndarray:
 
 
 def frequent_words(texts: DataFrame, share: float = SHARE) -> np.ndarray:
-    """Sorted hashes of words by what they weigh in the pieces where they have the share: at most 1 / share."""
+    """Sorted hashes of the words with at least the share of all words, counted exactly: at most 1 / share."""
 
     def report(batches):
-        for batch in batches:
-            for _, _, data, offsets in text_pieces(batch.column("text")):
-                hashed, _ = words_of(data, offsets)
-                word, n = np.unique(hashed, return_counts=True)
-                heavy = n >= share * len(hashed)
-                word, n = np.append(word[heavy].view(np.int64), 0), np.append(n[heavy], 0)
-                size = np.zeros(len(word), dtype=np.int64)
-                size[-1] = len(hashed)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n), pa.array(size)], ["word", "n", "size"])
-
-    found = texts.select("text").mapInArrow(report, "word long, n long, size long")
-    found = write_stage(found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "quality_words")
-    total = found.agg(F.sum("size")).first()[0] or 0
-    heavy = found.where((F.col("n") > 0) & (F.col("n") >= share * total)).select("word").collect()
-    return np.sort(np.array([r[0] for r in heavy], dtype=np.int64).view(np.uint64))
+        yield from word_totals(words_of(data, offsets)[0] for batch in batches for _, _, data, offsets in text_pieces(batch.column("text")))
+
+    return words_with_share(texts.select("text").mapInArrow(report, "word long, n long"), share, "quality_words")
 
 
 def word_vectors(texts: DataFrame, frequent: np.ndarray) -> np.ndarray:

@@ -11,6 +11,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from slotweave.session import write_stage
 
 PIECE_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -154,3 +158,41 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
     if held:
         table = pa.Table.from_batches(held)
         yield table, cut(table)
+
+
+def word_totals(parts: Iterator[np.ndarray], held: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the hashes of all parts: counts are exact once the rows of a word are added up.
+
+    Counts of parts are merged here until there are more than ``held`` different words.
+    """
+    words, counts, size = [], [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        word, at = np.unique(np.concatenate(words), return_inverse=True)
+        return word, np.bincount(at, weights=np.concatenate(counts), minlength=len(word)).astype(np.int64)
+
+    def rows(word: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(word), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(word[s : s + 50_000].view(np.int64)), pa.array(n[s : s + 50_000])], ["word", "n"])
+
+    for part in parts:
+        word, n = np.unique(part, return_counts=True)
+        words.append(word)
+        counts.append(n)
+        size += len(word)
+        if size > 2 * held:
+            word, n = merged()
+            if len(word) > held:
+                yield from rows(word, n)
+                word, n = word[:0], n[:0]
+            words, counts, size = [word], [n], len(word)
+    if words:
+        yield from rows(*merged())
+
+
+def words_with_share(counted: DataFrame, share: float, stage: str) -> np.ndarray:
+    """Sorted hashes of the words with at least ``share`` of all in (word, n): at most 1 / share."""
+    found = write_stage(counted.groupBy("word").agg(F.sum("n").alias("n")), stage)
+    total = found.agg(F.sum("n")).first()[0] or 0
+    heavy = found.where(F.col("n") >= share * total).select("word").collect()
+    return np.sort(np.array([r[0] for r in heavy], dtype=np.int64).view(np.uint64))
