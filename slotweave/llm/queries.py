@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotweave.llm import bpe, decontaminate, jaccard, licenses, pitman_yor, quality, sharding, substring, topk, warc
+from slotweave.llm import (
+    bpe,
+    decontaminate,
+    jaccard,
+    licenses,
+    pitman_yor,
+    prefix_trie,
+    quality,
+    sharding,
+    substring,
+    topk,
+    warc,
+)
 from slotweave.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +81,8 @@ def op9_top_k(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(read_table(spark, folder, "documents"))
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, folder, "conversations")).drop("n_ends", "mark")

@@ -7,6 +7,15 @@ d AS (
   FROM documents
 )"""
 
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text."""
+    step = "list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: xor(v >> 1, (v & 1) * 3988292384))"
+    codes = f"[CAST(ord(x) AS BIGINT) FOR x IN string_split({text}, '') IF x <> '']"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {codes}), lambda c, b: {step}), CAST(4294967295 AS BIGINT))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": f"""
 WITH {_WORDS},
@@ -66,5 +75,41 @@ s AS (
 ),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS place FROM s)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM k WHERE place <= 10
+""",
+    "op11_prefix_trie": f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS body,
+         row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+q AS (SELECT c, list({{'role': role, 'body': body}} ORDER BY p) AS s FROM t GROUP BY c),
+h AS (SELECT c, s, c - c % 20 AS b, {_crc32("CAST(c AS VARCHAR)")} % 4 AS h FROM q),
+r AS (
+  SELECT h.c, CASE WHEN h.b = h.c THEN h.s ELSE list_concat(list_slice(coalesce(q.s, []), 1, h.h), list_slice(h.s, h.h + 1, len(h.s))) END AS s
+  FROM h LEFT JOIN q ON q.c = h.b
+),
+m AS (SELECT c, s, d, list_slice(s, 1, d) AS k FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(s) = d), '')) AS ends_sha256
+  FROM m GROUP BY k, d
+),
+w AS (
+  SELECT *, list_slice(k, 1, d - 1) AS up,
+         CASE WHEN d = 0 THEN 0 ELSE len([x FOR x IN string_split_regex(k[d].body, '[\x20\x09-\x0D]+') IF x <> '']) END AS words
+  FROM n
+),
+kids AS (SELECT up, d - 1 AS d, count(*) AS n_children FROM w WHERE d > 0 GROUP BY up, d),
+f AS (SELECT w.*, coalesce(n_children, 0) AS n_children FROM w LEFT JOIN kids ON kids.up = w.k AND kids.d = w.d),
+a AS (
+  SELECT list_slice(k, 1, e) AS k, e AS d, (n_convs - 1) * words AS saved, n_children = 0 AS leaf
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM f)
+),
+sums AS (SELECT k, d, sum(saved) AS saved, count_if(leaf) AS leaves FROM a GROUP BY k, d)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, f.n_convs,
+       CAST(f.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN sums ON sums.k = f.k AND sums.d = f.d LEFT JOIN f parent ON parent.k = f.up AND parent.d = f.d - 1
 """,
 }
