@@ -6,13 +6,18 @@ import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from slotweave.functions.clock import HOURS_PER_WEEK
+from slotweave.operators.selection import nth_smallest, up_to
+from slotweave.session import write_stage
 
 # Slots of the first week have no lag of a week.
 FIRST_FULL_SLOT = HOURS_PER_WEEK
 
+# Bits of a draw that put the rows of a hold-out in order; whole hex digits.
+DRAW_BITS = 60
+
 # Fixed names: columns of the model's table.
 LABEL = "is_active"
 MODEL_FEATURES = [
@@ -102,28 +107,6 @@ def draw(seed: int, keys: Sequence[str] = ("device", "hour_slot", "type")) -> Co
     return F.md5(F.concat_ws("|", *[F.col(key).cast("string") for key in keys], F.lit(str(seed))))
 
 
-def _nth_draw(rows: DataFrame, drawn: Column, n: Column | int) -> Column:
-    """The ``n``-th smallest draw as a scalar, null if there are fewer rows.
-
-    Draws are counted by their first four letters, then, where the n-th lies, by their
-    first eight; only draws that share eight letters are put in order. No step sees more
-    than 16^4 counts or the 16^8-th part of the rows.
-    """
-    draws = rows.select(drawn.alias("draw"))
-    wanted = F.lit(n).cast("bigint")
-    for letters in (4, 8):
-        by_prefix = Window.orderBy("prefix")
-        counts = draws.groupBy(F.substring("draw", 1, letters).alias("prefix")).count()
-        counts = counts.withColumn("upto", F.sum("count").over(by_prefix))
-        holds = (F.col("upto") >= wanted) & (F.col("upto") - F.col("count") < wanted)
-        place = F.struct("prefix", (F.col("upto") - F.col("count")).alias("before"))
-        found = counts.where(holds).agg(F.min(place).alias("place")).scalar()
-        draws = draws.where(F.substring("draw", 1, letters) == found.getField("prefix"))
-        wanted = wanted - found.getField("before")
-    ranked = draws.withColumn("rank", F.row_number().over(Window.orderBy("draw")))
-    return ranked.where(F.col("rank") == wanted).agg(F.min("draw")).scalar()
-
-
 def _fold_by_key(split: Split, columns: Sequence[str]) -> Column:
     """The fold of a split that holds out a share or nothing."""
     if not split.holdout_share:
@@ -135,18 +118,25 @@ def _fold_by_key(split: Split, columns: Sequence[str]) -> Column:
     return F.when(F.substring(draw(split.seed, keys), 1, 8) < cut, "test").otherwise("train")
 
 
+def _fold_by_rows(rows: DataFrame, split: Split) -> DataFrame:
+    """The fold of a split that holds out a number of rows: those with the smallest draws.
+
+    The rows are written once with their draws, so that what they are computed from runs once,
+    and the cut is found on that column. Repeats of a key draw alike; their place in the
+    written table tells them apart at the cut.
+    """
+    keys = [key for key in ("device", "hour_slot", "type") if key in rows.columns]
+    number = F.conv(F.substring(draw(split.seed, keys), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
+    drawn = write_stage(rows.withColumns({"_draw": number, "_place": F.monotonically_increasing_id()}), "drawn")
+    cut = nth_smallest(drawn, {"_draw": DRAW_BITS, "_place": 63}, split.holdout_rows)
+    fold = F.lit("test") if cut is None else F.when(up_to(cut), "test").otherwise("train")
+    return drawn.withColumn("fold", fold).drop("_draw", "_place")
+
+
 def with_fold(rows: DataFrame, split: Split) -> DataFrame:
     """Adds ``fold``: ``train`` or ``test``, or ``all`` where the split holds nothing out."""
     if split.holdout_rows:
-        keys = [key for key in ("device", "hour_slot", "type") if key in rows.columns]
-        drawn = draw(split.seed, keys)
-        # Repeats of a key draw alike; numbered, they can be told apart at the cut.
-        repeat = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-        numbered = rows.withColumn("_repeat", repeat)
-        order = F.concat(drawn, F.lpad(F.col("_repeat").cast("string"), 12, "0"))
-        cut = _nth_draw(numbered, order, split.holdout_rows)
-        fold = F.when(F.coalesce(order <= cut, F.lit(True)), "test").otherwise("train")
-        return numbered.withColumn("fold", fold).drop("_repeat")
+        return _fold_by_rows(rows, split)
     return rows.withColumn("fold", _fold_by_key(split, rows.columns))
 
 
