@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from slotweave.llm import (
     bpe,
     decontaminate,
+    hard_negatives,
     jaccard,
     licenses,
+    mixture,
     pitman_yor,
     prefix_trie,
     quality,
@@ -86,3 +89,16 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(read_table(spark, folder, "conversations")).drop("n_ends", "mark")
+
+
+@_query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings")
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.hard_negatives(rows, anchors=F.col("vec_id") % 50 == 0)
+
+
+@_query
+def op13_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(read_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")

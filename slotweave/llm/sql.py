@@ -111,5 +111,73 @@ SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id
        CAST(f.n_children AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
        CAST(saved AS BIGINT) AS saved_tokens, f.ends_sha256
 FROM f JOIN sums ON sums.k = f.k AND sums.d = f.d LEFT JOIN f parent ON parent.k = f.up AND parent.d = f.d - 1
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e,
+         CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, c.r AS other, c.vec_id AS vec_id, a.label = c.label AS same,
+         CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.r <> c.r AND len(a.e) = len(c.e)
+  WHERE a.vec_id % 50 = 0
+),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM s WHERE same)
+  WHERE place <= 5
+),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.vec_id) AS place
+  FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same
+  WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 3
+""",
+    "op13_mixture": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+         len([x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> '']) AS size,
+         substring(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS key
+  FROM documents
+),
+s AS (
+  SELECT source, CAST(sum(size) AS HUGEINT) AS size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM d GROUP BY source
+),
+-- Sources in the order in which they fill up; those before are full at three times their size.
+o AS (
+  SELECT *, row_number() OVER fill AS place,
+         (SELECT sum(size) FROM s) - coalesce(sum(3 * size) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words,
+         (SELECT sum(weight) FROM s) - coalesce(sum(weight) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights
+  FROM s WINDOW fill AS (ORDER BY CAST(size AS DOUBLE) / weight, source NULLS LAST)
+),
+l AS (SELECT words, weights, place FROM o WHERE weight * words <= 3 * size * weights ORDER BY place LIMIT 1),
+t AS (
+  SELECT o.source, o.size, l.place IS NULL OR o.place < l.place AS is_full,
+         CAST(CASE WHEN l.place IS NULL OR o.place < l.place THEN 3 * o.size ELSE 0 END AS DOUBLE) AS filled,
+         CAST(o.weight * l.words AS HUGEINT) AS shared, CAST(l.weights AS HUGEINT) AS unit
+  FROM o LEFT JOIN l ON true
+),
+u AS (
+  SELECT *, CASE WHEN is_full THEN 3 WHEN size = 0 THEN 0 ELSE shared // (unit * size) END AS base FROM t
+),
+b AS (
+  SELECT *, CASE WHEN is_full THEN filled ELSE CAST(shared AS DOUBLE) / CAST(unit AS DOUBLE) END AS target,
+         CASE WHEN is_full OR size = 0 THEN 0 ELSE (shared - base * size * unit) // unit END AS budget
+  FROM u
+),
+c AS (
+  SELECT d.*, b.size AS source_size, b.target, b.base, b.budget,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(size * (base + CASE WHEN budget > before AND (before + size <= budget OR 2 * (budget - before) > size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c
 """,
 }
