@@ -1,6 +1,7 @@
-"""The arithmetic of one additive model, on the rows of one device.
+"""The arithmetic of additive models: sums over the rows of a device, and the fit from them.
 
-Runs inside Spark tasks. It needs numpy and Arrow only, so it can be sent to the
+The sums of two parts of a history add up to those of the whole, so no task needs all rows of
+a device. Runs inside Spark tasks. It needs numpy and Arrow only, so it can be sent to the
 executors by value and they need no copy of this package.
 """
 
@@ -27,76 +28,189 @@ def seasonal_terms(slots: np.ndarray, period_hours: int, order: int) -> np.ndarr
     return np.hstack([np.sin(angle), np.cos(angle)])
 
 
-def centre_and_scale(train: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Standardise columns by the training rows; 0/1 and constant columns stay as they are."""
-    plain = np.all((train == 0.0) | (train == 1.0), axis=0) | (np.ptp(train, axis=0) == 0.0)
-    shift = np.where(plain, 0.0, train.mean(axis=0))
-    spread = np.where(plain, 1.0, train.std(axis=0, ddof=1))
-    return (rows - shift) / spread
+def raw_design(slots: np.ndarray, inputs: np.ndarray) -> np.ndarray:
+    """Level, seasonal terms and the regressors as they are."""
+    ones = np.ones((len(slots), 1))
+    return np.hstack([ones, seasonal_terms(slots, 24, DAILY_ORDER), seasonal_terms(slots, 7 * 24, WEEKLY_ORDER), inputs])
 
 
-def fit_additive(design: np.ndarray, target: np.ndarray) -> np.ndarray:
+def row_sums(design: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The sums of some rows as one flat array: products of (design, target), then least, largest and
+    numbers of values other than 0 and 1 per column of (design, target)."""
+    both = np.column_stack([design, target])
+    ends = [both.min(axis=0), both.max(axis=0), ((both != 0.0) & (both != 1.0)).sum(axis=0)]
+    return np.concatenate([(both.T @ both).ravel(), *ends])
+
+
+def add_sums(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The sums of the rows of both."""
+    total = left + right
+    width = _width(left)
+    low, high = slice(width**2, width**2 + width), slice(width**2 + width, width**2 + 2 * width)
+    total[low], total[high] = np.minimum(left[low], right[low]), np.maximum(left[high], right[high])
+    return total
+
+
+def _width(sums: np.ndarray) -> int:
+    """Columns of (design, target): the sums are width * (width + 3) numbers."""
+    return round((np.sqrt(9.0 + 4.0 * len(sums)) - 3.0) / 2.0)
+
+
+def scaling(sums: np.ndarray, regressors: int) -> np.ndarray:
+    """The matrix that takes a raw design to the model's: regressors centred and scaled by the training
+    rows, 0/1 and constant columns as they are."""
+    width = _width(sums)
+    products = sums[: width**2].reshape(width, width)
+    low, high, other = sums[width**2 :].reshape(3, width)
+    count, matrix = products[0, 0], np.eye(width - 1)
+    for j in range(width - 1 - regressors, width - 1):
+        if other[j] and low[j] != high[j]:
+            mean = products[0, j] / count
+            spread = np.sqrt((products[j, j] - count * mean**2) / (count - 1.0))
+            matrix[j, j], matrix[0, j] = 1.0 / spread, -mean / spread
+    return matrix
+
+
+def fit_sums(sums: np.ndarray, regressors: int) -> np.ndarray | None:
+    """Coefficients for the raw design, or None where the target never changes."""
+    width = _width(sums)
+    low, high = sums[width**2 : width**2 + width], sums[width**2 + width : width**2 + 2 * width]
+    if sums[0] < 2 or low[-1] == high[-1]:
+        return None
+    matrix = scaling(sums, regressors)
+    weights = solve_additive(*model_equations(sums, matrix))
+    return matrix @ weights
+
+
+def model_equations(sums: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Gram matrix and moment of the model's design, the target's sum of squares and the rows."""
+    width = _width(sums)
+    products = sums[: width**2].reshape(width, width)
+    gram, moment = matrix.T @ products[:-1, :-1] @ matrix, matrix.T @ products[:-1, -1]
+    return gram, moment, float(products[-1, -1]), float(products[0, 0])
+
+
+def _prior(size: int) -> np.ndarray:
+    prior = np.full(size, COEFFICIENT_SCALE**-2)
+    prior[0] = LEVEL_SCALE**-2
+    return prior
+
+
+def _noise(squares: float, count: float) -> float:
+    """The variance v at v^2 / NOISE_SCALE^2 + count v = squares, in the form without a difference of near equals."""
+    return max(2.0 * squares / (count + np.sqrt(count**2 + 4.0 * NOISE_SCALE**-2 * squares)), LEAST_VARIANCE)
+
+
+def _squares(gram: np.ndarray, moment: np.ndarray, total: float, weights: np.ndarray) -> float:
+    return max(total - 2.0 * float(weights @ moment) + float(weights @ gram @ weights), 0.0)
+
+
+def solve_additive(gram: np.ndarray, moment: np.ndarray, total: float, count: float) -> np.ndarray:
     """Coefficients (the first column is the level) at the posterior mode.
 
-    For a fixed noise the mode is a ridge solution; for fixed coefficients the variance v
-    solves v^2 / NOISE_SCALE^2 + n v = sum of squares. Rounds of both go on until the noise has settled.
+    For a fixed noise the mode is a ridge solution; for fixed coefficients the noise follows
+    from the squares that are left. Rounds of both go on until the noise has settled.
     """
-    prior = np.full(design.shape[1], COEFFICIENT_SCALE**-2)
-    prior[0] = LEVEL_SCALE**-2
-    gram, moment = design.T @ design, design.T @ target
-    total, count, tight = float(target @ target), len(target), NOISE_SCALE**-2
-    variance = max(float(target.var()), LEAST_VARIANCE)
-    weights = moment
+    prior = _prior(len(moment))
+    variance = max(total / count - (moment[0] / count) ** 2, LEAST_VARIANCE)
     for _ in range(NOISE_ROUNDS):
         weights = np.linalg.solve(gram + np.diag(variance * prior), moment)
-        squares = max(total - 2.0 * float(weights @ moment) + float(weights @ gram @ weights), 0.0)
-        # The stable form of the root, without a difference of near equals.
-        settled = 2.0 * squares / (count + np.sqrt(count**2 + 4.0 * tight * squares))
-        settled = max(settled, LEAST_VARIANCE)
+        settled = _noise(_squares(gram, moment, total, weights), count)
         if abs(settled - variance) <= 1e-10 * variance:
             return weights
         variance = settled
     raise ArithmeticError("the noise of the additive model did not settle")
 
 
-def largest_residual(design: np.ndarray, target: np.ndarray, weights: np.ndarray) -> float:
+def fit_additive(design: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """As ``solve_additive``, from the rows; the first column of the design is the level."""
+    return solve_additive(design.T @ design, design.T @ target, float(target @ target), len(target))
+
+
+def largest_residual(gram: np.ndarray, moment: np.ndarray, total: float, count: float, weights: np.ndarray) -> float:
     """How far ``weights`` are from solving the ridge equations at the noise they imply, relative to their size."""
-    prior = np.full(design.shape[1], COEFFICIENT_SCALE**-2)
-    prior[0] = LEVEL_SCALE**-2
-    left = target - design @ weights
-    squares, tight = float(left @ left), NOISE_SCALE**-2
-    variance = max(2.0 * squares / (len(target) + np.sqrt(len(target) ** 2 + 4.0 * tight * squares)), LEAST_VARIANCE)
-    return float(np.abs(design.T @ left - variance * prior * weights).max() / max(1.0, float(np.abs(design.T @ target).max())))
-
-
-def forecast_device(rows: pa.Table, regressors: list[str], residuals: bool = False) -> pa.Table:
-    """Fit one device's history and forecast its rows to predict, or tell how exact the fit is."""
-
-    def values(name: str) -> np.ndarray:
-        return rows.column(name).to_numpy().astype(float)
-
-    row_type, active = rows.column("type").to_numpy(), values("is_active")
-    is_train = (row_type == "train") & ~np.isnan(active)
-    is_future = row_type == "predict"
-    future = rows.select(["device", "hour_slot"]).filter(pa.array(is_future))
-    target, slots = active[is_train], values("hour_slot")
-    if len(target) < 2 or np.ptp(target) == 0.0:
-        # Nothing to fit: the forecast is the level itself.
-        level = float(target.mean()) if len(target) else None
-        if residuals:
-            return pa.table({"device": rows.column("device").slice(0, 1), "residual": [0.0]})
-        return future.append_column("yhat", pa.array([level] * future.num_rows, pa.float64()))
-    inputs = np.column_stack([values(name) for name in regressors])
-    design = np.hstack(
-        [
-            np.ones((rows.num_rows, 1)),
-            seasonal_terms(slots, 24, DAILY_ORDER),
-            seasonal_terms(slots, 7 * 24, WEEKLY_ORDER),
-            centre_and_scale(inputs[is_train], inputs),
-        ]
-    )
-    weights = fit_additive(design[is_train], target)
-    if residuals:
-        rest = largest_residual(design[is_train], target, weights)
-        return pa.table({"device": rows.column("device").slice(0, 1), "residual": [rest]})
-    return future.append_column("yhat", pa.array(design[is_future] @ weights))
+    variance = _noise(_squares(gram, moment, total, weights), count)
+    left = moment - gram @ weights - variance * _prior(len(moment)) * weights
+    return float(np.abs(left).max() / max(1.0, float(np.abs(moment).max())))
+
+
+def _values(rows: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy(zero_copy_only=False).astype(float)
+
+
+def design_of(rows: pa.RecordBatch, regressors: list[str]) -> np.ndarray:
+    return raw_design(_values(rows, "hour_slot"), np.column_stack([_values(rows, name) for name in regressors]))
+
+
+def batch_sums(rows: pa.RecordBatch, regressors: list[str]) -> dict[str, np.ndarray]:
+    """The sums of each device's labelled rows."""
+    target = _values(rows, "is_active")
+    usable = np.flatnonzero((rows.column("type").to_numpy(zero_copy_only=False) == "train") & ~np.isnan(target))
+    if not len(usable):
+        return {}
+    rows, target = rows.take(pa.array(usable)), target[usable]
+    design = design_of(rows, regressors)
+    codes = rows.column("device").dictionary_encode()
+    code = codes.indices.to_numpy()
+    return {
+        device: row_sums(design[code == at], target[code == at]) for at, device in enumerate(codes.dictionary.to_pylist())
+    }
+
+
+def partial_sums(batches, regressors: list[str], held: int):
+    """(device, sums) rows for the rows of one task; at most ``held`` devices are kept at a time."""
+    kept: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for device, sums in batch_sums(batch, regressors).items():
+            kept[device] = add_sums(kept[device], sums) if device in kept else sums
+        if len(kept) > held:
+            yield _sums_batch(kept)
+            kept = {}
+    if kept:
+        yield _sums_batch(kept)
+
+
+def _sums_batch(kept: dict[str, np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array(list(kept), pa.string()), pa.array([s.tolist() for s in kept.values()], pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, ["device", "sums"])
+
+
+def added_sums(rows: pa.Table) -> pa.Table:
+    """One row of sums for the rows of one device."""
+    total = None
+    for sums in rows.column("sums").to_pylist():
+        total = np.array(sums) if total is None else add_sums(total, np.array(sums))
+    return pa.table({"device": rows.column("device").slice(0, 1), "sums": pa.array([total.tolist()])})
+
+
+def fitted(batches, regressors: int):
+    """(device, weights, level, residual) from (device, sums); weights are null where the target never changes."""
+    for batch in batches:
+        weights, levels, residuals = [], [], []
+        for numbers in batch.column("sums").to_pylist():
+            sums = np.array(numbers)
+            width = _width(sums)
+            found = fit_sums(sums, regressors)
+            levels.append(float(sums[width - 1] / sums[0]))
+            if found is None:
+                weights.append(None)
+                residuals.append(0.0)
+            else:
+                weights.append(found.tolist())
+                matrix = scaling(sums, regressors)
+                residuals.append(largest_residual(*model_equations(sums, matrix), np.linalg.solve(matrix, found)))
+        columns = [batch.column("device"), pa.array(weights, pa.list_(pa.float64())), pa.array(levels), pa.array(residuals)]
+        yield pa.RecordBatch.from_arrays(columns, ["device", "weights", "level", "residual"])
+
+
+def predicted(batches, regressors: list[str]):
+    """(device, hour_slot, yhat) from rows to predict with their device's weights and level."""
+    for batch in batches:
+        design, level = design_of(batch, regressors), _values(batch, "level")
+        weights = batch.column("weights").to_pylist()
+        flat = np.array([w if w is not None else np.full(design.shape[1], np.nan) for w in weights]).reshape(design.shape)
+        known = np.array([w is not None for w in weights], dtype=bool)
+        yhat = np.where(known, (design * flat).sum(axis=1), level)
+        # A device without any labelled row has no forecast.
+        columns = [batch.column("device"), batch.column("hour_slot"), pa.array(yhat, mask=np.isnan(yhat))]
+        yield pa.RecordBatch.from_arrays(columns, ["device", "hour_slot", "yhat"])

@@ -51,18 +51,18 @@ def day_rollup(log: DataFrame, start: Column | str | dt.datetime | None = None)
     return rollup.where((F.col("active_hours") >= 0) & ordered)
 
 
-def _bit(mask: str, hour: Column) -> Column:
+def flag_of_hour(mask: str, hour: Column) -> Column:
     return F.call_function("shiftright", F.col(mask), hour).bitwiseAND(F.lit(1))
 
 
-def _times_before(first: Column, last: Column, slot: Column, cycle: int) -> Column:
+def times_before(first: Column, last: Column, slot: Column, cycle: int) -> Column:
     """How many slots of [first, last] lie before ``slot`` at the same point of the cycle."""
     point = F.pmod(slot, F.lit(cycle))
     top = F.least(last, slot - 1)
     return F.floor((top - point) / cycle) - F.floor((first - 1 - point) / cycle)
 
 
-def _rate(active: Column, cells: Column) -> Column:
+def rate_of(active: Column, cells: Column) -> Column:
     return F.when(cells > 0, active / cells).otherwise(F.lit(0.0))
 
 
@@ -177,18 +177,18 @@ def features_from_days(
     is_future = slot >= future
     on_grid = slot.between(first, last) | slot.between(future, future + HORIZON_HOURS - 1)
     columns = {
-        "is_active_last_week": _bit("mask_last_week", hour).cast("double"),
-        "is_active_yesterday": _bit("mask_yesterday", hour).cast("double"),
-        "daily_activation_rate": _rate(
-            F.get("counts_daily", hour), _times_before(first, last, slot, clock.HOURS_PER_DAY)
+        "is_active_last_week": flag_of_hour("mask_last_week", hour).cast("double"),
+        "is_active_yesterday": flag_of_hour("mask_yesterday", hour).cast("double"),
+        "daily_activation_rate": rate_of(
+            F.get("counts_daily", hour), times_before(first, last, slot, clock.HOURS_PER_DAY)
         ),
-        "weekly_activation_rate": _rate(
-            F.get("counts_weekly", hour), _times_before(first, last, slot, clock.HOURS_PER_WEEK)
+        "weekly_activation_rate": rate_of(
+            F.get("counts_weekly", hour), times_before(first, last, slot, clock.HOURS_PER_WEEK)
         ),
     }
     if device_rate:
         lower_bits = F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), hour) - 1)
-        columns["device_rate_so_far"] = _rate(
+        columns["device_rate_so_far"] = rate_of(
             F.col("active_before") + F.bit_count(lower_bits), F.least(last, slot - 1) - first + 1
         )
     day_rates = {name: F.col(name) for name in FEATURES if name in wide.columns}
@@ -202,7 +202,7 @@ def features_from_days(
         "day_num",
         clock.slot_week(slot).alias("week_num"),
         "day_of_week",
-        F.when(~is_future, _bit("mask", hour)).alias("is_active"),
+        F.when(~is_future, flag_of_hour("mask", hour)).alias("is_active"),
         F.when(is_future, F.lit("predict")).otherwise(F.lit("train")).alias("type"),
         *features,
     )

@@ -1,4 +1,4 @@
-"""One additive forecast per device, fitted in parallel over the devices.
+"""One additive forecast per device, fitted from sums over its rows.
 
 The model follows the published additive form of Taylor and Letham, "Forecasting at
 Scale" (2017), with a constant trend: a level, daily and weekly Fourier terms and extra
@@ -8,6 +8,7 @@ form that is a ridge regression with a penalty tied to the noise.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark import cloudpickle
@@ -32,32 +33,52 @@ REGRESSORS = [
 
 LABEL_CUT = 0.4
 
+SUMS = "device string, sums array<double>"
 
-def forecast(features: DataFrame, regressors: Sequence[str] = REGRESSORS) -> DataFrame:
-    """``device, hour_slot, yhat`` for the rows to predict; ``yhat`` is clipped at 0.
+# A task holds the sums of so many devices (5 KB each) before it sends them on.
+DEVICES_HELD = 20_000
 
-    A group is one device: one row per hour of its history, so its size is set by the
-    calendar. On a table partitioned by device the grouping adds no shuffle.
-    """
-    fit, names = additive.forecast_device, list(regressors)
 
-    def fit_predict(rows):
-        return fit(rows, names)
+def forecast_sums(features: DataFrame, regressors: Sequence[str] = REGRESSORS) -> DataFrame:
+    """``device, sums``: all that a fit needs of the labelled rows.
 
+    Every task adds up its own rows; a device sends one row of some 600 numbers per task, however
+    long its history is. Sums of other days are added by ``add_days``.
+    """
+    sums, names = additive.partial_sums, list(regressors)
     needed = features.select("device", "hour_slot", "type", "is_active", *names)
-    raw = needed.groupBy("device").applyInArrow(fit_predict, "device string, hour_slot int, yhat double")
+    return add_days(needed.mapInArrow(lambda rows: sums(rows, names, DEVICES_HELD), SUMS))
+
+
+def add_days(sums: DataFrame, *more: DataFrame) -> DataFrame:
+    """The sums of all rows behind the given ones, one row per device."""
+    return functools.reduce(DataFrame.unionByName, more, sums).groupBy("device").applyInArrow(additive.added_sums, SUMS)
+
+
+def coefficients(sums: DataFrame, regressors: Sequence[str] = REGRESSORS) -> DataFrame:
+    """``device, weights, level, residual``: the fit of each device, and how exact it is."""
+    fit, width = additive.fitted, len(regressors)
+    return sums.mapInArrow(lambda rows: fit(rows, width), "device string, weights array<double>, level double, residual double")
+
+
+def forecast(features: DataFrame, regressors: Sequence[str] = REGRESSORS, sums: DataFrame | None = None) -> DataFrame:
+    """``device, hour_slot, yhat`` for the rows to predict; ``yhat`` is clipped at 0.
+
+    ``sums`` are those of the history, if they are known; then only the rows to predict are read.
+    """
+    apply, names = additive.predicted, list(regressors)
+    sums = forecast_sums(features, regressors) if sums is None else sums
+    rows = features.where(F.col("type") == "predict").select("device", "hour_slot", *names)
+    with_fit = rows.join(coefficients(sums, regressors), "device", "left")
+    raw = with_fit.mapInArrow(lambda batches: apply(batches, names), "device string, hour_slot int, yhat double")
     return raw.withColumn("yhat", clip_below(F.col("yhat"), 0.0))
 
 
 def fit_residuals(features: DataFrame, regressors: Sequence[str] = REGRESSORS) -> DataFrame:
     """``device, residual``: how far each device's coefficients are from their equations."""
-    fit, names = additive.forecast_device, list(regressors)
-
-    def check(rows):
-        return fit(rows, names, True)
-
-    needed = features.select("device", "hour_slot", "type", "is_active", *names)
-    return needed.groupBy("device").applyInArrow(check, "device string, residual double")
+    found = coefficients(forecast_sums(features, regressors), regressors).select("device", "residual")
+    every = features.select("device").distinct().join(found, "device", "left")
+    return every.select("device", F.coalesce("residual", F.lit(0.0)).alias("residual"))
 
 
 def forecast_labels(forecasts: DataFrame, cut: float = LABEL_CUT) -> DataFrame:

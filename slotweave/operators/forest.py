@@ -7,22 +7,27 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from slotweave.functions.clock import HOURS_PER_WEEK
+from slotweave.operators.dictionary import dictionary
 from slotweave.operators.splits import LABEL, MODEL_FEATURES, complete_rows
+from slotweave.session import scratch_path
 
 DEVICE_RATE = "device_rate_so_far"
 
+_COLUMNS = "place int, name string, by_flags boolean"
+
 
 @dataclass(frozen=True)
 class ForestSettings:
     """Size of the forest and how it sees the device.
 
     ``encoding``: ``rate`` gives the device's activation rate so far (fixed width, for any
-    number of devices), ``onehot`` a 0/1 column per device (its names go to the driver).
+    number of devices), ``onehot`` a 0/1 column per device.
     """
 
     trees: int = 512
@@ -44,12 +49,44 @@ def model_inputs(encoding: str, columns: Sequence[str] = MODEL_FEATURES) -> list
     raise ValueError(f"unknown encoding {encoding!r}: use 'onehot' or 'rate'")
 
 
-def device_flag_stages() -> list:
-    """A 0/1 column per device, in the order of the names."""
-    return [
-        StringIndexer(inputCol="device", outputCol="_device_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCol="_device_index", outputCol="_device_flags", dropLast=False),
-    ]
+@dataclass(frozen=True)
+class Forest:
+    """A trained forest. ``devices`` numbers the columns of a model with a column per device."""
+
+    pipeline: PipelineModel
+    columns: tuple[str, ...]
+    devices: DataFrame | None = None
+
+    @property
+    def stages(self) -> list:
+        return self.pipeline.stages
+
+
+def device_dictionary(rows: DataFrame) -> DataFrame:
+    """``device, device_index``: the names in order, numbered on the executors."""
+    named = rows.where(F.col("device").isNotNull())
+    return dictionary(named, "device", "device_index").withColumn("device_index", F.col("device_index").cast("int"))
+
+
+def _sparse(index: Column, width: int, others: Sequence[str] = ()) -> Column:
+    """A flag among ``width`` places and further numbers behind it, in the layout of a sparse vector."""
+    places = [index.cast("int"), *[F.lit(width + i) for i in range(len(others))]]
+    values = [F.lit(1.0), *[F.col(name).cast("double") for name in others]]
+    kind = F.lit(0).cast("tinyint").alias("type")
+    size = F.lit(width + len(others)).alias("size")
+    return F.struct(kind, size, F.array(*places).alias("indices"), F.array(*values).alias("values"))
+
+
+def with_device_flags(rows: DataFrame, devices: DataFrame, others: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with ``_flags``: a 0/1 column per device, one for all other devices, and the ``others``.
+
+    The dictionary is joined, not broadcast: it is as long as the fleet. Only its length is
+    known to the driver.
+    """
+    width = devices.count() + 1
+    coded = rows.join(devices, "device", "left")
+    index = F.coalesce(F.col("device_index"), F.lit(width - 1))
+    return coded.withColumn("_flags", _sparse(index, width, others)).drop("device_index")
 
 
 def device_flags(rows: DataFrame) -> DataFrame:
@@ -57,40 +94,50 @@ def device_flags(rows: DataFrame) -> DataFrame:
 
     The last column is for devices not seen in training.
     """
-    coded = Pipeline(stages=device_flag_stages()).fit(rows).transform(rows.select("device").distinct())
-    flags = vector_to_array("_device_flags")
-    return coded.select(
+    flagged = with_device_flags(rows.select("device").distinct(), device_dictionary(rows))
+    return flagged.select(
         "device",
-        F.col("_device_index").cast("int").alias("device_index"),
-        F.aggregate(flags, F.lit(0.0), lambda total, x: total + x).cast("int").alias("flags_set"),
-        F.size(flags).alias("width"),
+        F.col("_flags.indices")[0].alias("device_index"),
+        F.aggregate("_flags.values", F.lit(0.0), lambda total, x: total + x).cast("int").alias("flags_set"),
+        F.col("_flags.size").alias("width"),
     )
 
 
-def forest_pipeline(settings: ForestSettings, columns: Sequence[str] = MODEL_FEATURES, label: str = LABEL) -> Pipeline:
-    inputs = model_inputs(settings.encoding, columns)
-    stages: list = []
-    if settings.encoding == "onehot" and "device" in inputs:
-        stages += device_flag_stages()
-        inputs = ["_device_flags" if name == "device" else name for name in inputs]
-    stages += [
-        VectorAssembler(inputCols=inputs, outputCol="_features"),
-        RandomForestClassifier(
-            featuresCol="_features",
-            labelCol=label,
-            predictionCol="_prediction",
-            probabilityCol="_probability",
-            rawPredictionCol="_votes",
-            numTrees=settings.trees,
-            maxDepth=settings.depth,
-            featureSubsetStrategy=str(settings.features_per_split),
-            minInstancesPerNode=settings.min_rows_per_leaf,
-            maxBins=settings.bins,
-            maxMemoryInMB=settings.memory_mb,
-            seed=settings.seed,
-        ),
-    ]
-    return Pipeline(stages=stages)
+def _as_vectors(rows: DataFrame) -> DataFrame:
+    """``rows``, written once, with ``_flags`` read back as the vectors that its layout is, ``_features``."""
+    path = scratch_path(rows.sparkSession, "vectors")
+    rows.withColumnRenamed("_flags", "_features").write.parquet(path)
+    fields = [T.StructField("_features", VectorUDT()) if f.name == "_flags" else f for f in rows.schema]
+    return rows.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+
+
+def _by_flags(encoding: str, columns: Sequence[str]) -> bool:
+    return encoding == "onehot" and "device" in columns
+
+
+def _classifier(settings: ForestSettings, label: str) -> RandomForestClassifier:
+    return RandomForestClassifier(
+        featuresCol="_features",
+        labelCol=label,
+        predictionCol="_prediction",
+        probabilityCol="_probability",
+        rawPredictionCol="_votes",
+        numTrees=settings.trees,
+        maxDepth=settings.depth,
+        featureSubsetStrategy=str(settings.features_per_split),
+        minInstancesPerNode=settings.min_rows_per_leaf,
+        maxBins=settings.bins,
+        maxMemoryInMB=settings.memory_mb,
+        seed=settings.seed,
+    )
+
+
+def training_rows(
+    rows: DataFrame, settings: ForestSettings, columns: Sequence[str] = MODEL_FEATURES, label: str = LABEL
+) -> DataFrame:
+    """The complete rows a forest is fitted on, with its inputs and label alone."""
+    needed = [*model_inputs(settings.encoding, columns), label]
+    return complete_rows(rows.select(*needed), needed)
 
 
 def train_forest(
@@ -98,15 +145,29 @@ def train_forest(
     settings: ForestSettings = ForestSettings(),
     columns: Sequence[str] = MODEL_FEATURES,
     label: str = LABEL,
-) -> PipelineModel:
+) -> Forest:
     """Fit on labelled rows. Training makes many passes: give it a written table."""
-    needed = [*model_inputs(settings.encoding, columns), label]
-    return forest_pipeline(settings, columns, label).fit(complete_rows(rows.select(*needed), needed))
+    inputs = model_inputs(settings.encoding, columns)
+    complete = training_rows(rows, settings, columns, label)
+    if not _by_flags(settings.encoding, inputs):
+        assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
+        return Forest(Pipeline(stages=[assembler, _classifier(settings, label)]).fit(complete), tuple(inputs))
+    devices = device_dictionary(complete)
+    others = [name for name in inputs if name != "device"]
+    vectors = _as_vectors(with_device_flags(complete, devices, others).select("_flags", label))
+    return Forest(Pipeline(stages=[_classifier(settings, label)]).fit(vectors), tuple(inputs), devices)
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """``rows`` with the predicted class and the probability of activity; keys stay."""
-    scored = model.transform(rows)
+def predict(model: Forest, rows: DataFrame) -> DataFrame:
+    """``rows`` with the predicted class and the probability of activity; keys stay.
+
+    A model with a column per device has the rows written once, with their vectors.
+    """
+    prepared = rows
+    if model.devices is not None:
+        others = [name for name in model.columns if name != "device"]
+        prepared = _as_vectors(with_device_flags(rows, model.devices, others))
+    scored = model.pipeline.transform(prepared)
     return scored.select(
         *rows.columns,
         F.col("_prediction").cast("int").alias("activation_predicted"),
@@ -114,15 +175,24 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     )
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Forest, path: str) -> None:
+    """A folder with the pipeline, the columns it reads and, if it has one, the dictionary of devices."""
+    spark = SparkSession.active()
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    if model.devices is not None:
+        model.devices.write.mode("overwrite").parquet(f"{path}/devices")
+    columns = spark.createDataFrame([(i, name, model.devices is not None) for i, name in enumerate(model.columns)], _COLUMNS)
+    columns.coalesce(1).write.mode("overwrite").json(f"{path}/columns")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> Forest:
+    spark = SparkSession.active()
+    columns = spark.read.schema(_COLUMNS).json(f"{path}/columns").orderBy("place").collect()
+    by_flags = bool(columns) and columns[0].by_flags
+    devices = spark.read.parquet(f"{path}/devices") if by_flags else None
+    return Forest(PipelineModel.load(f"{path}/pipeline"), tuple(c.name for c in columns), devices)
 
 
-def needs_device_rate(model: PipelineModel) -> bool:
+def needs_device_rate(model: Forest) -> bool:
     """Whether the rows to score must carry the device-rate column."""
-    assemblers = [stage for stage in model.stages if isinstance(stage, VectorAssembler)]
-    return any(DEVICE_RATE in stage.getInputCols() for stage in assemblers)
+    return DEVICE_RATE in model.columns

@@ -21,6 +21,9 @@ from slotweave.sources.activations import usable
 
 HORIZON_HOURS = 24
 
+# Cells of the grid in one partition: some 200 MB of features.
+CELLS_PER_PARTITION = 2_000_000
+
 PANEL_COLUMNS = [
     "device",
     "hour_slot",
@@ -115,7 +118,7 @@ def first_future_hour(start: Column | str | dt.datetime) -> Column:
     return clock.ceil_hour(clock.as_time(start))
 
 
-def _last_hour(extent: Column, first_hour: Column, grid: str) -> Column:
+def last_hour(extent: Column, first_hour: Column, grid: str) -> Column:
     """Last hour of the grid.
 
     ``span`` ends at the last event. ``compat`` counts whole days between the first and
@@ -134,11 +137,23 @@ def by_device(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Hash-partition by device.
 
     The partition count is explicit because the rows multiply after this exchange, and
-    adaptive coalescing would size the partitions by the short side of it.
+    adaptive coalescing would size the partitions by the short side of it. Jobs, which have
+    written the rollup, take it from ``grid_partitions``.
     """
     return df.repartition(partitions or device_partitions(df.sparkSession), "device")
 
 
+def grid_partitions(rollup: DataFrame, extent: Column, rows: int = CELLS_PER_PARTITION) -> int:
+    """How many partitions the written-out grid needs, from a written rollup's own devices and span.
+
+    Adaptive execution sees the rows before they multiply; this counts the cells they become.
+    """
+    found = rollup.agg(F.approx_count_distinct("device").alias("devices")).withColumn("extent", extent)
+    hours = clock.hour_index(F.col("extent.last")) - clock.hour_index(F.col("extent.first")) + 1 + HORIZON_HOURS
+    cells = found.select((F.col("devices") * F.coalesce(hours, F.lit(HORIZON_HOURS))).alias("cells")).first()["cells"]
+    return max(1, -(-int(cells) // rows))
+
+
 def panel_from_rollup(
     rollup: DataFrame,
     extent: Column,
@@ -174,7 +189,7 @@ def panel_from_rollup(
         is_later.alias("is_later"),
         next_hour.alias("next_hour"),
         clock.hour_index(first).alias("first_hour"),
-        _last_hour(F.col("extent"), clock.hour_index(first), grid).alias("last_hour"),
+        last_hour(F.col("extent"), clock.hour_index(first), grid).alias("last_hour"),
         clock.anchor_hour(anchor).alias("anchor_hour"),
     )
     # Each rollup row covers itself and the gap after it; the first also covers the gap

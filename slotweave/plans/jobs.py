@@ -2,7 +2,7 @@
 
     forest   TIME LOG OUT [--save-model DIR] [--report DIR]   train a forest, predict 24 hours
     forecast TIME LOG OUT                                     one additive forecast per device
-    score    REQUEST LOG MODEL OUT                            predict with a stored forest
+    score    REQUEST LOG MODEL OUT [--from-state]             predict with a stored forest
 
 The raw log is read once: its rollup is written to the shared folder, and span, anchor and
 features come from that table.
@@ -12,19 +12,20 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from slotweave.functions import clock
-from slotweave.operators import forecast as additive, forest, metrics, splits
+from slotweave.operators import forecast as additive, forest, metrics, model_store, splits
 from slotweave.operators.day_features import day_rollup, device_days, features_from_days
-from slotweave.operators.panel import first_future_hour, hourly_rollup, panel_from_rollup, rollup_extent
+from slotweave.operators.device_state import DeviceState, features_from_state, load_state, save_state, state_from_rollup
+from slotweave.operators.overlap_features import features_from_overlap, overlap_days
+from slotweave.operators.panel import first_future_hour, grid_partitions, hourly_rollup, panel_from_rollup, rollup_extent
 from slotweave.operators.rates import model_features
-from slotweave.session import drop_stages, stages_made, write_stage
-from slotweave.sources.activations import read_log, request_time
-from slotweave.sources.sinks import write_csv, write_json
+from slotweave.session import device_partitions, drop_stages, stages_made, write_stage
+from slotweave.sources.activations import quarantine, read_log, request_time
+from slotweave.sources.sinks import join_parts, write_csv, write_json, write_json_array
 
 
 @dataclass(frozen=True)
@@ -37,10 +38,16 @@ class Options:
     rates: str = "before_now"
 
 
+#: History and hours to predict may share slots, and the latest cell is treated apart.
+COMPAT = Options(grid="compat", cut_history=False, future_flag="active", rates="latest_only")
+
+
 @dataclass(frozen=True)
 class Prepared:
     features: DataFrame
     anchor: Column
+    rollup: DataFrame | None = None
+    """The device days behind the features, where they were made from days."""
 
 
 def prepare(log: DataFrame, start: str, options: Options = Options(), device_rate: bool = True) -> Prepared:
@@ -49,14 +56,18 @@ def prepare(log: DataFrame, start: str, options: Options = Options(), device_rat
         rollup = write_stage(day_rollup(log, start), "rollup")
         extent = rollup_extent(rollup)
         features = features_from_days(
-            device_days(rollup, extent, start),
+            device_days(rollup, extent, start, partitions=_partitions(rollup, extent)),
             device_day_rates=False,
             fleet_day_rates=False,
             device_rate=device_rate,
         )
-        return Prepared(features, _anchor(extent, start))
-    # The other forms need the cells themselves: they let history and future overlap, or
-    # treat the latest cell apart.
+        return Prepared(features, _anchor(extent, start), rollup)
+    if options == COMPAT and not device_rate:
+        rollup = write_stage(day_rollup(log), "rollup")
+        extent = rollup_extent(rollup)
+        days = overlap_days(rollup, extent, start, _partitions(rollup, extent))
+        return Prepared(features_from_overlap(days, day_rates=False), _anchor(extent, start))
+    # The other forms need the cells themselves.
     cut = start if options.cut_history else None
     rollup = write_stage(hourly_rollup(log, cut), "rollup")
     extent = rollup_extent(rollup, cut)
@@ -66,6 +77,7 @@ def prepare(log: DataFrame, start: str, options: Options = Options(), device_rat
         grid=options.grid,
         start=start,
         future_flag=options.future_flag,
+        partitions=_partitions(rollup, extent),
         cut_history=options.cut_history,
     )
     features = model_features(
@@ -79,6 +91,11 @@ def prepare(log: DataFrame, start: str, options: Options = Options(), device_rat
     return Prepared(features, _anchor(extent, start))
 
 
+def _partitions(rollup: DataFrame, extent: Column) -> int:
+    """As many partitions as the grid needs, and no fewer than the session's."""
+    return max(grid_partitions(rollup, extent), device_partitions(rollup.sparkSession))
+
+
 def _anchor(extent: Column, start: str) -> Column:
     """The first day of the history, or the day to predict if there is none."""
     return F.coalesce(F.to_date(extent.getField("first")), F.to_date(first_future_hour(start)))
@@ -86,10 +103,12 @@ def _anchor(extent: Column, start: str) -> Column:
 
 @dataclass(frozen=True)
 class ForestRun:
-    model: PipelineModel
+    model: forest.Forest
     predictions: DataFrame
     scored: DataFrame
     """Labelled training and held-out rows with their predictions, told apart by ``fold``."""
+    rollup: DataFrame | None = None
+    """The device days of the history, for ``state_after``."""
 
 
 def _prediction_table(predicted: DataFrame, anchor: Column, probability: bool = False) -> DataFrame:
@@ -110,25 +129,52 @@ def run_forest(
     x_columns: Sequence[str] = splits.MODEL_FEATURES,
     y_column: str = splits.LABEL,
     probability: bool = False,
+    store: str | None = None,
 ) -> ForestRun:
     """Train on the history and predict the 24 hours from ``start`` for every device.
 
     ``plan`` replaces the default splits ``train`` and ``predict``; it may narrow slots,
-    devices and hold-out. ``x_columns`` and ``y_column`` are the model's columns.
+    devices and hold-out. ``x_columns`` and ``y_column`` are the model's columns. With
+    ``store``, a folder, a model trained before on the same rows and settings is read from
+    there, and a new one is added.
     """
     ready = prepare(log, start, options)
     table = write_stage(ready.features, "features", partition_by="type")
     plan = splits.default_splits(holdout_share, holdout_rows) | (plan or {})
-    labelled = splits.with_fold(splits.select_rows(table, plan["train"]), plan["train"])
+    labelled = labelled_rows(table, plan["train"])
     to_predict = splits.select_rows(table, plan["predict"])
-    model = forest.train_forest(labelled.where(F.col("fold") != "test"), settings, x_columns, y_column)
+    training = labelled.where(F.col("fold") != "test")
+
+    def train() -> forest.Forest:
+        return forest.train_forest(training, settings, x_columns, y_column)
+
+    if store is None:
+        model = train()
+    else:
+        asked = asdict(settings) | {"columns": list(x_columns), "label": y_column, "spark": table.sparkSession.version}
+        name = model_store.fingerprint(forest.training_rows(training, settings, x_columns, y_column), asked)
+        model = model_store.find_or_train(table.sparkSession, store, name, train)
     return ForestRun(
         model=model,
         predictions=_prediction_table(forest.predict(model, to_predict), ready.anchor, probability),
         scored=forest.predict(model, labelled),
+        rollup=ready.rollup,
     )
 
 
+def state_after(run: ForestRun, start: str) -> DeviceState:
+    """The state of the days before the one to predict, from the rollup that the run has written."""
+    if run.rollup is None:
+        raise ValueError("a state needs the default options: it is made from days, not from cells")
+    day = run.rollup.sparkSession.range(1).select(F.to_date(first_future_hour(start)).alias("day")).first()["day"]
+    return state_from_rollup(run.rollup, day)
+
+
+def labelled_rows(table: DataFrame, split: splits.Split) -> DataFrame:
+    """The rows of a training split with their fold."""
+    return splits.with_fold(splits.select_rows(table, split), split)
+
+
 def fold_report(run: ForestRun) -> DataFrame:
     """Per device: AUC, accuracy and confusion counts on training and held-out rows.
 
@@ -149,7 +195,7 @@ def run_forecast(log: DataFrame, start: str, options: Options = Options()) -> Da
     )
 
 
-def run_scoring(log: DataFrame, start: str, model: PipelineModel, options: Options = Options()) -> DataFrame:
+def run_scoring(log: DataFrame, start: str, model: forest.Forest, options: Options = Options()) -> DataFrame:
     """Predictions of a stored model, ordered by device and time."""
     ready = prepare(log, start, options, device_rate=forest.needs_device_rate(model))
     to_predict = splits.select_rows(ready.features, splits.default_splits()["predict"])
@@ -157,6 +203,12 @@ def run_scoring(log: DataFrame, start: str, model: PipelineModel, options: Optio
     return _prediction_table(predicted, ready.anchor).orderBy("device", "time")
 
 
+def run_scoring_from_state(log: DataFrame, start: str, model: forest.Forest, state: DeviceState) -> DataFrame:
+    """As ``run_scoring`` with default options; of the log, only events since the state are read."""
+    features, anchor = features_from_state(state, log, start, forest.needs_device_rate(model))
+    return _prediction_table(forest.predict(model, features), anchor).orderBy("device", "time")
+
+
 def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="slotweave", description="Hourly activation prediction.")
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -178,12 +230,15 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     train.add_argument("--probability", action="store_true", help="write the probability as well")
     train.add_argument("--holdout-share", type=float, default=0.2)
     train.add_argument("--holdout-rows", type=int, default=0)
+    train.add_argument("--model-store", metavar="DIR", help="reuse a model trained on the same rows and settings, or add it")
     train.add_argument("--save-model", metavar="DIR")
     train.add_argument("--report", metavar="DIR")
     score.add_argument("request", help="tab-separated file with time_for_prediction")
     score.add_argument("log", help="activation log, CSV or Parquet")
     score.add_argument("model", help="folder of a saved model")
     score.add_argument("out", help="folder for the predictions (JSON lines)")
+    score.add_argument("--json-array", action="store_true", help="one JSON array in parts instead of a record per line")
+    score.add_argument("--from-state", action="store_true", help="use the state stored with the model; only later events are read")
     for job in (train, series, score):
         job.add_argument("--grid", default="span", choices=["span", "compat"])
         job.add_argument("--keep-later-events", action="store_true")
@@ -192,6 +247,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
         job.add_argument("--single-file", action="store_true", help="one output file, for small results")
         job.add_argument("--log-kind", choices=["csv", "parquet"], help="default: by the path's ending")
         job.add_argument("--source-zone", default="UTC", help="zone of the log's times if they are instants")
+        job.add_argument("--rejects", metavar="DIR", help="set unreadable records of a CSV log aside there instead of failing")
         job.add_argument("--partitions", type=int, help="shuffle partitions; devices times hours of the span / 10 million is a start")
     return parser.parse_args(argv)
 
@@ -211,17 +267,30 @@ def run_command(argv: Sequence[str] | None, spark: SparkSession) -> None:
     args = _arguments(argv)
     if args.partitions:
         spark.conf.set("spark.sql.shuffle.partitions", args.partitions)
-    log = read_log(spark, args.log, args.log_kind, args.source_zone)
+    if args.rejects:
+        log, rejects = quarantine(spark, args.log)
+        write_csv(rejects, args.rejects, args.single_file)
+    else:
+        log = read_log(spark, args.log, args.log_kind, args.source_zone)
     options = Options(args.grid, not args.keep_later_events, args.future_flag, args.rates)
     if args.job == "forest":
         settings = forest.ForestSettings(args.trees, args.depth, args.features_per_split, encoding=args.encoding)
         train = splits.default_splits(args.holdout_share, args.holdout_rows)["train"]
         train = replace(train, start_hour=args.from_slot, end_hour=args.to_slot, devices=args.devices or "all")
         run = run_forest(
-            log, args.time, settings, options, plan={"train": train}, x_columns=args.columns, probability=args.probability
+            log,
+            args.time,
+            settings,
+            options,
+            plan={"train": train},
+            x_columns=args.columns,
+            probability=args.probability,
+            store=args.model_store,
         )
         if args.save_model:
             forest.save_model(run.model, args.save_model)
+            if run.rollup is not None:
+                save_state(state_after(run, args.time), f"{args.save_model}/state")
         write_csv(run.predictions, args.out, args.single_file)
         if args.report:
             write_csv(fold_report(run), args.report)
@@ -229,8 +298,17 @@ def run_command(argv: Sequence[str] | None, spark: SparkSession) -> None:
         write_csv(run_forecast(log, args.time, options), args.out, args.single_file)
     else:
         model = forest.load_model(args.model)
-        scored = run_scoring(log, request_time(spark, args.request), model, options)
-        write_json(scored, args.out, args.single_file, ["device", "time"])
+        time = request_time(spark, args.request)
+        if args.from_state:
+            scored = run_scoring_from_state(log, time, model, load_state(spark, f"{args.model}/state"))
+        else:
+            scored = run_scoring(log, time, model, options)
+        if args.json_array:
+            write_json_array(scored, args.out, ["device", "time"])
+            if args.single_file:
+                join_parts(spark, args.out, f"{args.out}/predictions.json")
+        else:
+            write_json(scored, args.out, args.single_file, ["device", "time"])
 
 
 if __name__ == "__main__":

@@ -95,10 +95,11 @@ PANEL_COLUMNS = """device, hour_slot, hour_of_day, hour_of_week, day_num, week_n
   earliest_activation, latest_activation, total_activations, is_active, type"""
 
 
-def _lag(hours: int, name: str) -> str:
+def _lag(period: str, point: str, name: str) -> str:
+    """The flag at the same point of the period before."""
     return f"""SELECT p.device, p.hour_slot, CAST(coalesce(e.is_active, 0) AS DOUBLE) AS {name}
-FROM panel p LEFT JOIN (SELECT device, hour_slot + {hours} AS later_slot, is_active FROM panel) e
-  ON e.device = p.device AND e.later_slot = p.hour_slot"""
+FROM panel p LEFT JOIN (SELECT device, {period} + 1 AS later, {point}, is_active FROM panel) e
+  ON e.device = p.device AND e.later = p.{period} AND e.{point} = p.{point}"""
 
 
 def _mean_before(cycle: str) -> str:
@@ -194,6 +195,10 @@ CONTRACT = _with(LOG) + f"""SELECT device, CAST(24 AS BIGINT) AS rows,
   strftime({_first_future(AT_END)} + INTERVAL 23 HOUR, '%Y-%m-%d %H:%M:%S') AS last_time, CAST(0 AS BIGINT) AS odd_labels
 FROM (SELECT DISTINCT device FROM log) d"""
 
+BUSY = """SELECT device FROM (SELECT 'device_' || CAST(user_id AS VARCHAR) AS device, count(*) AS total
+                      FROM events GROUP BY user_id) totals
+  WHERE total >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id) counted)"""
+
 SCORED = f"""scored AS (
   SELECT device, is_active AS label, round(rate, 9) AS score, CAST(rate >= 0.1 AS INTEGER) AS predicted
   FROM (SELECT device, hour_slot, is_active, {_mean_before("hour_of_week")} AS rate FROM history) rated
@@ -239,6 +244,18 @@ FROM (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY scor
 NAIVE_RATE = f"""rated AS (
   SELECT *, {_mean_before("hour_of_week")} AS rate FROM panel)"""
 
+# Two ways to score agree on all 24 rows of every device.
+AGREEMENTS = _with(LOG) + """SELECT device, CAST(24 AS BIGINT) AS rows, CAST(24 AS BIGINT) AS agreements
+FROM (SELECT DISTINCT device FROM log) d"""
+
+STATE_FEATURES = """SELECT m.device, m.hour_slot, hour_of_day, hour_of_week, day_of_week, is_active_yesterday, is_active_last_week,
+  daily_activation_rate, weekly_activation_rate, round(device_rate_so_far, 9) AS device_rate_so_far
+FROM model m JOIN (
+  SELECT device, hour_slot, coalesce(avg(is_active) OVER (PARTITION BY device ORDER BY hour_slot
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS device_rate_so_far FROM panel) r
+  ON r.device = m.device AND r.hour_slot = m.hour_slot
+WHERE type = 'predict'"""
+
 ORACLE_SQL: dict[str, str] = {
     "devices": _with(LOG) + """SELECT DISTINCT device, regexp_extract(device, '[^_]*$') AS device_number FROM log""",
     "unusable_counts": """SELECT count(*) FILTER (WHERE user_id IS NULL) AS null_device,
@@ -270,8 +287,8 @@ GROUP BY event_type""",
     "modelling_panel": _with(*END_CTES) + f"SELECT {PANEL_COLUMNS} FROM panel",
     "modelling_panel_inside": _with(*INSIDE_CTES) + f"SELECT {PANEL_COLUMNS} FROM panel",
     "modelling_panel_overlap": _with(*OVERLAP_CTES) + f"SELECT {PANEL_COLUMNS} FROM panel",
-    "lag_yesterday": _with(*END_CTES) + _lag(24, "is_active_yesterday"),
-    "lag_last_week": _with(*END_CTES) + _lag(168, "is_active_last_week"),
+    "lag_yesterday": _with(*END_CTES) + _lag("day_num", "hour_of_day", "is_active_yesterday"),
+    "lag_last_week": _with(*END_CTES) + _lag("week_num", "hour_of_week", "is_active_last_week"),
     "lag_selfjoin_yesterday": _with(*OVERLAP_CTES)
     + """SELECT DISTINCT p.device, p.hour_slot, CAST(coalesce(y.is_active, 0) AS DOUBLE) AS is_active_yesterday
 FROM panel p LEFT JOIN panel y
@@ -319,10 +336,7 @@ GROUP BY a.device, a.day_num, a.activation_rate""",
 WHERE type = 'predict' AND hour_slot >= 0 OR type = 'train' AND hour_slot >= 168""",
     "split_busy_devices": _with(*END_CTES, MODEL_TABLE)
     + f"""SELECT {MODEL_COLUMNS}, 'busy' AS split, 'all' AS fold FROM model
-WHERE type = 'train' AND hour_slot BETWEEN 168 AND 500 AND device IN (
-  SELECT device FROM (SELECT 'device_' || CAST(user_id AS VARCHAR) AS device, count(*) AS total
-                      FROM events GROUP BY user_id) totals
-  WHERE total >= (SELECT avg(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id) counted))""",
+WHERE type = 'train' AND hour_slot BETWEEN 168 AND 500 AND device IN ({BUSY})""",
     "complete_rows": _with(*END_CTES)
     + f"""SELECT device, hour_slot, is_active, round(rate, 9) AS weekly_activation_rate
 FROM (SELECT device, hour_slot, is_active, {_mean_before("hour_of_week")} AS rate FROM panel) rated
@@ -363,6 +377,16 @@ FROM (SELECT device, hour_slot, CASE WHEN raw < 0 THEN 0.0 ELSE raw END AS yhat
     + """SELECT CAST(rate >= 0.4 AS INTEGER) AS activation_predicted, device,
   strftime(CAST(anchor AS TIMESTAMP) + to_hours(hour_slot), '%Y-%m-%d %H:%M:%S') AS time
 FROM rated, span WHERE type = 'predict'""",
+    "json_array_roundtrip": _with(*END_CTES, NAIVE_RATE)
+    + """SELECT *, row_number() OVER (ORDER BY device, time) - 1 AS place FROM (
+  SELECT CAST(rate >= 0.4 AS INTEGER) AS activation_predicted, device,
+    strftime(CAST(anchor AS TIMESTAMP) + to_hours(hour_slot), '%Y-%m-%d %H:%M:%S') AS time
+  FROM rated, span WHERE type = 'predict') predicted""",
+    "csv_rejects": """SELECT reason, count(*) AS records, count(*) FILTER (WHERE reason <> 'none' OR event_id % 10 <> 6) AS with_file
+FROM (SELECT event_id, CASE event_id % 10 WHEN 1 THEN 'not a time: yesterday' WHEN 2 THEN 'not a number: one'
+        WHEN 3 THEN 'malformed record' WHEN 4 THEN 'malformed record'
+        WHEN 5 THEN 'not a time: later; not a number: 2.5' ELSE 'none' END AS reason FROM events) damaged
+GROUP BY reason""",
     "request_time": f"""SELECT first_hour + to_hours(CAST(step AS INTEGER)) AS time
 FROM (SELECT {_first_future("max(ts)")} AS first_hour FROM events) last_event, (SELECT unnest(range(0, 24)) AS step) steps""",
     "csv_any_order": _with(LOG) + "SELECT time, device, device_activated FROM log",
@@ -383,12 +407,14 @@ FROM panel WHERE type = 'train' AND hour_slot >= 168 GROUP BY ALL""",
     "forest_contract": CONTRACT,
     "forecast_contract": CONTRACT,
     "job_roundtrip": CONTRACT,
-    "score_reload_agreement": _with(LOG)
-    + "SELECT device, CAST(24 AS BIGINT) AS rows, CAST(24 AS BIGINT) AS agreements FROM (SELECT DISTINCT device FROM log) d",
+    "score_reload_agreement": AGREEMENTS,
+    "state_features": _with(*END_CTES, MODEL_TABLE) + STATE_FEATURES,
+    "state_features_forward": _with(*INSIDE_CTES, MODEL_TABLE) + STATE_FEATURES,
+    "score_from_state": AGREEMENTS,
     "forest_custom_split": _with(*END_CTES)
-    + """SELECT device, 'all' AS fold, count(*) AS rows, min(hour_slot) AS first_slot, max(hour_slot) AS last_slot
-FROM panel WHERE type = 'train' AND hour_slot BETWEEN 200 AND 500 AND device IN ('device_1', 'device_2')
-GROUP BY device""",
+    + f"""SELECT device, CASE WHEN substr({TRAIN_DRAW}, 1, 8) < '33333333' THEN 'test' ELSE 'train' END AS fold,
+  count(*) AS rows, min(hour_slot) AS first_slot, max(hour_slot) AS last_slot
+FROM panel WHERE type = 'train' AND hour_slot >= 200 AND device IN ({BUSY}) GROUP BY ALL""",
     "forecast_normal_equations": _with(LOG)
     + "SELECT device, CAST(0 AS DOUBLE) AS residual FROM (SELECT DISTINCT device FROM log) d",
 }

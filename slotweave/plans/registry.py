@@ -6,16 +6,17 @@ are compared with is in ``slotweave.plans.oracle``.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from slotweave.functions import clock, scalars
-from slotweave.operators import day_features, forecast as additive, forest, metrics, panel as panels, rates, splits
+from slotweave.operators import day_features, device_state, forecast as additive, forest, metrics, overlap_features, panel as panels, rates, splits
+from slotweave.operators.dictionary import numbered
 from slotweave.plans import jobs
-from slotweave.session import scratch_path
+from slotweave.session import scratch_path, shared_folder
 from slotweave.sources import activations, sinks
 
 # Prediction times: one at the end of the log, one inside it.
@@ -111,10 +112,12 @@ def future_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def panel_union(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, folder)
-    history = panels.history_before(log, AT_END)
-    future = panels.future_panel(panels.devices(log), AT_END, panels.first_day(history))
-    return panels.append(panels.hourly_panel(history), future)
+    """History and future as two tables and their union; all parts share one rollup of the log."""
+    rollup = panels.hourly_rollup(_log(spark, folder), AT_END)
+    extent = panels.rollup_extent(rollup, AT_END)
+    before = rollup.where(F.col("hour_index") < clock.hour_index_ceil(clock.as_time(AT_END)))
+    future = panels.future_panel(panels.devices(rollup), AT_END, F.to_date(extent.getField("first")))
+    return panels.append(panels.panel_from_rollup(before, extent), future)
 
 
 def modelling_panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,10 +234,7 @@ def model_features_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_features_compat(spark: SparkSession, folder: str) -> DataFrame:
-    panel = panels.modelling_panel(
-        _log(spark, folder), AT_END, grid="compat", cut_history=False, future_flag="active"
-    )
-    table = rates.model_features(panel, rates="latest_only")
+    table = overlap_features.overlap_features(_log(spark, folder), AT_END)
     return _rounded(table, *rates.FEATURES).select(*_FEATURE_OUTPUT, *rates.FEATURES)
 
 
@@ -253,13 +253,16 @@ def split_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded_split(splits.split_table(_model_table(spark, folder), plan))
 
 
-def split_busy_devices(spark: SparkSession, folder: str) -> DataFrame:
-    totals = panels.hourly_rollup(_log(spark, folder)).groupBy("device").agg(
-        F.sum("total_activations").alias("total")
-    )
+def _busy(log: DataFrame) -> DataFrame:
+    """Devices with at least the mean of all devices' activations."""
+    totals = panels.hourly_rollup(log).groupBy("device").agg(F.sum("total_activations").alias("total"))
     mean = totals.agg(F.avg("total").alias("mean")).scalar()
+    return totals.where(F.col("total") >= mean)
+
+
+def split_busy_devices(spark: SparkSession, folder: str) -> DataFrame:
     plan = splits.Split(
-        "busy", start_hour=splits.FIRST_FULL_SLOT, end_hour=500, row_type="train", devices=totals.where(F.col("total") >= mean)
+        "busy", start_hour=splits.FIRST_FULL_SLOT, end_hour=500, row_type="train", devices=_busy(_log(spark, folder))
     )
     return _rounded_split(splits.split_rows(_model_table(spark, folder), plan))
 
@@ -357,6 +360,53 @@ def json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.json(path, schema="activation_predicted int, device string, time string")
 
 
+def json_array_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The predictions with their place in one array, which was written in parts and joined."""
+    path = scratch_path(spark, "predictions.array")
+    sinks.write_json_array(_naive_predictions(spark, folder), path, ["device", "time"])
+    joined = f"{path}/joined.json"
+    sinks.join_parts(spark, path, joined)
+    # The file has a record per line; its lines keep their order within a file.
+    lines = spark.read.text(joined).withColumn("line", F.monotonically_increasing_id())
+    record = F.from_json(F.regexp_replace("value", r"^[\[,]|\]$", ""), "activation_predicted int, device string, time string")
+    places = numbered(lines, "line", number="place")
+    return places.select(record.alias("record"), F.col("place").cast("bigint")).select("record.*", "place")
+
+
+def csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Per reason: how many records of a damaged log are set aside; and how many are not."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    time, device = F.col("ts").cast("string"), F.concat(F.lit("device_"), F.col("user_id"))
+    kind = F.col("event_id") % 10
+    lines = events.select(
+        F.when(kind == 1, F.concat_ws(",", F.lit("yesterday"), device, F.lit("1")))
+        .when(kind == 2, F.concat_ws(",", time, device, F.lit("one")))
+        .when(kind == 3, F.concat_ws(",", time, device))
+        .when(kind == 4, F.concat_ws(",", time, device, F.lit("1"), F.lit("more")))
+        .when(kind == 5, F.concat_ws(",", F.lit("later"), device, F.lit("2.5")))
+        .when(kind == 6, F.concat(time, F.lit(","), device, F.lit(",")))
+        .otherwise(F.concat_ws(",", time, device, F.lit("1")))
+        .alias("value")
+    )
+    path = scratch_path(spark, "damaged.csv")
+    # Every part file has the header.
+    lines.mapInArrow(_with_header, "value string").write.text(path)
+    log, rejects = activations.quarantine(spark, path)
+    aside = rejects.groupBy("reason").agg(F.count("text").alias("records"), F.count("file").alias("with_file"))
+    kept = log.agg(F.count("time").alias("records"), F.count("device_activated").alias("with_file"))
+    return aside.unionByName(kept.select(F.lit("none").alias("reason"), "records", "with_file"))
+
+
+def _with_header(batches):
+    header = pa.RecordBatch.from_pydict({"value": ["time,device,device_activated"]})
+    first = True
+    for batch in batches:
+        if first and batch.num_rows:
+            yield header
+            first = False
+        yield batch
+
+
 def request_time(spark: SparkSession, folder: str) -> DataFrame:
     """The 24 hours after the last event, asked for through a request file."""
     path = scratch_path(spark, "request.tsv")
@@ -378,10 +428,9 @@ def device_flags(spark: SparkSession, folder: str) -> DataFrame:
     return forest.device_flags(panels.devices(_log(spark, folder)))
 
 
-@functools.lru_cache(maxsize=1)
 def _trained(spark: SparkSession, folder: str) -> jobs.ForestRun:
-    """One training for the queries that look at its results from several sides."""
-    return jobs.run_forest(_log(spark, folder), AT_END, FOREST)
+    """The forest of the queries that look at its results from several sides, trained once per store."""
+    return jobs.run_forest(_log(spark, folder), AT_END, FOREST, store=f"{shared_folder(spark)}/slotweave-models")
 
 
 def forest_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -420,13 +469,59 @@ def score_reload_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy("device").agg(F.count("*").alias("rows"), same.alias("agreements"))
 
 
+#: A state's first days, the day it is brought forward to, and one before the end of the log.
+STATE_BEGUN, STATE_FORWARD, STATE_LATE = "2024-01-05", "2024-01-12", "2024-01-20"
+
+STATE_COLUMNS = [
+    "device",
+    "hour_slot",
+    "hour_of_day",
+    "hour_of_week",
+    "day_of_week",
+    "is_active_yesterday",
+    "is_active_last_week",
+    "daily_activation_rate",
+    "weekly_activation_rate",
+    "device_rate_so_far",
+]
+
+
+def _state_features(log: DataFrame, state: device_state.DeviceState, start: str) -> DataFrame:
+    found, _ = device_state.features_from_state(state, log, start, device_rate=True)
+    return _rounded(found.select(*STATE_COLUMNS), *STATE_COLUMNS[7:])
+
+
+def state_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of the hours to predict from a state and the ten days since."""
+    log = _log(spark, folder)
+    return _state_features(log, device_state.build_state(log, STATE_LATE), AT_END)
+
+
+def state_features_forward(spark: SparkSession, folder: str) -> DataFrame:
+    """The same inside the log and inside a day, from a state that was brought forward and stored between."""
+    log = _log(spark, folder)
+    state = device_state.advance(device_state.build_state(log, STATE_BEGUN), log, STATE_FORWARD)
+    path = scratch_path(spark, "state")
+    device_state.save_state(state, path)
+    return _state_features(log, device_state.load_state(spark, path), INSIDE)
+
+
+def score_from_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Per device: rows, and rows on which scoring from a state says what scoring from the history says."""
+    log, model = _log(spark, folder), _trained(spark, folder).model
+    whole = jobs.run_scoring(log, AT_END, model).withColumnRenamed("activation_predicted", "from_history")
+    short = jobs.run_scoring_from_state(log, AT_END, model, device_state.build_state(log, STATE_LATE))
+    same = F.count_if(F.col("from_history") == F.col("activation_predicted"))
+    return short.join(whole, ["device", "time"], "full").groupBy("device").agg(F.count("*").alias("rows"), same.alias("agreements"))
+
+
 def forest_custom_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Training rows of a narrower split, counted from the scored rows of a small forest."""
-    plan = {"train": splits.Split("train", start_hour=200, end_hour=500, row_type="train", devices=["device_1", "device_2"])}
-    settings = forest.ForestSettings(trees=8, depth=3)
-    columns = ["hour_of_day", "is_active_yesterday", "daily_activation_rate"]
-    run = jobs.run_forest(_log(spark, folder), AT_END, settings, plan=plan, x_columns=columns)
-    return run.scored.groupBy("device", "fold").agg(F.count("*").alias("rows"), F.min("hour_slot").alias("first_slot"), F.max("hour_slot").alias("last_slot"))
+    """Training and held-out rows of a narrower split: busy devices, from slot 200 on."""
+    log = _log(spark, folder)
+    table = jobs.prepare(log, AT_END).features
+    plan = splits.Split("train", start_hour=200, row_type="train", devices=_busy(log), holdout_share=0.2)
+    rows = jobs.labelled_rows(table, plan)
+    return rows.groupBy("device", "fold").agg(F.count("*").alias("rows"), F.min("hour_slot").alias("first_slot"), F.max("hour_slot").alias("last_slot"))
 
 
 def job_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -519,6 +614,8 @@ QUERIES: dict[str, Query] = {
         clipped_labels,
         csv_roundtrip,
         json_roundtrip,
+        json_array_roundtrip,
+        csv_rejects,
         request_time,
         csv_any_order,
         holdout_rows_overlap,
@@ -531,6 +628,9 @@ QUERIES: dict[str, Query] = {
         score_saved_model,
         score_reload_agreement,
         forest_custom_split,
+        state_features,
+        state_features_forward,
+        score_from_state,
         forecast_predict,
         forecast_contract,
         forecast_normal_equations,

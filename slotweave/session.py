@@ -78,7 +78,9 @@ def write_stage(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = scratch_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.parquet(path)
+    # The values in folder names have no type of their own, and no rows leave no folder.
+    reader = spark.read.schema(df.schema) if partition_by else spark.read
+    return reader.parquet(path)
 
 
 def device_partitions(spark: SparkSession) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from slotweave.functions.clock import as_time
+from slotweave.session import write_stage
 
 # The log as text; ``time`` is cast afterwards so that bad values are seen, not dropped.
 LOG_SCHEMA = T.StructType(
@@ -38,10 +39,75 @@ def _log_columns(raw: DataFrame, path: str) -> DataFrame:
     return raw.select(*LOG_SCHEMA.names)
 
 
+_RAW = "_raw_record"
+
+
+def _csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a CSV log as text columns by name, those that do not fit the header with their raw text."""
+    header = spark.read.csv(path, header=True).columns
+    _log_columns(spark.createDataFrame([], T.StructType([T.StructField(name, T.StringType()) for name in header])), path)
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, _RAW]])
+    # With pruned columns the reader would not see that a record has too few or too many values.
+    reader = spark.read.option("header", True).option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False)
+    return reader.schema(schema).csv(path)
+
+
+def _with_reasons(records: DataFrame) -> DataFrame:
+    """Typed columns, and ``reasons``: what cannot be read of a record."""
+    time, number = F.col("time").try_cast("timestamp_ntz"), F.col("device_activated").try_cast("int")
+    broken = F.col(_RAW).isNotNull()
+    reasons = [
+        F.when(broken, "malformed record"),
+        F.when(~broken & F.col("time").isNotNull() & time.isNull(), F.concat(F.lit("not a time: "), F.col("time"))),
+        F.when(
+            ~broken & F.col("device_activated").isNotNull() & number.isNull(),
+            F.concat(F.lit("not a number: "), F.col("device_activated")),
+        ),
+    ]
+    values = [F.col(name) for name in records.columns if name != _RAW]
+    return records.select(
+        time.alias("time"),
+        "device",
+        number.alias("device_activated"),
+        F.array_compact(F.array(*reasons)).alias("reasons"),
+        F.col("_metadata.file_path").alias("file"),
+        F.coalesce(F.col(_RAW), F.to_csv(F.struct(*values))).alias("text"),
+    )
+
+
 def read_log_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header that names ``time, device, device_activated``, in any order, among others."""
-    raw = _log_columns(spark.read.csv(path, header=True), path)
-    return parse_time(raw.withColumn("device_activated", F.col("device_activated").try_cast("int")))
+    """CSV with a header that names ``time, device, device_activated``, in any order, among others.
+
+    A record that does not fit the header, or a value that is no time or no whole number, stops the
+    job, with ANSI mode on or off; see ``quarantine`` to set such records aside.
+    """
+    found = _with_reasons(_csv_records(spark, path))
+    refused = F.raise_error(F.concat(F.array_join("reasons", "; "), F.lit(" in "), F.col("text"))).cast("timestamp_ntz")
+    time = F.when(F.size("reasons") > 0, refused).otherwise(F.col("time"))
+    # Checked in a column that is always read.
+    return found.select(time.alias("time"), "device", "device_activated")
+
+
+def quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A CSV log without the records that cannot be read, and these with file, text and reasons.
+
+    Both come from one scan: the records are written once, apart by whether they were rejected, and
+    each side reads its own part.
+    """
+    found = _with_reasons(_csv_records(spark, path))
+    reasons = F.array_join("reasons", "; ")
+    rejected = F.size("reasons") > 0
+    sorted_out = found.select(
+        "time",
+        "device",
+        "device_activated",
+        F.when(rejected, F.col("file")).alias("file"),
+        F.when(rejected, F.col("text")).alias("text"),
+        F.when(rejected, reasons).alias("reason"),
+        rejected.alias("rejected"),
+    )
+    written = write_stage(sorted_out, "quarantine", partition_by="rejected")
+    return written.where(~F.col("rejected")).select(*LOG_SCHEMA.names), written.where("rejected").select("file", "text", "reason")
 
 
 def instant_to_time(instant: Column, source_zone: str) -> Column:
@@ -65,10 +131,17 @@ def read_log_parquet(spark: SparkSession, path: str, source_zone: str = "UTC") -
     return raw.select(
         as_time(F.col("time")).alias("time"),
         F.col("device").cast("string").alias("device"),
-        F.col("device_activated").cast("int").alias("device_activated"),
+        _whole_number("device_activated").alias("device_activated"),
     )
 
 
+def _whole_number(name: str) -> Column:
+    """A whole number; text that is none stops the job, with ANSI mode on or off."""
+    refused = F.raise_error(F.concat(F.lit("not a number: "), F.col(name).cast("string"))).cast("int")
+    number = F.col(name).try_cast("int")
+    return F.when(F.col(name).isNotNull() & number.isNull(), refused).otherwise(number)
+
+
 def log_from_events(events: DataFrame) -> DataFrame:
     """The ``events`` table as an activation log: one activation per event."""
     return events.select(

@@ -1,6 +1,9 @@
 import csv
 import glob
 import json
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 
 from slotweave import session
 from slotweave.functions import additive
-from slotweave.operators import forecast, forest, metrics, splits
+from slotweave.operators import forecast, forest, metrics, model_store, splits
 from slotweave.plans import jobs
 from slotweave.sources import activations, sinks
 
@@ -79,6 +82,61 @@ def test_device_flags(spark):
     assert [tuple(r) for r in rows] == [("a", 0, 1, 4), ("b", 1, 1, 4), ("c", 2, 1, 4)]
 
 
+def test_flags_of_unknown_devices_and_their_model(spark, tmp_path):
+    """The dictionary is a table: a stored model codes known devices alike and others in the last column."""
+    rows = spark.createDataFrame([(f"d{i % 7}", i % 24, int(i % 7 < 3)) for i in range(700)], "device string, hour_of_day int, is_active int")
+    settings = forest.ForestSettings(trees=12, depth=7, features_per_split=4, encoding="onehot")
+    model = forest.train_forest(rows, settings, ["device", "hour_of_day"])
+    assert model.stages[-1].numFeatures == 7 + 1 + 1
+    forest.save_model(model, str(tmp_path / "model"))
+    loaded = forest.load_model(str(tmp_path / "model"))
+    asked = rows.select("device", "hour_of_day").union(spark.createDataFrame([("new", 5), (None, 5)], "device string, hour_of_day int"))
+    found = [sorted(map(str, forest.predict(m, asked).collect())) for m in (model, loaded)]
+    assert found[0] == found[1] and len(found[0]) == 702
+    right = forest.predict(loaded, rows).where("activation_predicted = is_active").count()
+    assert right > 650
+
+
+def test_model_store_finds_by_content(spark, planted_log, tmp_path, monkeypatch):
+    """The same rows in any order find the stored model; other rows or settings, or a deleted model, train."""
+    store = str(tmp_path / "store")
+    tiny = forest.ForestSettings(trees=3, depth=3)
+    trained = []
+    real = forest.train_forest
+    monkeypatch.setattr(forest, "train_forest", lambda *a: trained.append(1) or real(*a))
+    one, two = (jobs.run_forest(log, START, tiny, store=store) for log in (planted_log, planted_log.repartition(7, "time")))
+    assert len(trained) == 1
+    assert sorted(map(str, one.predictions.collect())) == sorted(map(str, two.predictions.collect()))
+    rows = spark.createDataFrame([(i % 24, i % 2) for i in range(50)], "hour_of_day int, is_active int")
+    name = model_store.fingerprint(rows, {"trees": 3})
+    assert name == model_store.fingerprint(rows.repartition(5, "is_active"), {"trees": 3})
+    others = [rows.where("hour_of_day <> 3"), rows.union(rows.limit(1)), rows.withColumn("hour_of_day", F.lit(None).cast("int"))]
+    assert len({name, model_store.fingerprint(rows, {"trees": 4}), *(model_store.fingerprint(r, {"trees": 3}) for r in others)}) == 5
+    for folder in (store, store, str(tmp_path / "another")):
+        model_store.find_or_train(spark, folder, name, lambda: forest.train_forest(rows, tiny, ["hour_of_day"]))
+    assert len(trained) == 3 and not list((tmp_path / "store").glob("making-*"))
+
+
+def test_a_fresh_process_finds_the_model(spark, tmp_path):
+    rows = spark.range(400).selectExpr("cast(id % 24 as int) as hour_of_day", "cast(id % 24 > 9 as int) as is_active")
+    name = model_store.fingerprint(rows, {"trees": 2})
+    settings = forest.ForestSettings(trees=2, depth=2)
+    model_store.find_or_train(spark, str(tmp_path), name, lambda: forest.train_forest(rows, settings, ["hour_of_day"]))
+    script = """
+import sys
+from slotweave.operators import forest, model_store
+from slotweave.session import local_session
+spark = local_session(2, 2, "1g")
+rows = spark.range(400).selectExpr("cast(id % 24 as int) as hour_of_day", "cast(id % 24 > 9 as int) as is_active")
+name = model_store.fingerprint(rows, {"trees": 2})
+model = model_store.find_or_train(spark, sys.argv[1], name, lambda: sys.exit("it trains"))
+print("right", forest.predict(model, rows).where("activation_predicted = is_active").count())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run([sys.executable, "-c", script, str(tmp_path)], cwd=root, capture_output=True, text=True, timeout=300)
+    assert "right 400" in run.stdout.split("\n")
+
+
 def test_own_splits_columns_and_probability(planted_log):
     plan = {"train": splits.Split("train", start_hour=300, end_hour=900, row_type="train", devices=["device_1", "device_3"])}
     columns = ["hour_of_day", "is_active_yesterday", "daily_activation_rate"]
@@ -147,10 +205,46 @@ def test_seasonal_terms_span_any_phase():
 
 
 def test_scaling_leaves_flags_and_constants():
-    train = np.array([[0.0, 3.0, 10.0], [1.0, 3.0, 20.0], [1.0, 3.0, 30.0]])
-    scaled = additive.centre_and_scale(train, train)
-    assert scaled[:, 0].tolist() == [0.0, 1.0, 1.0] and scaled[:, 1].tolist() == [3.0] * 3
-    assert scaled[:, 2].tolist() == [-1.0, 0.0, 1.0]
+    inputs = np.array([[0.0, 3.0, 10.0], [1.0, 3.0, 20.0], [1.0, 3.0, 30.0]])
+    design = np.column_stack([np.ones(3), inputs])
+    scaled = design @ additive.scaling(additive.row_sums(design, np.array([0.0, 1.0, 1.0])), 3)
+    assert scaled[:, 1].tolist() == [0.0, 1.0, 1.0] and scaled[:, 2].tolist() == [3.0] * 3
+    assert scaled[:, 3] == pytest.approx([-1.0, 0.0, 1.0])
+
+
+def test_sums_of_parts_give_the_fit_of_the_whole():
+    """Coefficients from added sums equal those from the standardised rows at once."""
+    rng = np.random.default_rng(5)
+    slots = np.arange(700.0)
+    inputs = np.column_stack([slots % 24, slots // 24 + 900, (slots % 3 == 0), np.full(700, 7.0), rng.random(700)])
+    target = (rng.random(700) < 0.2 + 0.5 * (slots % 24 > 12)).astype(float)
+    design = additive.raw_design(slots, inputs)
+    parts = [additive.row_sums(design[a:b], target[a:b]) for a, b in ((0, 1), (1, 240), (240, 700))]
+    sums = additive.add_sums(additive.add_sums(parts[2], parts[0]), parts[1])
+    weights = additive.fit_sums(sums, 5)
+
+    shift, spread = np.zeros(design.shape[1]), np.ones(design.shape[1])
+    for j in (-5, -4, -1):
+        shift[j], spread[j] = design[:, j].mean(), design[:, j].std(ddof=1)
+    scaled = (design - shift) / spread
+    wanted = scaled @ additive.fit_additive(scaled, target)
+    assert np.abs(design @ weights - wanted).max() < 1e-8
+    equations = additive.model_equations(sums, additive.scaling(sums, 5))
+    assert additive.largest_residual(*equations, additive.solve_additive(*equations)) < 1e-8
+
+
+def test_new_days_add_to_the_sums(spark, planted_log):
+    """Sums of earlier days and of later ones give the forecast of all days; tasks may hold few devices."""
+    features = jobs.write_stage(jobs.prepare(planted_log, START, device_rate=False).features, "parts")
+    whole = forecast.forecast(features)
+    early = forecast.forecast_sums(features.where("hour_slot < 800"))
+    late = forecast.forecast_sums(features.where("hour_slot >= 800").repartition(5))
+    short = forecast.forecast(features.where("type = 'predict'"), sums=forecast.add_days(early, late))
+    both = whole.join(short.withColumnRenamed("yhat", "again"), ["device", "hour_slot"])
+    assert both.count() == 480
+    assert both.agg(F.max(F.abs(F.col("yhat") - F.col("again")))).first()[0] < 1e-8
+    plan = forecast.forecast_sums(features)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and plan.index("FlatMapGroupsInArrow") < plan.index("MapInArrow")
 
 
 def test_device_without_any_change_keeps_its_level(make_log):
@@ -240,7 +334,8 @@ def test_solver_raises_when_it_does_not_settle(monkeypatch):
     rng = np.random.default_rng(0)
     design = np.column_stack([np.ones(50), rng.normal(size=(50, 3))])
     target = rng.normal(size=50)
-    assert additive.largest_residual(design, target, additive.fit_additive(design, target)) < 1e-8
+    equations = design.T @ design, design.T @ target, float(target @ target), 50
+    assert additive.largest_residual(*equations, additive.solve_additive(*equations)) < 1e-8
     monkeypatch.setattr(additive, "NOISE_ROUNDS", 1)
     with pytest.raises(ArithmeticError):
         additive.fit_additive(design, target)
