@@ -9,10 +9,12 @@ Only the number of keys per arc reaches the driver (``shards * nodes`` numbers,
 input). The walk over the ring is done on these counts; Spark then ranks the keys of each arc
 and reads their shard and slot from the arc's quotas.
 
-Ranks come from counts of small bins: a window never holds more than one bin, and a key with
-very many rows is split over bins by input partition. Null texts have size 1 and CRC 0. A null
-doc_id is a key like any other. Repeated rows take a slot each. An empty table gives no rows.
-Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
+Ranks come from counts of small bins: a window never holds more than one bin. A key with very
+many rows is split over bins by the hash of its texts, and rows that agree in both, of which any
+can take any slot, by input partition; so shard and slot of a row do not depend on the layout.
+Null texts have size 1 and CRC 0. A null doc_id is a key like any other. Repeated rows take a slot
+each. An empty table gives no rows. Only ``doc_id`` and ``text`` are read, so other columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -90,6 +92,7 @@ def shard_rows(documents: DataFrame, shards: int = 8, nodes: int = NODES) -> Dat
         (F.octet_length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.xxhash64(F.col("doc_id").cast("string")).alias("position"),
+        F.xxhash64(F.lit(11), data).alias("content"),
         F.spark_partition_id().alias("part"),
     )
     rows = write_stage(keyed.withColumn("arc", arc_of("position")), "ring_keys")
@@ -97,21 +100,32 @@ def shard_rows(documents: DataFrame, shards: int = 8, nodes: int = NODES) -> Dat
     for arc, n in rows.groupBy("arc").count().collect():
         counts[arc] = n
     bins = max(1, int(counts.sum()) // (BIN_ROWS * len(points)))
-    hot = rows.groupBy("position").count().where(F.col("count") > HOT_KEY_ROWS).select("position", F.lit(1).alias("hot"))
-    binned = rows.join(hot, "position", "left").select(
+    # A row per key, and per key and text, with very many rows: at most one per HOT_KEY_ROWS rows of the input.
+    alike = rows.groupBy("position", "content").agg(F.count("*").alias("copies"))
+    hot = alike.groupBy("position").agg(F.sum("copies").alias("held")).where(F.col("held") > HOT_KEY_ROWS)
+    same = alike.where(F.col("copies") > HOT_KEY_ROWS).select("position", "content", F.lit(True).alias("same"))
+    pieces = F.greatest(F.lit(1), F.floor(F.col("held") / BIN_ROWS)).cast("long")
+    binned = rows.join(hot.select("position", pieces.alias("pieces")), "position", "left").join(same, ["position", "content"], "left")
+    binned = binned.select(
         "doc_id",
         "size",
         "text_crc32",
         "position",
+        "content",
         "arc",
         F.pmod("position", F.lit(bins)).cast("int").alias("bin"),
-        F.when(F.col("hot") == 1, F.col("part")).otherwise(F.lit(0)).alias("salt"),
+        # 0 for all keys of ordinary size, so they come first in their bin.
+        F.when(F.col("pieces").isNotNull(), F.pmod("content", F.col("pieces")) + 1).otherwise(F.lit(0)).alias("salt"),
+        F.when(F.col("same"), F.col("part") + 1).otherwise(F.lit(0)).alias("copy"),
     )
-    in_bin = Window.partitionBy("arc", "bin", "salt").orderBy("position", "doc_id", "text_crc32", "size")
-    before = Window.partitionBy("arc").orderBy("bin", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = binned.groupBy("arc", "bin", "salt").count()
-    starts = starts.select("arc", "bin", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    ranked = binned.withColumn("number", F.row_number().over(in_bin) - 1).join(starts, ["arc", "bin", "salt"])
+    # Hot keys that share a bin stay apart by their position.
+    binned = binned.withColumn("hot_position", F.when(F.col("salt") > 0, F.col("position")).otherwise(F.lit(0)))
+    keys = ["arc", "bin", "hot_position", "salt", "copy"]
+    in_bin = Window.partitionBy(*keys).orderBy("position", "content", "doc_id", "text_crc32", "size")
+    before = Window.partitionBy("arc").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = binned.groupBy(*keys).count()
+    starts = starts.select(*keys, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    ranked = binned.withColumn("number", F.row_number().over(in_bin) - 1).join(starts, keys)
     # At most one piece per arc and shard.
     table = spark.createDataFrame(
         [(*piece, int(owners[piece[0]])) for piece in quotas(counts, owners, shards)],
