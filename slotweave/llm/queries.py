@@ -102,3 +102,34 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op13_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(read_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+# Of operators whose results SQL cannot state as a whole: the columns or counts that it can.
+
+
+@_query
+def shard_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and slots per shard of op5."""
+    rows = op5_hash_ring(spark, folder)
+    return rows.groupBy("shard").agg(F.count("*").alias("rows"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+
+
+@_query
+def language_base(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of op6 that do not depend on the sampler."""
+    rows = op6_pitman_yor(spark, folder)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
+@_query
+def quality_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """The fold of op7 per row, whether its score is a probability, and whether its decision follows it."""
+    rows = op7_quality_network(spark, folder)
+    follows = F.col("predicted") == (F.col("score") >= 0.3).cast("int")
+    return rows.select("doc_id", "held_out", F.col("score").between(0, 1).alias("in_range"), follows.alias("follows"))
+
+
+@_query
+def license_base(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of op10 that do not depend on its own rules."""
+    return op10_license_scan(spark, folder).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")

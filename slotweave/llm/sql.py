@@ -8,6 +8,9 @@ d AS (
 )"""
 
 
+#: The text with A to Z in lower case, nothing else changed.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 
 def _crc32(text: str) -> str:
     """The unsigned CRC-32 of an ASCII text."""
@@ -179,5 +182,46 @@ c AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(size * (base + CASE WHEN budget > before AND (before + size <= budget OR 2 * (budget - before) > size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
+""",
+    "shard_balance": """
+SELECT CAST(i AS INTEGER) AS shard, n // 8 + CAST(i < n % 8 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS first_slot,
+       n // 8 + CAST(i < n % 8 AS BIGINT) - 1 AS last_slot
+FROM (SELECT count(*) AS n FROM documents) c, (SELECT unnest(range(0, 8)) AS i) s
+""",
+    "language_base": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 5 = 1 AS held_out,
+         list_append([x FOR x IN string_split_regex({_LOWER}, '[\x20\x09-\x0D]+') IF x <> ''], ' ') AS w
+  FROM documents
+),
+t AS (SELECT r, held_out, unnest(w) AS word FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+s AS (
+  SELECT r, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))) AS base
+  FROM t LEFT JOIN c USING (word), n GROUP BY r
+)
+SELECT doc_id, held_out, CAST(len(w) AS BIGINT) AS n_tokens, n_known, CAST(n AS BIGINT) AS train_tokens, round(base, 6) AS base_score
+FROM d JOIN s USING (r), n
+""",
+    "quality_folds": f"""
+SELECT doc_id, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 5 = 0 AS held_out, true AS in_range, true AS follows FROM documents
+""",
+    "license_base": f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+p AS (
+  SELECT doc_id, w, [i FOR i IN range(1, len(w)) IF w[i] = 'mit' AND w[i + 1] = 'license'] AS mit,
+         [i FOR i IN range(1, len(w)) IF w[i] = 'apache' AND w[i + 1] = 'license'] AS apache,
+         [i FOR i IN range(1, len(w) - 1) IF w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'] AS gpl
+  FROM d
+),
+q AS (SELECT *, list_concat(list_concat(mit, apache), gpl) AS places FROM p)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+       CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
+       concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END,
+                 CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels
+FROM q
 """,
 }

@@ -65,3 +65,30 @@ def license_base(text):
                 places[label].append(i)
     every = sorted(i for p in places.values() for i in p)
     return len(w), len(every), every[0] if every else None, every[-1] if every else None, ",".join(sorted(places))
+
+
+def common(item, words):
+    """Length of the longest common subsequence, with the rows of the table as bits of a number."""
+    bits = defaultdict(int)
+    for i, w in enumerate(item):
+        bits[w] |= 1 << i
+    full = (1 << len(item)) - 1
+    row = full
+    for w in words:
+        both = row & bits.get(w, 0)
+        row = ((row + both) | (row - both)) & full
+    return len(item) - bin(row).count("1")
+
+
+def leaks(words, item, passage=64, step=32):
+    """Whether any passage of the text, with as many words around it as the item has, holds the item:
+    80 % of its words in order, or 60 % and its last three words together."""
+    if not item:
+        return False
+    for start in range(0, max(len(words), 1), step):
+        near = words[max(0, start - len(item)) : start + passage + len(item)]
+        share = common(item, near) / len(item)
+        answer = item[-3:]
+        if share >= 0.8 or share >= 0.6 and any(near[i : i + len(answer)] == answer for i in range(len(near))):
+            return True
+    return False

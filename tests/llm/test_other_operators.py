@@ -7,7 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from slotweave.llm import decontaminate, pitman_yor, quality, sharding, topk, warc
@@ -81,8 +83,24 @@ def test_ring_is_balanced_and_moves_little(spark, odd_documents, no_documents):
 
 
 def test_quotas_follow_the_ring():
-    pieces = sharding.quotas(np.array([5, 0, 1]), np.array([0, 1, 2]), 3)
-    assert pieces == [(0, 0, 2, 0, 0), (0, 2, 4, 1, 0), (0, 4, 5, 2, 0), (2, 0, 1, 2, 1)] or sum(p[2] - p[1] for p in pieces) == 6
+    """Shard 0 keeps two of five keys, the others go on clockwise to the shards that have room."""
+    assert sharding.quotas(np.array([5, 0, 1]), np.array([0, 1, 2]), 3) == [(0, 0, 2, 0, 0), (0, 2, 4, 1, 0), (0, 4, 5, 2, 0), (2, 0, 1, 2, 1)]
+
+
+def test_hot_keys_do_not_depend_on_the_layout(spark, monkeypatch):
+    """Keys above the limit, with many texts and with many copies of one: the same shards and slots on any partitions."""
+    monkeypatch.setattr(sharding, "HOT_KEY_ROWS", 40)
+    monkeypatch.setattr(sharding, "BIN_ROWS", 8)
+    monkeypatch.setattr(sharding, "NODES", 4)
+    rows = [(i, f"text {i}") for i in range(300)] + [(7, f"other {i}") for i in range(200)] + [(9, "same")] * 150 + [(None, None)] * 90
+    random.Random(3).shuffle(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(str, sharding.shard_rows(table.repartition(n), nodes=4).collect())) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) == 740
+    placed = sharding.shard_rows(table, nodes=4).collect()
+    for shard in range(8):
+        slots = sorted(r.slot for r in placed if r.shard == shard)
+        assert slots == list(range(len(slots))) and len(slots) in (92, 93)
 
 
 @pytest.mark.parametrize("k", [3, 50])
@@ -150,6 +168,39 @@ def test_model_is_a_distribution(spark):
         assert abs(sum(taken.values()) + rest + (off * none).mean() - 1) < 1e-9
 
 
+def test_stored_seating_equals_a_replay(spark):
+    """Sweeps that begin where the last one was written seat as sweeps replayed in one process from the counts."""
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdef" + "a" * 4) for _ in range(200))) for i in range(30)], "doc_id long, text string")
+    state, totals = pitman_yor.train(docs.select("doc_id", "text", F.lit(False).alias("held_out")), 1e-3, 1, 3)
+    table = state.toArrow()
+    word, owner, ctx, n = pitman_yor._entries(table)
+    k, d1, s1 = len(totals.contexts), totals.discounts[1], totals.strengths[1]
+    inner = ctx < k
+    customers, tables = pitman_yor.first_seating(word, owner, ctx, n, k)
+    sums, shares = 0, []
+    for number in range(4):
+        after = pitman_yor.sweep(word, owner, ctx, n, customers, tables, totals, number)
+        customers, tables = after.customers, after.shared_tables
+        assert np.bincount(ctx[inner], weights=after.tables, minlength=k)[:k].tolist() == totals.tables[number + 1].tolist()
+        assert (customers.sum(), tables.sum()) == totals.shared[number + 1]
+        if number >= 1:
+            shared = pitman_yor.shared_probability(customers, tables, *totals.shared[number + 1], totals)
+            back = (s1 + d1 * totals.tables[number + 1][ctx[inner]]) * shared[owner[inner]]
+            sums = sums + (np.maximum(n[inner] - d1 * after.tables, 0) + back) / (s1 + totals.customers[ctx[inner]])
+            shares.append(shared)
+    _, p, by_sample = pitman_yor._probabilities(table, totals, 1)
+    assert np.allclose(p, sums / 3, atol=1e-12) and np.allclose(by_sample, shares, atol=1e-12)
+
+
+def test_model_beats_its_base(spark, folder):
+    """Perplexity on held-out texts, of the model and of the base."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = {r.held_out: r for r in pitman_yor.perplexity(pitman_yor.score(docs)).collect()}
+    assert found[True].texts + found[False].texts == docs.count()
+    assert found[True].perplexity < 0.9 * found[True].base_perplexity
+
+
 def test_seating_follows_the_distribution():
     """Two customers sit together with probability (1 - d) / (1 - d + weight)."""
     word = np.arange(200_000, dtype=np.uint64)
@@ -241,6 +292,15 @@ def test_pipeline(spark, folder):
         if name != "encoding":
             assert after.columns == docs.columns
         docs = after
+    before, after = steps["quality"]
+    table = spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    judged = quality.scored(table.select("doc_id", "text"), quality.train(table, labels)).collect()
+    kept = {r.doc_id for r in after}
+    for r in judged:
+        # Sums over tasks differ in the last digits.
+        assert abs(r.score - quality.THRESHOLD) < 1e-6 or (r.doc_id in kept) == (r.score >= quality.THRESHOLD)
+    assert 0 < len(kept) < len(before) == len(judged)
     before, after = steps["near_duplicates"]
     links, group = brute.linked([r.text for r in before])
     assert {r.doc_id for r in after} == {min(r.doc_id for r, h in zip(before, group) if h == g) for g in group}
@@ -249,4 +309,18 @@ def test_pipeline(spark, folder):
     for r in after:
         assert hashlib.sha256(b" ".join(brute.spaced(r.text))).hexdigest() == wanted[r.doc_id][2]
     assert {r.doc_id for r in before} - {r.doc_id for r in after} == {i for i, x in wanted.items() if x[0] and x[0] == x[1]}
-    assert len(steps["encoding"][0]) == len(steps["encoding"][1]) > 100
+    before, after = steps["decontamination"]
+    items = [brute.license_words(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    leaking = {r.doc_id for r in before if any(brute.leaks(brute.license_words(r.text), item) for item in items)}
+    assert {r.doc_id for r in before} - {r.doc_id for r in after} == leaking and leaking
+    before, after = steps["encoding"]
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    wanted = []
+    for r in before:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        packed = np.array(ids, dtype="<u4").tobytes()
+        wanted.append((r.doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert sorted(tuple(r)[:4] for r in after) == sorted(wanted) and len(wanted) > 100

@@ -74,7 +74,7 @@ def some_rows(seed, convs=120, words=2):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_trie_by_brute_force(spark, seed):
     rows = some_rows(seed, words=1 + seed % 2)
     assert found(spark, rows) == plain(rows)
