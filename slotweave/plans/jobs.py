@@ -23,7 +23,7 @@ from slotweave.operators.device_state import DeviceState, features_from_state, l
 from slotweave.operators.overlap_features import features_from_overlap, overlap_days
 from slotweave.operators.panel import first_future_hour, grid_partitions, hourly_rollup, panel_from_rollup, rollup_extent
 from slotweave.operators.rates import model_features
-from slotweave.session import device_partitions, drop_stages, stages_made, write_stage
+from slotweave.session import device_partitions, run_scope, write_stage
 from slotweave.sources.activations import quarantine, read_log, request_time
 from slotweave.sources.sinks import join_parts, write_csv, write_json, write_json_array
 
@@ -255,11 +255,8 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:
     args = _arguments(argv)
     spark = spark or SparkSession.builder.appName(f"slotweave-{args.job}").getOrCreate()
-    earlier = stages_made()
-    try:
+    with run_scope(spark):
         run_command(argv, spark)
-    finally:
-        drop_stages(spark, earlier)
 
 
 def run_command(argv: Sequence[str] | None, spark: SparkSession) -> None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,12 +62,27 @@ def stages_made() -> int:
     return len(_made)
 
 
-def drop_stages(spark: SparkSession, keep: int = 0) -> None:
-    """Delete all but the first ``keep`` stages of this process; results that read them must be stored by then."""
+def drop_stages(spark: SparkSession, keep: int = 0, newest: int = 0) -> None:
+    """Delete all but the first ``keep`` and the ``newest`` last stages of this process.
+
+    Results that read the others must be stored by then.
+    """
     jvm = spark.sparkContext._jvm
-    while len(_made) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    end = max(keep, len(_made) - newest)
+    for folder in _made[keep:end]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[keep:end]
+
+
+@contextlib.contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end, failed or not, the stages written inside it; store the result inside it."""
+    earlier = stages_made()
+    try:
+        yield
+    finally:
+        drop_stages(spark, earlier)
 
 
 def write_stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

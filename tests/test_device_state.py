@@ -45,7 +45,7 @@ def log(spark, planted_log):
     return jobs.write_stage(shaped.unionByName(late), "shaped")
 
 
-@pytest.mark.parametrize("start", ["2024-04-10 00:00:00", "2024-04-10 10:20:00", "2024-04-25 03:00:00"])
+@pytest.mark.parametrize("start", ["2024-04-10 10:20:00", "2024-04-25 03:00:00"])
 def test_features_equal_those_of_the_history(log, start):
     assert found(device_state.build_state(log, "2024-04-10"), log, start) == wanted(log, start)
 

@@ -131,3 +131,17 @@ def test_jobs_with_rejects_state_store_and_array(spark, planted_log, tmp_path):
     found = json.loads((tmp_path / "scored" / "predictions.json").read_text())
     wanted = [json.loads(line) for p in sorted(os.listdir(tmp_path / "whole")) if p.endswith(".json") for line in open(tmp_path / "whole" / p)]
     assert found == wanted and len(found) == 480
+
+
+def test_run_scope_deletes_its_stages(spark):
+    """Also after a failure; stages from before stay."""
+    kept = session.write_stage(spark.range(3), "kept")
+    made = session.stages_made()
+    with pytest.raises(ValueError, match="stop"), session.run_scope(spark):
+        folders = [session.write_stage(spark.range(n), "inner").inputFiles()[0].removeprefix("file://") for n in (1, 2)]
+        assert all(os.path.exists(f) for f in folders)
+        raise ValueError("stop")
+    assert not any(os.path.exists(f) for f in folders) and session.stages_made() == made and kept.count() == 3
+    newest = [session.write_stage(spark.range(n), "inner") for n in (1, 2, 3)][-1]
+    session.drop_stages(spark, made, newest=1)
+    assert session.stages_made() == made + 1 and newest.count() == 3
