@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from slotweave.llm import bpe, decontaminate, jaccard, quality, substring
 from slotweave.llm.common import read_table, write_stage
+from slotweave.session import drop_stages, stages_made
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, earlier = read_table(spark, sf_dir, "documents"), stages_made()
     for name, stage in STAGES:
         docs = write_stage(stage(spark, docs, sf_dir), name)
+        # Only what the next stage reads stays in the shared folder.
+        drop_stages(spark, earlier, newest=1)
     return docs
