@@ -12,6 +12,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
+from slotweave import session
 from slotweave.llm import decontaminate, pitman_yor, quality, sharding, topk, warc
 from slotweave.llm.queries import QUERIES
 
@@ -324,3 +325,6 @@ def test_pipeline(spark, folder):
         packed = np.array(ids, dtype="<u4").tobytes()
         wanted.append((r.doc_id, len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
     assert sorted(tuple(r)[:4] for r in after) == sorted(wanted) and len(wanted) > 100
+    made = session.stages_made()
+    assert sorted(tuple(r)[:4] for r in corpus_pipeline.run(spark, folder).collect()) == sorted(wanted)
+    assert session.stages_made() == made + 1
