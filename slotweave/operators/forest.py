@@ -128,6 +128,8 @@ def _classifier(settings: ForestSettings, label: str) -> RandomForestClassifier:
         minInstancesPerNode=settings.min_rows_per_leaf,
         maxBins=settings.bins,
         maxMemoryInMB=settings.memory_mb,
+        # A row keeps its node per tree, or each pass walks all trees anew; the trees are the same.
+        cacheNodeIds=True,
         seed=settings.seed,
     )
 

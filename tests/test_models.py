@@ -44,6 +44,20 @@ def test_forest_learns_the_planted_hours(forest_run):
     assert labels_by_hour(rows, "activation_predicted") == {h: {int(h in OFFICE)} for h in range(24)}
 
 
+def test_rows_keep_their_nodes_between_passes_and_trees_stay_the_same(spark, monkeypatch):
+    # The passes took most of the time at 512 trees, as each walked all trees from the root.
+    assert forest._classifier(forest.ForestSettings(), splits.LABEL).getCacheNodeIds()
+    rows = spark.range(400, numPartitions=2).select(
+        (F.col("id") % 24).alias("hour_of_day"), (F.col("id") % 7).alias("day_of_week"), (F.col("id") % 5 % 2).alias("is_active")
+    )
+    settings = forest.ForestSettings(trees=6, depth=4, features_per_split=1)
+    real = forest._classifier
+    trees = [forest.train_forest(rows, settings, ["hour_of_day", "day_of_week"]).stages[-1].toDebugString]
+    monkeypatch.setattr(forest, "_classifier", lambda *a: real(*a).setCacheNodeIds(False))
+    trees.append(forest.train_forest(rows, settings, ["hour_of_day", "day_of_week"]).stages[-1].toDebugString)
+    assert trees[0].split("\n")[1:] == trees[1].split("\n")[1:]
+
+
 def test_report_has_both_folds(forest_run):
     report = jobs.fold_report(forest_run)
     folds = {r.fold: r for r in report.groupBy("fold").agg(F.count("*").alias("n"), F.min("auc").alias("auc")).collect()}
