@@ -162,54 +162,75 @@ def partial_sums(batches, regressors: list[str], held: int):
     kept: dict[str, np.ndarray] = {}
     for batch in batches:
         for device, sums in batch_sums(batch, regressors).items():
+            if device not in kept and len(kept) >= held:
+                yield _sums_batch(kept)
+                kept = {}
             kept[device] = add_sums(kept[device], sums) if device in kept else sums
-        if len(kept) > held:
-            yield _sums_batch(kept)
-            kept = {}
     if kept:
         yield _sums_batch(kept)
 
 
+def _lists(values: np.ndarray, present: np.ndarray | None = None) -> pa.ListArray:
+    """A list per row of a table of numbers, without a Python object per number; null where not ``present``."""
+    rows, width = values.shape
+    kept = np.ones(rows, dtype=bool) if present is None else present
+    offsets = np.append(0, np.cumsum(np.where(kept, width, 0))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[kept].ravel()), mask=pa.array(~kept))
+
+
+def _table(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The numbers of lists of equal length, a row per list."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _sums_batch(kept: dict[str, np.ndarray]) -> pa.RecordBatch:
-    columns = [pa.array(list(kept), pa.string()), pa.array([s.tolist() for s in kept.values()], pa.list_(pa.float64()))]
+    columns = [pa.array(list(kept), pa.string()), _lists(np.array(list(kept.values())))]
     return pa.RecordBatch.from_arrays(columns, ["device", "sums"])
 
 
 def added_sums(rows: pa.Table) -> pa.Table:
     """One row of sums for the rows of one device."""
     total = None
-    for sums in rows.column("sums").to_pylist():
-        total = np.array(sums) if total is None else add_sums(total, np.array(sums))
-    return pa.table({"device": rows.column("device").slice(0, 1), "sums": pa.array([total.tolist()])})
+    for sums in _table(rows.column("sums")):
+        total = sums if total is None else add_sums(total, sums)
+    return pa.table({"device": rows.column("device").slice(0, 1), "sums": _lists(total[None, :])})
+
+
+# Devices whose results are gathered before they are sent on.
+FITTED_ROWS = 1_000
 
 
 def fitted(batches, regressors: int):
     """(device, weights, level, residual) from (device, sums); weights are null where the target never changes."""
-    for batch in batches:
-        weights, levels, residuals = [], [], []
-        for numbers in batch.column("sums").to_pylist():
-            sums = np.array(numbers)
-            width = _width(sums)
-            found = fit_sums(sums, regressors)
-            levels.append(float(sums[width - 1] / sums[0]))
-            if found is None:
-                weights.append(None)
-                residuals.append(0.0)
-            else:
-                weights.append(found.tolist())
-                matrix = scaling(sums, regressors)
-                residuals.append(largest_residual(*model_equations(sums, matrix), np.linalg.solve(matrix, found)))
-        columns = [batch.column("device"), pa.array(weights, pa.list_(pa.float64())), pa.array(levels), pa.array(residuals)]
-        yield pa.RecordBatch.from_arrays(columns, ["device", "weights", "level", "residual"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, FITTED_ROWS):
+            yield _fitted_batch(whole.slice(start, FITTED_ROWS), regressors)
+
+
+def _fitted_batch(batch: pa.RecordBatch, regressors: int) -> pa.RecordBatch:
+    every = _table(batch.column("sums"))
+    width = _width(every[0])
+    weights, residuals = np.zeros((len(every), width - 1)), np.zeros(len(every))
+    present = np.zeros(len(every), dtype=bool)
+    for at, sums in enumerate(every):
+        found = fit_sums(sums, regressors)
+        if found is not None:
+            matrix = scaling(sums, regressors)
+            weights[at], present[at] = found, True
+            residuals[at] = largest_residual(*model_equations(sums, matrix), np.linalg.solve(matrix, found))
+    columns = [batch.column("device"), _lists(weights, present), pa.array(every[:, width - 1] / every[:, 0]), pa.array(residuals)]
+    return pa.RecordBatch.from_arrays(columns, ["device", "weights", "level", "residual"])
 
 
 def predicted(batches, regressors: list[str]):
     """(device, hour_slot, yhat) from rows to predict with their device's weights and level."""
     for batch in batches:
         design, level = design_of(batch, regressors), _values(batch, "level")
-        weights = batch.column("weights").to_pylist()
-        flat = np.array([w if w is not None else np.full(design.shape[1], np.nan) for w in weights]).reshape(design.shape)
-        known = np.array([w is not None for w in weights], dtype=bool)
+        weights = batch.column("weights")
+        known = weights.is_valid().to_numpy(zero_copy_only=False)
+        flat = np.full(design.shape, np.nan)
+        flat[known] = weights.flatten().to_numpy(zero_copy_only=False).reshape(-1, design.shape[1])
         yhat = np.where(known, (design * flat).sum(axis=1), level)
         # A device without any labelled row has no forecast.
         columns = [batch.column("device"), batch.column("hour_slot"), pa.array(yhat, mask=np.isnan(yhat))]

@@ -35,8 +35,9 @@ LABEL_CUT = 0.4
 
 SUMS = "device string, sums array<double>"
 
-# A task holds the sums of so many devices (5 KB each) before it sends them on.
-DEVICES_HELD = 20_000
+# A task holds the sums of so many devices (5 KB each) before it sends them on. The feature table
+# comes device by device, so few are needed.
+DEVICES_HELD = 500
 
 
 def forecast_sums(features: DataFrame, regressors: Sequence[str] = REGRESSORS) -> DataFrame:
