@@ -10,8 +10,8 @@ One row holds a word with its counts in all restaurants, so a word's seating is
 row is. A Gibbs sweep takes the customers of a dish out, draws the number of their tables given
 the tables of all others (exactly up to ``EXACT`` customers, beyond that in small leaps), and
 then does the same for the word in the shared restaurant. Tables of the other dishes enter by
-their totals, which Spark sums after each sweep. The seating is written after each sweep and the
-next one begins there. Draws are hashes of word, restaurant and sweep: a lost partition samples
+their totals, which Spark sums after each sweep. The seating is written after each sweep, many
+words to a row, and the next one begins there. Draws are hashes of word, restaurant and sweep: a lost partition samples
 the same seating again. Predictive probabilities are averaged over the sweeps after the burn-in,
 for which a word's row keeps the sum of its seated customers less their discounts.
 
@@ -135,7 +135,7 @@ def find_contexts(rows: DataFrame, share: float) -> np.ndarray:
 
 
 def count_words(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
-    """(word, n, counts): every training word with its counts in the restaurants, packed."""
+    """Every training word with its counts in the restaurants, many words to a row."""
     k = len(contexts) + 1
 
     def split(batches):
@@ -146,16 +146,15 @@ def count_words(rows: DataFrame, contexts: np.ndarray) -> DataFrame:
 
     def merge(batches):
         for table, edges in whole_groups(batches, ["word"]):
-            records = np.frombuffer(b"".join(table["counts"].to_pylist()), dtype=_COUNT)
-            sizes = np.array([len(x) for x in table["counts"].to_pylist()]) // _COUNT.itemsize
+            records, sizes = _records(table["counts"], _COUNT)
             group = np.repeat(np.repeat(np.arange(len(edges) - 1), np.diff(edges)), sizes)
             key, at = np.unique(group * k + records["ctx"], return_inverse=True)
             n = np.bincount(at, weights=records["n"]).astype(np.int64)
-            yield from _count_batches(table["word"].to_numpy()[edges[:-1]].view(np.uint64), key // k, key % k, n)
+            for counted in _count_batches(table["word"].to_numpy()[edges[:-1]].view(np.uint64), key // k, key % k, n):
+                yield _state_batch({"words": _packed({name: counted.column(name) for name in ("word", "n", "counts")}, counted.num_rows)})
 
-    kinds = "word long, n long, counts binary"
-    parts = rows.mapInArrow(split, kinds).repartition("word").sortWithinPartitions("word")
-    return write_stage(parts.mapInArrow(merge, kinds), "word_counts")
+    parts = rows.mapInArrow(split, "word long, n long, counts binary").repartition("word").sortWithinPartitions("word")
+    return write_stage(parts.mapInArrow(merge, f"{_PACKS}, {_SUMMED}"), "word_counts").select("words")
 
 
 def _count_batches(word, code, ctx, n) -> Iterator[pa.RecordBatch]:
@@ -274,24 +273,32 @@ def shared_probability(customers, tables, all_customers: float, all_tables: floa
     return (np.maximum(customers - d0 * tables, 0) + (s0 + d0 * all_tables) / (totals.types + 1)) / (s0 + all_customers)
 
 
+def _records(column: pa.Array | pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The packed records of all values, null ones without any, and how many each value has."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    whole = whole.fill_null(b"")
+    if not len(whole):
+        return np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64)
+    _, offsets, data = whole.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    raw = b"" if data is None else data.slice(int(edges[0]), int(edges[-1] - edges[0])).to_pybytes()
+    return np.frombuffer(raw, dtype=kind), np.diff(edges) // kind.itemsize
+
+
 def _entries(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    values = table.column("counts").to_pylist()
-    records = np.frombuffer(b"".join(values), dtype=_COUNT)
-    owner = np.repeat(np.arange(len(values)), [len(v) // _COUNT.itemsize for v in values])
+    records, sizes = _records(table.column("counts"), _COUNT)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     return table.column("word").to_numpy().view(np.uint64), owner, records["ctx"].astype(np.int64), records["n"].astype(np.int64)
 
 
+#: Between sweeps a row has this many words: a row per word costs Spark more than the sweep itself.
+PACK_WORDS = 2_000
+SWEPT_WORDS = 20_000
 _STATE = "word long, n long, counts binary, customers double, tables double, seated binary, seen array<double>"
-_SUMMED = "a double, b double, c double, d double, e double"
-
-
-def _summed(out: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A task's sums per restaurant, in rows of the state that have no word."""
-    columns = {"ctx": pa.array(np.arange(len(out))), **{name: pa.array(out[:, j]) for j, name in enumerate("abcde")}}
-    yield _state_batch({}, columns, len(out))
-
-
-_STATE_SCHEMA = pa.schema(
+_PACKS = "words binary"
+_SUMMED = "ctx long, a double, b double, c double, d double, e double"
+_SUMMED_SCHEMA = pa.schema([("ctx", pa.int64()), *[(name, pa.float64()) for name in "abcde"]])
+_WORD_SCHEMA = pa.schema(
     [
         ("word", pa.int64()),
         ("n", pa.int64()),
@@ -300,23 +307,62 @@ _STATE_SCHEMA = pa.schema(
         ("tables", pa.float64()),
         ("seated", pa.binary()),
         ("seen", pa.list_(pa.float64())),
-        ("ctx", pa.int64()),
-        *[(name, pa.float64()) for name in "abcde"],
     ]
 )
+_PACK_SCHEMA = pa.schema([("words", pa.binary())])
+
 
+def _filled(schema: pa.Schema, given: dict, rows: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)
 
-def _state_batch(words: dict, sums: dict, rows: int) -> pa.RecordBatch:
-    given = {**words, **sums}
-    return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(rows, f.type)) for f in _STATE_SCHEMA], schema=_STATE_SCHEMA)
 
+def _packed(words: dict, rows: int) -> pa.Array:
+    """Columns of words as rows of ``PACK_WORDS`` words each."""
+    whole, packs = _filled(_WORD_SCHEMA, words, rows), []
+    for s in range(0, rows, PACK_WORDS):
+        sink = io.BytesIO()
+        with pa.ipc.new_stream(sink, _WORD_SCHEMA) as writer:
+            writer.write_batch(whole.slice(s, PACK_WORDS))
+        packs.append(sink.getvalue())
+    return pa.array(packs, pa.binary())
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of all packs, those of some packs together."""
+    held, size = [], 0
+    for batch in batches:
+        for pack in batch.column("words"):
+            with pa.ipc.open_stream(pack.as_buffer()) as reader:
+                held += list(reader)
+            size += held[-1].num_rows
+            if size >= SWEPT_WORDS:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-def _swept(batches: Iterator[pa.RecordBatch], totals: Totals, number: int, kept: bool) -> Iterator[pa.RecordBatch]:
-    """One sweep over the words of a task: their rows as it leaves them, and the sums per restaurant."""
+
+def _state_batch(given: dict, rows: int | None = None) -> pa.RecordBatch:
+    """Rows of words or of packs, with no sums."""
+    kinds = _PACK_SCHEMA if "words" in given else _WORD_SCHEMA
+    return _filled(pa.schema([*kinds, *_SUMMED_SCHEMA]), given, len(given["words"]) if rows is None else rows)
+
+
+def _summed(out: np.ndarray, kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A task's sums per restaurant, in rows of the state that have no word."""
+    columns = {"ctx": pa.array(np.arange(len(out))), **{name: pa.array(out[:, j]) for j, name in enumerate("abcde")}}
+    yield _filled(pa.schema([*kinds, *_SUMMED_SCHEMA]), columns, len(out))
+
+
+def _swept(batches: Iterator[pa.RecordBatch], totals: Totals, number: int, kept: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """One sweep over the words of a task: their rows as it leaves them, and the sums per restaurant.
+
+    The last sweep leaves a row per word, those before leave packs.
+    """
     k = len(totals.contexts)
     d1 = totals.discounts[1]
     out = np.zeros((k + 2, 5))
-    for batch in batches:
+    for batch in _unpacked(batches):
         word, owner, ctx, n = _entries(batch)
         inner = ctx < k
         if number == 0:
@@ -326,7 +372,7 @@ def _swept(batches: Iterator[pa.RecordBatch], totals: Totals, number: int, kept:
         after = sweep(word, owner, ctx, n, customers, tables, totals, number)
         seated, seen = batch.column("seated"), batch.column("seen")
         if kept:
-            before = np.frombuffer(b"".join(seated.fill_null(b"").to_pylist()), dtype="<f8")
+            before, _ = _records(seated, np.dtype("<f8"))
             mine = np.maximum(n[inner] - d1 * after.tables, 0) + (before if len(before) else 0)
             seated = _binary(mine, np.searchsorted(owner[inner], np.arange(len(word) + 1)))
             pairs = np.column_stack([after.customers, after.shared_tables])
@@ -336,22 +382,22 @@ def _swept(batches: Iterator[pa.RecordBatch], totals: Totals, number: int, kept:
             seen = pa.ListArray.from_arrays(pa.array(np.arange(len(word) + 1, dtype=np.int32) * pairs.shape[1]), pa.array(pairs.ravel()))
         words = {name: batch.column(name) for name in ("word", "n", "counts")}
         words |= {"customers": pa.array(after.customers), "tables": pa.array(after.shared_tables), "seated": seated, "seen": seen}
-        yield _state_batch(words, {}, len(word))
+        yield _state_batch(words, len(word)) if last else _state_batch({"words": _packed(words, len(word))})
         out[:k, 4] += np.bincount(ctx[inner], weights=after.tables, minlength=k)[:k]
         out[k, 0] += after.customers.sum()
         out[k, 4] += after.shared_tables.sum()
-    yield from _summed(out)
+    yield from _summed(out, _WORD_SCHEMA if last else _PACK_SCHEMA)
 
 
 def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Per restaurant: customers, dishes, dishes with one and with two customers; at last the tokens and types of all."""
     out = np.zeros((k + 2, 5))
-    for batch in batches:
+    for batch in _unpacked(batches):
         word, _, ctx, n = _entries(batch)
         out[k + 1, :2] += len(word), n.sum()
         for j, values in enumerate((n, np.ones(len(n)), n == 1, n == 2)):
             out[: k + 1, j] += np.bincount(ctx, weights=values, minlength=k + 1)
-    yield from _summed(out)
+    yield from _summed(out, _PACK_SCHEMA)
 
 
 def train(rows: DataFrame, share: float, burn_in: int, samples: int) -> tuple[DataFrame, Totals]:
@@ -360,7 +406,6 @@ def train(rows: DataFrame, share: float, burn_in: int, samples: int) -> tuple[Da
     counts = count_words(rows, contexts)
     k = len(contexts)
     spark = rows.sparkSession
-    kinds = f"{_STATE}, ctx long, {_SUMMED}"
 
     def collect(found: DataFrame) -> np.ndarray:
         """Bounded: a row per context."""
@@ -369,26 +414,25 @@ def train(rows: DataFrame, share: float, burn_in: int, samples: int) -> tuple[Da
             out[ctx] = values
         return out
 
-    start = collect(counts.mapInArrow(lambda b: _counted(b, k), kinds))
+    start = collect(counts.mapInArrow(lambda b: _counted(b, k), f"{_PACKS}, {_SUMMED}"))
     tokens, types = int(start[k + 1, 1]), int(start[k + 1, 0])
     ones, twos = start[:k, 2].sum(), start[:k, 3].sum()
     d1 = float(np.clip(ones / max(1.0, ones + 2 * twos), 0.05, 0.95))
     dishes = start[:k, 1]
     d0 = float(np.clip(start[k, 2] / max(1.0, start[k, 2] + 2 * start[k, 3]), 0.05, 0.95))
     totals = Totals(contexts, tokens, types, start[:k, 0], (d0, d1), (1.0, 1.0), (dishes,), ((start[k, 0] + dishes.sum(), float(types)),))
-    empty = {f: F.lit(None) for f in ("customers", "tables", "seated", "seen")}
-    kind = dict(part.split(" ", 1) for part in _STATE.split(", "))
-    state = counts.withColumns({name: value.cast(kind[name]) for name, value in empty.items()})
+    state = counts
     for number in range(burn_in + samples):
         shared = spark.sparkContext.broadcast(totals)
-        kept = number >= burn_in
+        kept, last = number >= burn_in, number == burn_in + samples - 1
+        kinds = _STATE if last else _PACKS
 
-        def run(batches, shared=shared, number=number, kept=kept):
-            return _swept(batches, shared.value, number, kept)
+        def run(batches, shared=shared, number=number, kept=kept, last=last):
+            return _swept(batches, shared.value, number, kept, last)
 
-        written = write_stage(state.mapInArrow(run, kinds), "seating")
+        written = write_stage(state.mapInArrow(run, f"{kinds}, {_SUMMED}"), "seating")
         seen = collect(written)
-        state = written.where("ctx is null").select(*kind)
+        state = written.where("ctx is null").select(*[part.split(" ")[0] for part in kinds.split(", ")])
         totals = totals._replace(tables=(*totals.tables, seen[:k, 4]), shared=(*totals.shared, (seen[k, 0], seen[k, 4])))
     return state, totals
 
@@ -451,7 +495,7 @@ def _probabilities(table: pa.Table, totals: Totals, burn_in: int):
     known = table.column("n").to_numpy(zero_copy_only=False).astype(np.float64) > 0
     pairs = table.column("seen").combine_chunks() if isinstance(table.column("seen"), pa.ChunkedArray) else table.column("seen")
     seen[known] = pairs.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * samples)
-    taken = np.frombuffer(b"".join(table.column("seated").to_pylist()), dtype="<f8").copy()
+    taken = _records(table.column("seated"), np.dtype("<f8"))[0].copy()
     shared_by_sample = []
     for at in range(samples):
         after, (customers, tables) = totals.tables[burn_in + at + 1], totals.shared[burn_in + at + 1]
@@ -495,9 +539,8 @@ def score(rows: DataFrame, share: float = CONTEXT_SHARE, burn_in: int = BURN_IN,
             words = pa.table({"word": heads.column("word"), "n": heads.column("n").fill_null(0), "seen": heads.column("seen"), **words})
             key, p, p_shared = _probabilities(words, totals, burn_in)
             p_shared = np.where(n > 0, p_shared, none[:, None])
-            uses = batch.column("uses").to_pylist()
-            records = np.frombuffer(b"".join(uses), dtype=_USE)
-            row = np.repeat(np.arange(len(uses)), [len(u) // _USE.itemsize for u in uses])
+            records, sizes = _records(batch.column("uses"), _USE)
+            row = np.repeat(np.arange(len(sizes)), sizes)
             which, ctx = number[row], records["ctx"].astype(np.int64)
             value = (back_off[:, ctx] * p_shared[:, which]).mean(axis=0)
             if len(key):

@@ -169,6 +169,21 @@ def test_model_is_a_distribution(spark):
         assert abs(sum(taken.values()) + rest + (off * none).mean() - 1) < 1e-9
 
 
+def test_words_between_sweeps_share_rows(spark, monkeypatch):
+    """A row per word cost Spark more than the sweeps; any size of packs leaves the same seating."""
+    docs = spark.createDataFrame([(i, f"w{i % 30} w{i % 7} b") for i in range(90)], "doc_id long, text string").coalesce(1)
+    rows = docs.select("doc_id", "text", F.lit(False).alias("held_out"))
+    assert pitman_yor.count_words(rows, pitman_yor.find_contexts(rows, 1e-3)).count() < 30
+    found = []
+    for pack, swept in ((2_000, 20_000), (3, 7)):
+        monkeypatch.setattr(pitman_yor, "PACK_WORDS", pack)
+        monkeypatch.setattr(pitman_yor, "SWEPT_WORDS", swept)
+        state, totals = pitman_yor.train(rows, 1e-3, 1, 1)
+        assert state.count() == totals.types
+        found.append(sorted(map(str, state.collect())))
+    assert found[0] == found[1]
+
+
 def test_stored_seating_equals_a_replay(spark):
     """Sweeps that begin where the last one was written seat as sweeps replayed in one process from the counts."""
     rng = random.Random(2)
