@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 import uuid
 from collections import Counter
@@ -42,6 +43,8 @@ NO_RANK = np.int32(2**31 - 1)
 
 # Fixed values of the tokenizer's definition: how text is cut into words, and the end-of-word mark.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The same for ASCII in lower case. The white space is spelt out, as ``re`` has more of it.
+ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 END = "</w>"
 #: Characters whose class is the same in every version of Unicode in use.
 _RARE = regex.compile(r"[^\x00-ɏͰ-ͷΆ-ϿЀ-ԯḀ-ỿ‐-‧‰-⁞€ぁ-ゖァ-ヿ一-龥가-힣]")
@@ -119,15 +122,16 @@ def _library(text: str):
 
 def split_words(text: str, vocab: Vocabulary) -> list[str]:
     """Words of a text without special tokens."""
-    if not text.isascii():
-        if (rare := _RARE.search(text)) and any(unicodedata.category(c) == "Cn" for c in text[rare.start() :]):
-            # Characters newer than this Python's tables: the tokenizer's own tables decide.
-            own = _library(vocab.text)
-            parts = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
-            back = {letter: b for b, letter in enumerate(_byte_letters())}
-            return [bytes(back[c] for c in part).decode("utf-8", "surrogateescape") for part, _ in parts]
-        # The final sigma is lowered like any other.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    if text.isascii():
+        return ASCII_WORD.findall(text.lower())
+    if (rare := _RARE.search(text)) and any(unicodedata.category(c) == "Cn" for c in text[rare.start() :]):
+        # Characters newer than this Python's tables: the tokenizer's own tables decide.
+        own = _library(vocab.text)
+        parts = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
+        back = {letter: b for b, letter in enumerate(_byte_letters())}
+        return [bytes(back[c] for c in part).decode("utf-8", "surrogateescape") for part, _ in parts]
+    # The final sigma is lowered like any other.
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return WORD.findall(text.lower())
 
 
@@ -319,7 +323,7 @@ def frequent_words(documents: DataFrame, tokenizer: str, share: float = SHARE) -
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    words.update(w for w in parts_of(text, vocab) if w.__class__ is str)
+                    words.update(parts_of(text, vocab))
                 if len(words) > MEMO_WORDS:
                     yield _heavy(words, share)
                     words.clear()
@@ -334,8 +338,9 @@ def frequent_words(documents: DataFrame, tokenizer: str, share: float = SHARE) -
 
 
 def _heavy(words: Counter, share: float) -> pa.RecordBatch:
-    total = words.total()
-    kept = [(w, n) for w, n in words.items() if n >= share * total and w.isprintable()]
+    # The numbers among them are special tokens.
+    total = words.total() - sum(n for w, n in words.items() if w.__class__ is int)
+    kept = [(w, n) for w, n in words.items() if n >= share * total and w.__class__ is str and w.isprintable()]
     names = [w for w, _ in kept] + [None]
     return pa.RecordBatch.from_arrays(
         [pa.array(names, pa.string()), pa.array([n for _, n in kept] + [0], pa.int64()), pa.array([0] * len(kept) + [total], pa.int64())],

@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from slotweave.llm import bpe, jaccard, licenses, substring
+from slotweave.llm import bpe, jaccard, licenses, substring, text_arrays
 from slotweave.llm.text_arrays import hashed_words, rows_of
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -182,3 +184,24 @@ def test_licenses_count_long_texts(spark):
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("n_words", "n_base", "last_word").first()
     assert tuple(row) == (60000, 30000, 59998)
     assert licenses.scan(spark.range(0).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))).count() == 0
+
+
+def test_plain_text_is_cut_like_all_text():
+    """ASCII texts take the faster library, which has other white space and letters of its own."""
+    vocab = bpe.vocabulary(TOKENIZER)
+    for text in [*("a" + chr(i) + chr(j) + "9'll'S" for i in range(128) for j in range(0, 128, 3)), "I'VE we're'd 12 a_b"]:
+        assert bpe.split_words(text, vocab) == bpe.WORD.findall(text.lower())
+        assert bpe.ASCII_WORD.findall(text.lower()) == bpe.WORD.findall(text.lower())
+
+
+def test_special_tokens_are_no_words_of_the_lexicon():
+    counted = bpe._heavy(Counter(["a", "a", 5, 5, 5, "b"]), 0.5)
+    assert counted.to_pylist() == [{"word": "a", "n": 2, "total": 0}, {"word": None, "n": 0, "total": 3}]
+
+
+def test_pieces_of_texts_are_small():
+    """Workers stay in memory between the stages of the pipeline, as large as their largest piece made them."""
+    texts = pa.array(["x" * 300_000] * 5 + ["y" * 900_000, None])
+    pieces = list(text_arrays.text_pieces(texts))
+    assert [len(data) for _, _, data, _ in pieces] == [300_000] * 5 + [900_000, 0]
+    assert [a for a, _, _, _ in pieces] == list(range(7)) and pieces[-1][1] == 7
