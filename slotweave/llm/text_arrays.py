@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from slotweave.session import write_stage
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
