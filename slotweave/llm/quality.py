@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from slotweave.llm.common import unused, write_stage
 from slotweave.llm.text_arrays import LOWER, mix, text_pieces, word_hashes, word_totals, words_with_share
 
+# Sums of vectors follow the pieces, so their last digits depend on this.
+PIECE_BYTES = 2 << 20
 SHARE = 3e-4
 BUCKETS = 256
 SIZE = 128
@@ -104,7 +106,7 @@ def frequent_words(texts: DataFrame, share: float = SHARE) -> np.ndarray:
     """Sorted hashes of the words with at least the share of all words, counted exactly: at most 1 / share."""
 
     def report(batches):
-        yield from word_totals(words_of(data, offsets)[0] for batch in batches for _, _, data, offsets in text_pieces(batch.column("text")))
+        yield from word_totals(words_of(data, offsets)[0] for batch in batches for _, _, data, offsets in text_pieces(batch.column("text"), PIECE_BYTES))
 
     return words_with_share(texts.select("text").mapInArrow(report, "word long, n long"), share, "quality_words")
 
@@ -118,7 +120,7 @@ def word_vectors(texts: DataFrame, frequent: np.ndarray) -> np.ndarray:
         frequent, index = shared.value
         total = np.zeros(index.shape, dtype=np.float64)
         for batch in batches:
-            for _, _, data, offsets in text_pieces(batch.column("text")):
+            for _, _, data, offsets in text_pieces(batch.column("text"), PIECE_BYTES):
                 hashed, row = words_of(data, offsets)
                 number = numbers_of(hashed, frequent)
                 near = row[1:] == row[:-1]
@@ -239,7 +241,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     def pool(batches):
         frequent, vectors = shared.value
         for batch in batches:
-            for a, b, data, offsets in text_pieces(batch.column("text")):
+            for a, b, data, offsets in text_pieces(batch.column("text"), PIECE_BYTES):
                 flat = pooled(data, offsets, frequent, vectors).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * SIZE), pa.array(flat))
                 columns = [batch.column(name).slice(a, b - a) for name in ("doc_id", "quality")]
@@ -264,7 +266,7 @@ def scored(documents: DataFrame, model: Model, score: str = "score") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for a, b, data, offsets in text_pieces(batch.column("text")):
+            for a, b, data, offsets in text_pieces(batch.column("text"), PIECE_BYTES):
                 if model.network is None:
                     found = np.full(b - a, 0.5)
                 else:
