@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -15,10 +18,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from slotweave.functions.clock import HOURS_PER_WEEK
 from slotweave.operators.dictionary import dictionary
 from slotweave.operators.splits import LABEL, MODEL_FEATURES, complete_rows
-from slotweave.session import scratch_path
+from slotweave.session import scratch_path, write_stage
 
 DEVICE_RATE = "device_rate_so_far"
 
+#: Trees of one fit. Spark keeps a weight and a node per row and tree of a fit, and per task the counts of
+#: all nodes of a level, so what a fit needs must not grow with the forest.
+TREES_AT_ONCE = 64
+#: Fits side by side: executors work on one while the driver chooses the splits of another.
+FITS_AT_ONCE = 2
+#: Rows draw their weights from a fit's seed plus the partition, so seeds of fits lie far apart.
+_SEED_STEP = 1_000_003
+
 _COLUMNS = "place int, name string, by_flags boolean"
 
 
@@ -115,14 +126,16 @@ def _by_flags(encoding: str, columns: Sequence[str]) -> bool:
     return encoding == "onehot" and "device" in columns
 
 
-def _classifier(settings: ForestSettings, label: str) -> RandomForestClassifier:
+def _classifier(settings: ForestSettings, label: str, part: int = 0) -> RandomForestClassifier:
+    """The trees of one fit, from number ``part * TREES_AT_ONCE`` on."""
+    own = f"_{part}" if part else ""
     return RandomForestClassifier(
         featuresCol="_features",
         labelCol=label,
-        predictionCol="_prediction",
-        probabilityCol="_probability",
-        rawPredictionCol="_votes",
-        numTrees=settings.trees,
+        predictionCol=f"_prediction{own}",
+        probabilityCol=f"_probability{own}",
+        rawPredictionCol=f"_votes{own}",
+        numTrees=min(TREES_AT_ONCE, settings.trees - part * TREES_AT_ONCE),
         maxDepth=settings.depth,
         featureSubsetStrategy=str(settings.features_per_split),
         minInstancesPerNode=settings.min_rows_per_leaf,
@@ -130,10 +143,21 @@ def _classifier(settings: ForestSettings, label: str) -> RandomForestClassifier:
         maxMemoryInMB=settings.memory_mb,
         # A row keeps its node per tree, or each pass walks all trees anew; the trees are the same.
         cacheNodeIds=True,
-        seed=settings.seed,
+        seed=settings.seed + part * _SEED_STEP,
     )
 
 
+def _fitted(vectors: DataFrame, settings: ForestSettings, label: str) -> list[RandomForestClassificationModel]:
+    """The forest in parts of ``TREES_AT_ONCE`` trees, whose votes add up."""
+    parts = range(max(1, -(-settings.trees // TREES_AT_ONCE)))
+
+    def fit(part: int) -> RandomForestClassificationModel:
+        return _classifier(settings, label, part).fit(vectors)
+
+    with ThreadPool(min(FITS_AT_ONCE, len(parts))) as pool:
+        return pool.map(inheritable_thread_target(vectors.sparkSession)(fit), parts)
+
+
 def training_rows(
     rows: DataFrame, settings: ForestSettings, columns: Sequence[str] = MODEL_FEATURES, label: str = LABEL
 ) -> DataFrame:
@@ -153,11 +177,12 @@ def train_forest(
     complete = training_rows(rows, settings, columns, label)
     if not _by_flags(settings.encoding, inputs):
         assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
-        return Forest(Pipeline(stages=[assembler, _classifier(settings, label)]).fit(complete), tuple(inputs))
+        vectors = write_stage(assembler.transform(complete).select("_features", label), "vectors")
+        return Forest(PipelineModel([assembler, *_fitted(vectors, settings, label)]), tuple(inputs))
     devices = device_dictionary(complete)
     others = [name for name in inputs if name != "device"]
     vectors = _as_vectors(with_device_flags(complete, devices, others).select("_flags", label))
-    return Forest(Pipeline(stages=[_classifier(settings, label)]).fit(vectors), tuple(inputs), devices)
+    return Forest(PipelineModel(_fitted(vectors, settings, label)), tuple(inputs), devices)
 
 
 def predict(model: Forest, rows: DataFrame) -> DataFrame:
@@ -170,10 +195,15 @@ def predict(model: Forest, rows: DataFrame) -> DataFrame:
         others = [name for name in model.columns if name != "device"]
         prepared = _as_vectors(with_device_flags(rows, model.devices, others))
     scored = model.pipeline.transform(prepared)
+    parts = [vector_to_array(s.getRawPredictionCol()) for s in model.stages if isinstance(s, RandomForestClassificationModel)]
+    votes = functools.reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
+    scored = scored.select(*rows.columns, votes.alias("_all_votes"))
+    total = F.aggregate("_all_votes", F.lit(0.0), lambda x, y: x + y)
     return scored.select(
         *rows.columns,
-        F.col("_prediction").cast("int").alias("activation_predicted"),
-        vector_to_array("_probability")[1].alias("activation_probability"),
+        # Of equal votes the first class wins.
+        (F.array_position("_all_votes", F.array_max("_all_votes")) - 1).cast("int").alias("activation_predicted"),
+        (F.col("_all_votes")[1] / total).alias("activation_probability"),
     )
 
 

@@ -8,6 +8,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from slotweave import session
@@ -59,6 +60,27 @@ def test_rows_keep_their_nodes_between_passes_and_trees_stay_the_same(spark, mon
     assert trees[0].split("\n")[1:] == trees[1].split("\n")[1:]
 
 
+def test_forest_is_fitted_in_parts_whose_votes_add_up(spark, monkeypatch, tmp_path):
+    """One fit of all 512 trees kept a weight and a node per row and tree, and counts of all nodes, at once."""
+    assert forest._classifier(forest.ForestSettings(), splits.LABEL).getNumTrees() == forest.TREES_AT_ONCE < 512
+    monkeypatch.setattr(forest, "TREES_AT_ONCE", 4)
+    rows = spark.range(300, numPartitions=2).select(
+        (F.col("id") % 24).alias("hour_of_day"), (F.col("id") % 7).alias("day_of_week"), (F.xxhash64("id") % 3 == 0).cast("int").alias("is_active")
+    )
+    settings = forest.ForestSettings(trees=10, depth=3, features_per_split=1)
+    model = forest.train_forest(rows, settings, ["hour_of_day", "day_of_week"])
+    fitted = model.stages[1:]
+    assert [m.getNumTrees for m in fitted] == [4, 4, 2]
+    assert len({tree.toDebugString.split("\n", 1)[1] for m in fitted for tree in m.trees}) == 10
+    forest.save_model(model, str(tmp_path / "model"))
+    loaded = forest.load_model(str(tmp_path / "model"))
+    for row in forest.predict(loaded, rows.distinct()).collect():
+        vector = Vectors.dense(row.hour_of_day, row.day_of_week)
+        votes = sum(m.predictRaw(vector).toArray() for m in fitted)
+        assert row.activation_probability == pytest.approx(votes[1] / 10)
+        assert row.activation_predicted == int(votes[1] > votes[0])
+
+
 def test_report_has_both_folds(forest_run):
     report = jobs.fold_report(forest_run)
     folds = {r.fold: r for r in report.groupBy("fold").agg(F.count("*").alias("n"), F.min("auc").alias("auc")).collect()}
