@@ -208,6 +208,11 @@ def fitted(batches, regressors: int):
             yield _fitted_batch(whole.slice(start, FITTED_ROWS), regressors)
 
 
+def fitted_device(rows: pa.Table, regressors: int) -> pa.Table:
+    """As ``fitted``, from the rows of sums of one device."""
+    return pa.Table.from_batches(fitted(added_sums(rows).to_batches(), regressors))
+
+
 def _fitted_batch(batch: pa.RecordBatch, regressors: int) -> pa.RecordBatch:
     every = _table(batch.column("sums"))
     width = _width(every[0])

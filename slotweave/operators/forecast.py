@@ -46,9 +46,13 @@ def forecast_sums(features: DataFrame, regressors: Sequence[str] = REGRESSORS) -
     Every task adds up its own rows; a device sends one row of some 600 numbers per task, however
     long its history is. Sums of other days are added by ``add_days``.
     """
+    return add_days(_sums_by_task(features, regressors))
+
+
+def _sums_by_task(features: DataFrame, regressors: Sequence[str]) -> DataFrame:
     sums, names = additive.partial_sums, list(regressors)
     needed = features.select("device", "hour_slot", "type", "is_active", *names)
-    return add_days(needed.mapInArrow(lambda rows: sums(rows, names, DEVICES_HELD), SUMS))
+    return needed.mapInArrow(lambda rows: sums(rows, names, DEVICES_HELD), SUMS)
 
 
 def add_days(sums: DataFrame, *more: DataFrame) -> DataFrame:
@@ -57,9 +61,14 @@ def add_days(sums: DataFrame, *more: DataFrame) -> DataFrame:
 
 
 def coefficients(sums: DataFrame, regressors: Sequence[str] = REGRESSORS) -> DataFrame:
-    """``device, weights, level, residual``: the fit of each device, and how exact it is."""
-    fit, width = additive.fitted, len(regressors)
-    return sums.mapInArrow(lambda rows: fit(rows, width), "device string, weights array<double>, level double, residual double")
+    """``device, weights, level, residual``: the fit of each device, and how exact it is.
+
+    The sums of a device may come in several rows. A worker sees one device at a time: batches of sums
+    would hold more the more devices there are.
+    """
+    fit, width = additive.fitted_device, len(regressors)
+    fits = "device string, weights array<double>, level double, residual double"
+    return sums.groupBy("device").applyInArrow(lambda rows: fit(rows, width), fits)
 
 
 def forecast(features: DataFrame, regressors: Sequence[str] = REGRESSORS, sums: DataFrame | None = None) -> DataFrame:
@@ -68,7 +77,7 @@ def forecast(features: DataFrame, regressors: Sequence[str] = REGRESSORS, sums:
     ``sums`` are those of the history, if they are known; then only the rows to predict are read.
     """
     apply, names = additive.predicted, list(regressors)
-    sums = forecast_sums(features, regressors) if sums is None else sums
+    sums = _sums_by_task(features, regressors) if sums is None else sums
     rows = features.where(F.col("type") == "predict").select("device", "hour_slot", *names)
     with_fit = rows.join(coefficients(sums, regressors), "device", "left")
     raw = with_fit.mapInArrow(lambda batches: apply(batches, names), "device string, hour_slot int, yhat double")
@@ -77,7 +86,7 @@ def forecast(features: DataFrame, regressors: Sequence[str] = REGRESSORS, sums:
 
 def fit_residuals(features: DataFrame, regressors: Sequence[str] = REGRESSORS) -> DataFrame:
     """``device, residual``: how far each device's coefficients are from their equations."""
-    found = coefficients(forecast_sums(features, regressors), regressors).select("device", "residual")
+    found = coefficients(_sums_by_task(features, regressors), regressors).select("device", "residual")
     every = features.select("device").distinct().join(found, "device", "left")
     return every.select("device", F.coalesce("residual", F.lit(0.0)).alias("residual"))
 

@@ -298,6 +298,25 @@ def test_tasks_hold_few_devices_at_a_time(monkeypatch):
     assert pa.Table.from_batches(found).to_pylist() == pa.Table.from_batches(once).to_pylist()
 
 
+def test_fit_takes_the_sums_of_a_device_in_several_rows(spark):
+    """Batches of whole sums went through a second worker of each task and grew with the devices."""
+    features = spark.range(3000, numPartitions=3).select(
+        F.concat(F.lit("d"), F.col("id") % 10).alias("device"),
+        (F.col("id") / 10).cast("int").alias("hour_slot"),
+        F.lit("train").alias("type"),
+        (F.xxhash64("id") % 2 == 0).cast("int").alias("is_active"),
+        (F.col("id") % 11).cast("double").alias("x"),
+    )
+    added = forecast.forecast_sums(features, ["x"])
+    parts = forecast._sums_by_task(features, ["x"])
+    assert parts.count() > added.count() == 10
+    by_device = [{r.device: r.weights for r in forecast.coefficients(sums, ["x"]).collect()} for sums in (added, parts)]
+    assert forecast.coefficients(parts, ["x"]).count() == len(by_device[1]) == 10
+    for device, weights in by_device[0].items():
+        assert by_device[1][device] == pytest.approx(weights)
+    assert forecast.fit_residuals(features, ["x"])._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_device_without_any_change_keeps_its_level(make_log):
     log = make_log(*[(f"2024-01-01 {h:02d}:10:00", "always", 1) for h in range(24)], ("2024-01-01 03:00:00", "once", 1))
     rows = jobs.run_forecast(log, "2024-01-01 23:30:00").collect()
