@@ -27,6 +27,9 @@ DEVICE_RATE = "device_rate_so_far"
 TREES_AT_ONCE = 64
 #: Fits side by side: executors work on one while the driver chooses the splits of another.
 FITS_AT_ONCE = 2
+#: Spark also keeps a bin per row and column of a fit and finds them anew in each. Where that is most of a row,
+#: a fit has one tree for as many columns, so that its weights and nodes take about as much as the bins.
+COLUMNS_PER_TREE = 5
 #: Rows draw their weights from a fit's seed plus the partition, so seeds of fits lie far apart.
 _SEED_STEP = 1_000_003
 
@@ -126,16 +129,22 @@ def _by_flags(encoding: str, columns: Sequence[str]) -> bool:
     return encoding == "onehot" and "device" in columns
 
 
-def _classifier(settings: ForestSettings, label: str, part: int = 0) -> RandomForestClassifier:
-    """The trees of one fit, from number ``part * TREES_AT_ONCE`` on."""
+def _trees_at_once(width: int) -> int:
+    """Trees of one fit on vectors of ``width`` columns."""
+    return max(TREES_AT_ONCE, width // COLUMNS_PER_TREE)
+
+
+def _classifier(settings: ForestSettings, label: str, part: int = 0, width: int = 0) -> RandomForestClassifier:
+    """The trees of one fit, from number ``part * _trees_at_once(width)`` on."""
     own = f"_{part}" if part else ""
+    at_once = _trees_at_once(width)
     return RandomForestClassifier(
         featuresCol="_features",
         labelCol=label,
         predictionCol=f"_prediction{own}",
         probabilityCol=f"_probability{own}",
         rawPredictionCol=f"_votes{own}",
-        numTrees=min(TREES_AT_ONCE, settings.trees - part * TREES_AT_ONCE),
+        numTrees=min(at_once, settings.trees - part * at_once),
         maxDepth=settings.depth,
         featureSubsetStrategy=str(settings.features_per_split),
         minInstancesPerNode=settings.min_rows_per_leaf,
@@ -147,14 +156,18 @@ def _classifier(settings: ForestSettings, label: str, part: int = 0) -> RandomFo
     )
 
 
-def _fitted(vectors: DataFrame, settings: ForestSettings, label: str) -> list[RandomForestClassificationModel]:
-    """The forest in parts of ``TREES_AT_ONCE`` trees, whose votes add up."""
-    parts = range(max(1, -(-settings.trees // TREES_AT_ONCE)))
+def _fitted(vectors: DataFrame, settings: ForestSettings, label: str, width: int) -> list[RandomForestClassificationModel]:
+    """The forest in parts of ``_trees_at_once(width)`` trees, whose votes add up.
+
+    Parts of wide vectors are fitted one after the other: two would hold their bins twice.
+    """
+    at_once = _trees_at_once(width)
+    parts = range(max(1, -(-settings.trees // at_once)))
 
     def fit(part: int) -> RandomForestClassificationModel:
-        return _classifier(settings, label, part).fit(vectors)
+        return _classifier(settings, label, part, width).fit(vectors)
 
-    with ThreadPool(min(FITS_AT_ONCE, len(parts))) as pool:
+    with ThreadPool(min(FITS_AT_ONCE if at_once == TREES_AT_ONCE else 1, len(parts))) as pool:
         return pool.map(inheritable_thread_target(vectors.sparkSession)(fit), parts)
 
 
@@ -178,11 +191,12 @@ def train_forest(
     if not _by_flags(settings.encoding, inputs):
         assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
         vectors = write_stage(assembler.transform(complete).select("_features", label), "vectors")
-        return Forest(PipelineModel([assembler, *_fitted(vectors, settings, label)]), tuple(inputs))
+        return Forest(PipelineModel([assembler, *_fitted(vectors, settings, label, len(inputs))]), tuple(inputs))
     devices = device_dictionary(complete)
     others = [name for name in inputs if name != "device"]
     vectors = _as_vectors(with_device_flags(complete, devices, others).select("_flags", label))
-    return Forest(PipelineModel(_fitted(vectors, settings, label)), tuple(inputs), devices)
+    width = devices.count() + 1 + len(others)
+    return Forest(PipelineModel(_fitted(vectors, settings, label, width)), tuple(inputs), devices)
 
 
 def predict(model: Forest, rows: DataFrame) -> DataFrame:
