@@ -39,14 +39,17 @@ def find_or_train(spark: SparkSession, store: str, name: str, train: Callable[[]
     """The stored model ``name``, trained and stored first if there is none.
 
     A model gets its name by one rename after it is complete, so a run that fails or is lost
-    leaves no half model; of two runs that train the same, the first one's model stays.
+    leaves no half model; of two runs that train the same, the first one's model stays. A model
+    just trained and stored is not read back.
     """
     path = f"{store}/{name}"
     files, final = _folder(spark, path)
     if not files.exists(final):
         made = f"{store}/making-{uuid.uuid4().hex}"
-        save_model(train(), made)
+        model = train()
+        save_model(model, made)
         _, source = _folder(spark, made)
-        if files.exists(final) or not files.rename(source, final):
-            files.delete(source, True)
+        if not files.exists(final) and files.rename(source, final):
+            return model
+        files.delete(source, True)
     return load_model(path)
