@@ -190,9 +190,13 @@ def word_totals(parts: Iterator[np.ndarray], held: int = 1 << 20) -> Iterator[pa
         yield from rows(*merged())
 
 
-def words_with_share(counted: DataFrame, share: float, stage: str) -> np.ndarray:
-    """Sorted hashes of the words with at least ``share`` of all in (word, n): at most 1 / share."""
+def heavy_words(counted: DataFrame, share: float, stage: str) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the words with at least ``share`` of all in (word, n), at most 1 / share, and the sum of all."""
     found = write_stage(counted.groupBy("word").agg(F.sum("n").alias("n")), stage)
     total = found.agg(F.sum("n")).first()[0] or 0
     heavy = found.where(F.col("n") >= share * total).select("word").collect()
-    return np.sort(np.array([r[0] for r in heavy], dtype=np.int64).view(np.uint64))
+    return np.sort(np.array([r[0] for r in heavy], dtype=np.int64).view(np.uint64)), total
+
+
+def words_with_share(counted: DataFrame, share: float, stage: str) -> np.ndarray:
+    return heavy_words(counted, share, stage)[0]

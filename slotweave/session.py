@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import gc
 import re
 import tempfile
 import uuid
@@ -75,6 +76,15 @@ def drop_stages(spark: SparkSession, keep: int = 0, newest: int = 0) -> None:
     del _made[keep:end]
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done with.
+
+    It does so when the driver's JVM collects the plans, which a driver that is seldom short of memory puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def run_scope(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end, failed or not, the stages written inside it; store the result inside it."""
