@@ -1,37 +1,48 @@
-"""The pooled random forest: one model for all devices, as a Spark ML pipeline."""
+"""The pooled random forest: one model for all devices, as a Spark ML pipeline.
+
+The trees are grown as Spark ML grows them (bootstrap samples, candidate columns per node, bins, Gini impurity,
+pruning of leaves that say the same), level by level from counts that the tasks add up. Spark's own learner keeps
+a weight and a node per row and tree and a bin per row and column, which at 40 million rows is more than the
+executors' disks hold; here a row is a byte per column, and weights and nodes are found anew in each pass.
+"""
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Sequence
+import json
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from slotweave.functions import trees
 from slotweave.functions.clock import HOURS_PER_WEEK
 from slotweave.operators.dictionary import dictionary
 from slotweave.operators.splits import LABEL, MODEL_FEATURES, complete_rows
-from slotweave.session import scratch_path, write_stage
+from slotweave.session import free_shuffles, scratch_path, write_stage
+
+# Executors get the functions with the task and need no copy of the package.
+cloudpickle.register_pickle_by_value(trees)
 
 DEVICE_RATE = "device_rate_so_far"
 
-#: Trees of one fit. Spark keeps a weight and a node per row and tree of a fit, and per task the counts of
-#: all nodes of a level, so what a fit needs must not grow with the forest.
+#: Trees of one part of the forest, which are grown side by side: a level of all of them is one pass over the rows.
 TREES_AT_ONCE = 64
-#: Fits side by side: executors work on one while the driver chooses the splits of another.
+#: Parts side by side: executors work on one while the driver takes in the splits of another.
 FITS_AT_ONCE = 2
-#: Spark also keeps a bin per row and column of a fit and finds them anew in each. Where that is most of a row,
-#: a fit has one tree for as many columns, so that its weights and nodes take about as much as the bins.
+#: With a column per device a node has few counts, and a part has one tree for as many columns, so that fewer
+#: passes make the sets of rows of all devices.
 COLUMNS_PER_TREE = 5
-#: Rows draw their weights from a fit's seed plus the partition, so seeds of fits lie far apart.
-_SEED_STEP = 1_000_003
+#: Counts that a task holds at once, of 8 bytes; nodes beyond are counted in a further pass.
+CELLS_AT_ONCE = 16_000_000
+#: Bytes of counts sent by the tasks until Spark is asked to delete the shuffle files of earlier passes.
+SENT_AT_MOST = 500_000_000
 
 _COLUMNS = "place int, name string, by_flags boolean"
 
@@ -70,6 +81,8 @@ class Forest:
     pipeline: PipelineModel
     columns: tuple[str, ...]
     devices: DataFrame | None = None
+    nodes: Sequence[tuple[np.ndarray, ...]] | None = None
+    """Per tree the feature (-1: leaf), threshold, left and right child and counts of its nodes."""
 
     @property
     def stages(self) -> list:
@@ -117,25 +130,17 @@ def device_flags(rows: DataFrame) -> DataFrame:
     )
 
 
-def _as_vectors(rows: DataFrame) -> DataFrame:
-    """``rows``, written once, with ``_flags`` read back as the vectors that its layout is, ``_features``."""
-    path = scratch_path(rows.sparkSession, "vectors")
-    rows.withColumnRenamed("_flags", "_features").write.parquet(path)
-    fields = [T.StructField("_features", VectorUDT()) if f.name == "_flags" else f for f in rows.schema]
-    return rows.sparkSession.read.schema(T.StructType(fields)).parquet(path)
-
-
 def _by_flags(encoding: str, columns: Sequence[str]) -> bool:
     return encoding == "onehot" and "device" in columns
 
 
 def _trees_at_once(width: int) -> int:
-    """Trees of one fit on vectors of ``width`` columns."""
+    """Trees of one part, for rows of ``width`` columns."""
     return max(TREES_AT_ONCE, width // COLUMNS_PER_TREE)
 
 
 def _classifier(settings: ForestSettings, label: str, part: int = 0, width: int = 0) -> RandomForestClassifier:
-    """The trees of one fit, from number ``part * _trees_at_once(width)`` on."""
+    """Settings and columns of one part, with the trees from number ``part * _trees_at_once(width)`` on."""
     own = f"_{part}" if part else ""
     at_once = _trees_at_once(width)
     return RandomForestClassifier(
@@ -150,25 +155,289 @@ def _classifier(settings: ForestSettings, label: str, part: int = 0, width: int
         minInstancesPerNode=settings.min_rows_per_leaf,
         maxBins=settings.bins,
         maxMemoryInMB=settings.memory_mb,
-        # A row keeps its node per tree, or each pass walks all trees anew; the trees are the same.
         cacheNodeIds=True,
-        seed=settings.seed + part * _SEED_STEP,
+        seed=settings.seed,
     )
 
 
-def _fitted(vectors: DataFrame, settings: ForestSettings, label: str, width: int) -> list[RandomForestClassificationModel]:
-    """The forest in parts of ``_trees_at_once(width)`` trees, whose votes add up.
+_DEVICE = "_device"
 
-    Parts of wide vectors are fitted one after the other: two would hold their bins twice.
-    """
-    at_once = _trees_at_once(width)
+
+@dataclass(frozen=True)
+class _Binned:
+    """Training rows in chunks, and what their bins mean. ``flags``: 0/1 columns of devices before the others."""
+
+    chunks: DataFrame
+    points: list[np.ndarray]
+    flags: int
+    classes: int
+    kind: str
+    joint: list[tuple]
+    """The columns that are counted together."""
+
+    @property
+    def stride(self) -> int:
+        """Counts of a node and a group of columns."""
+        return self.classes * max(cells for _, _, cells, _ in self.joint)
+
+    @property
+    def features(self) -> int:
+        return self.flags + len(self.points)
+
+
+def _binned(
+    complete: DataFrame, columns: Sequence[str], label: str, settings: ForestSettings, devices: DataFrame | None = None
+) -> _Binned:
+    """The rows with a bin per column, written once. As in Spark ML, thresholds come from some bins x bins rows."""
+    size = complete.agg(F.count(F.lit(1)).alias("rows"), F.max(label).alias("label")).first()
+    if not size.rows:
+        raise ValueError("there are no complete rows to train on")
+    wanted = max(settings.bins**2, 10_000)
+    some = complete if size.rows <= wanted else complete.sample(False, wanted / size.rows, settings.seed)
+    seen = some.select(*[F.col(c).cast("double") for c in columns]).toArrow()
+    points = [trees.split_points(seen.column(c).to_numpy(), settings.bins) for c in columns]
+    rows, device, flags = complete, None, 0
+    if devices is not None:
+        device, flags = _DEVICE, devices.count() + 1
+        rows = complete.join(devices.withColumnRenamed("device_index", device), "device")
+    made, names, kind = trees.as_chunks, list(columns), trees.bin_type(settings.bins)
+    chunks = rows.mapInArrow(
+        lambda batches: made(batches, names, label, device, points, kind, TaskContext.get().partitionId()), trees.CHUNK_TABLE
+    )
+    written = write_stage(chunks, "chunks")
+    widths = [len(p) + 1 for p in points]
+    groups = trees.joint_groups(widths, np.array([np.searchsorted(p, seen.column(c).to_numpy()) for c, p in zip(columns, points)]))
+    occurring, packed = trees.occurring, [[] for _ in groups]
+    for row in written.mapInArrow(lambda batches: occurring(batches, groups, widths, kind), trees.COUNTED).toArrow().to_pylist():
+        packed[row["item"]].append(row["cells"])
+    joint = trees.joint_cells(groups, widths, packed)
+    return _Binned(written, points, flags, max(2, int(size.label) + 1), kind, joint)
+
+
+@dataclass
+class _Tree:
+    """A tree as far as it is grown."""
+
+    number: int
+    levels: list[dict[str, np.ndarray]]
+    """Per level the paths of the nodes that were asked for a split, their counts and what was chosen."""
+    routes: list[tuple[np.ndarray, np.ndarray]]
+    """Per level the splits, and which of their children are split again."""
+    paths: np.ndarray
+    counts: np.ndarray | None
+
+
+def _grown(rows: _Binned, settings: ForestSettings, first: int, trees_wanted: int) -> list[_Tree]:
+    """Trees from number ``first`` on: a pass over the rows for each level of all of them."""
+    grown = [_Tree(first + i, [], [], np.zeros(1, np.int64), None) for i in range(trees_wanted)]
+    splits: dict[tuple[int, int], int] = {}
+    for level in range(settings.depth):
+        asked = [_item(rows, settings, tree, level) for tree in grown if len(tree.paths)]
+        for tree, found in _counted(rows, settings, splits, [part for item in asked for part in item]):
+            _take_in(tree, found, splits)
+    return grown
+
+
+def _item(rows: _Binned, settings: ForestSettings, tree: _Tree, level: int) -> list[tuple[_Tree, dict]]:
+    """What a pass counts for a tree, in parts of at most ``CELLS_AT_ONCE`` counts."""
+    draws = np.random.default_rng([level, tree.number, settings.seed & 0xFFFFFFFF])
+    width = min(settings.features_per_split, rows.features)
+    chosen = np.array([draws.choice(rows.features, width, replace=False) for _ in tree.paths])
+    step = max(1, CELLS_AT_ONCE // (rows.stride * len(rows.joint)))
+    items = []
+    for start in range(0, len(tree.paths), step):
+        own, paths = chosen[start : start + step], tree.paths[start : start + step]
+        used = set((own[own >= rows.flags] - rows.flags).tolist())
+        groups = [g for g, (columns, *_) in enumerate(rows.joint) if used.intersection(columns)]
+        if tree.counts is None and not groups:
+            groups = [len(rows.joint) - 1]
+        # A node that has a device's column twice would count it twice; columns are drawn without repeats.
+        node, place = np.nonzero(own < rows.flags)
+        every = len(paths) == 1 << level
+        item = {
+            "tree": tree.number, "levels": tree.routes, "paths": None if every else paths, "nodes": len(paths), "depth": level,
+            "groups": groups, "pairs": (node, own[node, place]), "chosen": own,
+            "totals": None if tree.counts is None else tree.counts[start : start + step],
+        }
+        items.append((tree, item))
+    return items
+
+
+def _counted(rows: _Binned, settings: ForestSettings, splits: dict, items: list[tuple[_Tree, dict]]) -> Iterable[tuple[_Tree, list]]:
+    """Each tree with the results of its items, from as few passes as memory allows."""
+    spark = rows.chunks.sparkSession
+    widths = [len(p) + 1 for p in rows.points]
+    known = np.array(list(splits), np.int64).reshape(-1, 2)
+    job = {
+        "seed": settings.seed & 0xFFFFFFFF, "classes": rows.classes, "flags": rows.flags, "kind": rows.kind, "widths": widths,
+        "joint": rows.joint, "stride": rows.stride, "splits": (known[:, 0], known[:, 1]), "least": settings.min_rows_per_leaf,
+    }
+    passes: list[list[tuple[_Tree, dict]]] = []
+    held = CELLS_AT_ONCE
+    for tree, item in items:
+        size = trees.cells_of(job, item)[1]
+        if held + size > CELLS_AT_ONCE:
+            passes.append([])
+            held = 0
+        passes[-1].append((tree, item))
+        held += size
+    found: dict[int, list] = {}
+    for some in passes:
+        asked = job | {"items": [item for _, item in some]}
+        tasks = min(rows.chunks.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+        count, choose = trees.counted, trees.chosen
+        counts = rows.chunks.coalesce(tasks).mapInArrow(lambda batches, job=asked: count(batches, job), trees.COUNTED)
+        best = counts.repartition(min(tasks, len(some)), "item").mapInArrow(lambda batches, job=asked: choose(batches, job), trees.CHOSEN)
+        for row in best.toArrow().sort_by("item").to_pylist():
+            tree, item = some[row["item"]]
+            found.setdefault(tree.number, []).append((item, row))
+        _free_when_due(spark, 4 * tasks * sum(trees.cells_of(job, item)[1] for _, item in some))
+    by_number = {tree.number: tree for tree, _ in items}
+    return [(by_number[number], parts) for number, parts in found.items()]
+
+
+_sent = [0]
+
+
+def _free_when_due(spark: SparkSession, sent: int) -> None:
+    _sent[0] += sent
+    if _sent[0] > SENT_AT_MOST:
+        _sent[0] = 0
+        free_shuffles(spark)
+
+
+def _take_in(tree: _Tree, parts: list[tuple[dict, dict]], splits: dict[tuple[int, int], int]) -> None:
+    """The tree with one more level."""
+    joined = {name: np.concatenate([row[name] for _, row in parts]) for name in ("features", "cuts", "gains", "left", "totals")}
+    classes = len(joined["totals"]) // len(tree.paths)
+    totals, left = joined["totals"].reshape(-1, classes), joined["left"].reshape(-1, classes)
+    level = {"paths": tree.paths, "totals": totals, "left": left} | {name: joined[name] for name in ("features", "cuts", "gains")}
+    split = np.flatnonzero(joined["features"] >= 0)
+    if tree.routes:
+        # Now it is known which nodes of the level before have children that are split.
+        above = tree.levels[-1]["paths"][tree.levels[-1]["features"] >= 0]
+        children = np.stack([2 * above, 2 * above + 1], axis=1).ravel()
+        tree.routes[-1] = (tree.routes[-1][0], np.flatnonzero(np.isin(children, tree.paths[split])))
+    tree.levels.append(level)
+    pairs = zip(joined["features"][split].tolist(), joined["cuts"][split].tolist())
+    tree.routes = [*tree.routes, (np.array([splits.setdefault(p, len(splits)) for p in pairs], np.int64), np.zeros(0, np.int64))]
+    paths = np.stack([2 * tree.paths[split], 2 * tree.paths[split] + 1], axis=1).ravel()
+    counts = np.stack([left[split], totals[split] - left[split]], axis=1).reshape(-1, classes)
+    mixed = (counts > 0).sum(axis=1) > 1
+    tree.paths, tree.counts = paths[mixed], counts[mixed].astype(np.int64)
+
+
+def _finished(rows: _Binned, tree: _Tree) -> tuple[np.ndarray, ...]:
+    """The nodes of a tree in preorder; leaves of one node that say the same become one, as in Spark ML."""
+    places = [{int(path): i for i, path in enumerate(level["paths"])} for level in tree.levels]
+
+    def node(depth: int, path: int, counts: np.ndarray) -> tuple:
+        i = places[depth].get(path) if depth < len(places) else None
+        if i is None or tree.levels[depth]["features"][i] < 0:
+            return (counts,)
+        level = tree.levels[depth]
+        left = node(depth + 1, 2 * path, level["left"][i])
+        right = node(depth + 1, 2 * path + 1, counts - level["left"][i])
+        if len(left) == len(right) == 1 and left[0].argmax() == right[0].argmax():
+            return (counts,)
+        feature, cut = int(level["features"][i]), int(level["cuts"][i])
+        threshold = 0.5 if feature < rows.flags else float(rows.points[feature - rows.flags][cut])
+        return counts, feature, threshold, float(level["gains"][i]), left, right
+
+    features, thresholds, lefts, rights, counts, gains = [], [], [], [], [], []
+
+    def put(found: tuple) -> int:
+        at = len(features)
+        leaf = len(found) == 1
+        features.append(-1 if leaf else found[1])
+        thresholds.append(0.0 if leaf else found[2])
+        gains.append(-1.0 if leaf else found[3])
+        counts.append(found[0])
+        lefts.append(-1)
+        rights.append(-1)
+        if not leaf:
+            lefts[at], rights[at] = put(found[4]), put(found[5])
+        return at
+
+    put(node(0, 0, tree.levels[0]["totals"][0]))
+    return np.array(features), np.array(thresholds), np.array(lefts), np.array(rights), np.array(counts), np.array(gains)
+
+
+_NODES = (
+    "treeID int, nodeData struct<id:int,prediction:double,impurity:double,impurityStats:array<double>,rawCount:bigint,"
+    "gain:double,leftChild:int,rightChild:int,split:struct<featureIndex:int,leftCategoriesOrThreshold:array<double>,numCategories:int>>"
+)
+
+
+def _as_model(spark: SparkSession, fit: RandomForestClassifier, grown: list[tuple], features: int, classes: int) -> RandomForestClassificationModel:
+    """Trees as a model of Spark ML, through the form in which it stores models."""
+    path = scratch_path(spark, "forest")
+    rows = []
+    for number, (feature, threshold, left, right, counts, gains) in enumerate(grown):
+        for i in range(len(feature)):
+            leaf, total = feature[i] < 0, counts[i].sum()
+            split = (-1, [], -1) if leaf else (int(feature[i]), [float(threshold[i])], -1)
+            impurity = float(1 - ((counts[i] / total) ** 2).sum())
+            rows.append((number, (i, float(counts[i].argmax()), impurity, counts[i].tolist(), int(total), float(gains[i]), int(left[i]), int(right[i]), split)))
+    spark.createDataFrame(rows, _NODES).coalesce(1).write.parquet(f"{path}/data")
+    own = {p.name: value for p, value in fit._paramMap.items()}
+    default = {p.name: value for p, value in fit._defaultParamMap.items()}
+
+    def described(name: str, uid: str, less: set[str], more: dict) -> str:
+        maps = {"paramMap": own, "defaultParamMap": default}
+        maps = {key: {n: v for n, v in values.items() if n not in less} for key, values in maps.items()}
+        head = {"class": f"org.apache.spark.ml.classification.{name}", "timestamp": 0, "sparkVersion": spark.version, "uid": uid}
+        return json.dumps(head | maps | more)
+
+    size = {"numFeatures": features, "numClasses": classes}
+    text = described("RandomForestClassificationModel", fit.uid, set(), size | {"numTrees": len(grown)})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    forest_only = {"numTrees", "featureSubsetStrategy", "subsamplingRate", "bootstrap"}
+    each = [(i, described("DecisionTreeClassificationModel", f"dtc_{fit.uid}_{i}", forest_only, size), 1.0) for i in range(len(grown))]
+    spark.createDataFrame(each, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
+    return RandomForestClassificationModel.load(path)
+
+
+def _stored_nodes(spark: SparkSession, pipeline: str) -> list[tuple[np.ndarray, ...]]:
+    """The trees of a stored pipeline, in the order of its stages."""
+    stage = F.regexp_extract("_metadata.file_path", r"/stages/(\d+)_[^/]*/data/[^/]*$", 1).cast("int").alias("stage")
+    data = spark.read.schema(_NODES).parquet(f"{pipeline}/stages/*/data")
+    node = [F.col(f"nodeData.{name}") for name in ("id", "impurityStats", "leftChild", "rightChild")]
+    split = [F.col("nodeData.split.featureIndex").alias("feature"), F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold")]
+    found: dict[tuple[int, int], list] = {}
+    for row in data.select(stage, "treeID", *node, *split).toArrow().to_pylist():
+        found.setdefault((row["stage"], row["treeID"]), []).append(row)
+    trees_found = []
+    for _, rows in sorted(found.items()):
+        rows.sort(key=lambda row: row["id"])
+        values = [[row[name] for row in rows] for name in ("feature", "threshold", "leftChild", "rightChild", "impurityStats")]
+        trees_found.append((np.array(values[0]), np.array([v or 0.0 for v in values[1]]), *(np.array(v) for v in values[2:])))
+    return trees_found
+
+
+def _nodes_of(pipeline: PipelineModel) -> list[tuple[np.ndarray, ...]]:
+    spark = SparkSession.active()
+    path = scratch_path(spark, "pipeline")
+    pipeline.write().save(path)
+    return _stored_nodes(spark, path)
+
+
+def _fitted(
+    rows: _Binned, settings: ForestSettings, label: str
+) -> tuple[list[RandomForestClassificationModel], list[tuple[np.ndarray, ...]]]:
+    """The forest in parts of ``_trees_at_once`` trees, whose votes add up, and the nodes of all its trees."""
+    spark = rows.chunks.sparkSession
+    at_once = _trees_at_once(rows.features)
     parts = range(max(1, -(-settings.trees // at_once)))
 
-    def fit(part: int) -> RandomForestClassificationModel:
-        return _classifier(settings, label, part, width).fit(vectors)
+    def fit(part: int) -> tuple[RandomForestClassificationModel, list[tuple[np.ndarray, ...]]]:
+        asked = _classifier(settings, label, part, rows.features)
+        grown = [_finished(rows, tree) for tree in _grown(rows, settings, part * at_once, asked.getNumTrees())]
+        return _as_model(spark, asked, grown, rows.features, rows.classes), [tree[:5] for tree in grown]
 
-    with ThreadPool(min(FITS_AT_ONCE if at_once == TREES_AT_ONCE else 1, len(parts))) as pool:
-        return pool.map(inheritable_thread_target(vectors.sparkSession)(fit), parts)
+    with ThreadPool(min(FITS_AT_ONCE, len(parts))) as pool:
+        found = pool.map(inheritable_thread_target(spark)(fit), parts)
+    return [model for model, _ in found], [tree for _, nodes in found for tree in nodes]
 
 
 def training_rows(
@@ -190,35 +459,25 @@ def train_forest(
     complete = training_rows(rows, settings, columns, label)
     if not _by_flags(settings.encoding, inputs):
         assembler = VectorAssembler(inputCols=inputs, outputCol="_features")
-        vectors = write_stage(assembler.transform(complete).select("_features", label), "vectors")
-        return Forest(PipelineModel([assembler, *_fitted(vectors, settings, label, len(inputs))]), tuple(inputs))
+        models, nodes = _fitted(_binned(complete, inputs, label, settings), settings, label)
+        return Forest(PipelineModel([assembler, *models]), tuple(inputs), nodes=nodes)
     devices = device_dictionary(complete)
     others = [name for name in inputs if name != "device"]
-    vectors = _as_vectors(with_device_flags(complete, devices, others).select("_flags", label))
-    width = devices.count() + 1 + len(others)
-    return Forest(PipelineModel(_fitted(vectors, settings, label, width)), tuple(inputs), devices)
+    models, nodes = _fitted(_binned(complete, others, label, settings, devices), settings, label)
+    return Forest(PipelineModel(models), tuple(inputs), devices, nodes)
 
 
 def predict(model: Forest, rows: DataFrame) -> DataFrame:
-    """``rows`` with the predicted class and the probability of activity; keys stay.
-
-    A model with a column per device has the rows written once, with their vectors.
-    """
-    prepared = rows
+    """``rows`` with the predicted class and the probability of activity; keys stay."""
+    prepared, columns, device, flags = rows, list(model.columns), None, 0
     if model.devices is not None:
-        others = [name for name in model.columns if name != "device"]
-        prepared = _as_vectors(with_device_flags(rows, model.devices, others))
-    scored = model.pipeline.transform(prepared)
-    parts = [vector_to_array(s.getRawPredictionCol()) for s in model.stages if isinstance(s, RandomForestClassificationModel)]
-    votes = functools.reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
-    scored = scored.select(*rows.columns, votes.alias("_all_votes"))
-    total = F.aggregate("_all_votes", F.lit(0.0), lambda x, y: x + y)
-    return scored.select(
-        *rows.columns,
-        # Of equal votes the first class wins.
-        (F.array_position("_all_votes", F.array_max("_all_votes")) - 1).cast("int").alias("activation_predicted"),
-        (F.col("_all_votes")[1] / total).alias("activation_probability"),
-    )
+        columns, device, flags = [name for name in model.columns if name != "device"], _DEVICE, model.devices.count() + 1
+        prepared = rows.join(model.devices.withColumnRenamed("device_index", device), "device", "left").select(*rows.columns, device)
+    nodes = _nodes_of(model.pipeline) if model.nodes is None else model.nodes
+    plan, scored = trees.scoring_plan(nodes), trees.scored
+    added = [T.StructField("activation_predicted", T.IntegerType()), T.StructField("activation_probability", T.DoubleType())]
+    schema = T.StructType([*rows.schema.fields, *added])
+    return prepared.mapInArrow(lambda batches: scored(batches, plan, columns, device, flags), schema)
 
 
 def save_model(model: Forest, path: str) -> None:
@@ -236,7 +495,8 @@ def load_model(path: str) -> Forest:
     columns = spark.read.schema(_COLUMNS).json(f"{path}/columns").orderBy("place").collect()
     by_flags = bool(columns) and columns[0].by_flags
     devices = spark.read.parquet(f"{path}/devices") if by_flags else None
-    return Forest(PipelineModel.load(f"{path}/pipeline"), tuple(c.name for c in columns), devices)
+    pipeline = f"{path}/pipeline"
+    return Forest(PipelineModel.load(pipeline), tuple(c.name for c in columns), devices, _stored_nodes(spark, pipeline))
 
 
 def needs_device_rate(model: Forest) -> bool:
