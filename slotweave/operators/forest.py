@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pyarrow as pa
 from pyspark import TaskContext, cloudpickle, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -155,6 +154,7 @@ def _classifier(settings: ForestSettings, label: str, part: int = 0, width: int
         minInstancesPerNode=settings.min_rows_per_leaf,
         maxBins=settings.bins,
         maxMemoryInMB=settings.memory_mb,
+        # Spark's own learner would walk all trees anew in each pass without it.
         cacheNodeIds=True,
         seed=settings.seed,
     )
